@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
 
 QUERIES = {
     "op4_virtual_slots": op4_virtual_slots,
+    "op8_linked_secrets": op8_linked_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
