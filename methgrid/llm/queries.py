@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .mixing import op1_entropy_mix
 from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
 
 QUERIES = {
+    "op1_entropy_mix": op1_entropy_mix,
     "op4_virtual_slots": op4_virtual_slots,
     "op8_linked_secrets": op8_linked_secrets,
 }
