@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op7_merge_replay
+from .language import op5_byte_conv
 from .mixing import op1_entropy_mix
 from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
@@ -9,6 +11,8 @@ from .sharding import op4_virtual_slots
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix,
     "op4_virtual_slots": op4_virtual_slots,
+    "op5_byte_conv": op5_byte_conv,
+    "op7_merge_replay": op7_merge_replay,
     "op8_linked_secrets": op8_linked_secrets,
 }
 
