@@ -7,13 +7,19 @@ from .language import op5_byte_conv
 from .mixing import op1_entropy_mix
 from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
+from .spotsigs import op9_spot_signatures
+from .topk import OP3_SQL, op3_score_at_a_time
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op3_score_at_a_time": op3_score_at_a_time,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_byte_conv": op5_byte_conv,
     "op7_merge_replay": op7_merge_replay,
     "op8_linked_secrets": op8_linked_secrets,
+    "op9_spot_signatures": op9_spot_signatures,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_score_at_a_time": OP3_SQL,
+}
