@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_merge_replay
 from .language import op5_byte_conv
+from .minhash import op10_bag_minhash
 from .mixing import op1_entropy_mix
 from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_merge_replay": op7_merge_replay,
     "op8_linked_secrets": op8_linked_secrets,
     "op9_spot_signatures": op9_spot_signatures,
+    "op10_bag_minhash": op10_bag_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
