@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of two or three numbers that may be broadcast: some tens of MB at most.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

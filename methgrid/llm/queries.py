@@ -10,9 +10,11 @@ from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
 from .spotsigs import op9_spot_signatures
 from .topk import OP3_SQL, op3_score_at_a_time
+from .windows import op2_compact_windows
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_compact_windows": op2_compact_windows,
     "op3_score_at_a_time": op3_score_at_a_time,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_byte_conv": op5_byte_conv,
