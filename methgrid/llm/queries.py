@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_merge_replay
 from .language import op5_byte_conv
+from .licenses import op6_conditional_compression
 from .minhash import op10_bag_minhash
 from .mixing import op1_entropy_mix
 from .secrets import op8_linked_secrets
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_score_at_a_time": op3_score_at_a_time,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_byte_conv": op5_byte_conv,
+    "op6_conditional_compression": op6_conditional_compression,
     "op7_merge_replay": op7_merge_replay,
     "op8_linked_secrets": op8_linked_secrets,
     "op9_spot_signatures": op9_spot_signatures,
