@@ -1,12 +1,12 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
 Vectors are integers: floor(64 x) of each component. Rows are cut into blocks; each block is an
-inverted index with one posting segment per component and value. For a query, a segment's impact
-is its value times the query's component, less the least such impact of the component, so no
-impact is negative. Segments are processed by descending impact and added to accumulators;
-after each batch of segments every row has a lower bound (its accumulator) and an upper bound
-(that plus the largest impacts left of components not seen for it). Processing stops only when
-few rows' upper bounds reach the k-th lower bound; these, and only these, are scored exactly.
+inverted index whose postings are grouped by quantised impact: segment i holds the components of
+sizes 2^i to 2^(i+1) - 1. Segments are processed by descending impact, each for a block of queries
+at once, and added to accumulators. What is left of a row after a segment can change its score by
+the product of the query's length and the length of the row's rest at most (Cauchy-Schwarz), so
+every row has a lower and an upper bound. A query stops only when few rows' upper bounds reach its
+k-th lower bound; these, and only these, are scored exactly.
 
 Every query block meets every row block, a block's best are merged by query in Spark.
 
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, small
 
+#: Rows of a block, and queries of one.
 ROWS, QUERIES = 8192, 256
-#: A batch of segments holds about this share of a block's postings.
-BATCHES = 10
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -68,57 +67,59 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 class ImpactIndex:
-    """Segments of equal component and value over a block of integer vectors."""
+    """Posting segments of a block of integer vectors, by descending impact."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.matrix = ids, matrix.astype(np.int64)
-        n, self.dim = matrix.shape
-        order = np.argsort(matrix, axis=0, kind="stable").T  # by component
-        values = np.take_along_axis(matrix.T, order, 1)
-        fresh = np.ones(values.shape, bool)
-        fresh[:, 1:] = values[:, 1:] != values[:, :-1]
-        starts = np.flatnonzero(fresh.ravel())
-        self.rows = order.ravel()
-        self.start, self.length = starts, np.diff(np.append(starts, n * self.dim))
-        self.component, self.value = starts // max(n, 1), values.ravel()[starts].astype(np.int64)
-        self.first = np.searchsorted(self.component, np.arange(self.dim))
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but the query's own, ties to smaller ids."""
-        n, dim = len(self.ids), self.dim
-        query = np.resize(np.pad(query.astype(np.int64), (0, max(0, dim - len(query)))), dim)
-        own = self.ids == query_id
-        acc, seen = np.zeros(n), np.zeros(n, np.int64)
-        candidates = np.flatnonzero(~own)
-        if dim and len(candidates) > 4 * k:
-            impact = query[self.component] * self.value
-            impact -= np.minimum.reduceat(impact, self.first)[self.component]
-            order = np.argsort(-impact, kind="stable")
-            done = np.cumsum(self.length[order])
-            # The largest impact left in each component, as segments are processed in this order.
-            at, step = 0, max(n * dim // BATCHES, 1)
-            while at < len(order):
-                to = np.searchsorted(done, (done[at - 1] if at else 0) + step) + 1
-                part = order[at:to]
-                length = self.length[part]
-                ends = np.cumsum(length)
-                spots = np.arange(ends[-1]) + np.repeat(self.start[part] - (ends - length), length)
-                rows = self.rows[spots]
-                acc += np.bincount(rows, np.repeat(impact[part], length), n)
-                seen += np.bincount(rows, minlength=n)
-                at = to
-                rest = order[at:]
-                left = np.zeros(dim, np.int64)
-                np.maximum.at(left, self.component[rest], impact[rest])
-                most = np.concatenate(([0], np.cumsum(np.sort(left)[::-1])))
-                lower = np.where(own, -1.0, acc)
-                least = np.partition(lower, n - k)[n - k]
-                candidates = np.flatnonzero((acc + most[dim - seen] >= least) & ~own)
-                if len(candidates) <= max(4 * k, n // 16):
-                    break  # no other row can be among the k best
-        scores = self.matrix[candidates] @ query
-        best = np.lexsort((self.ids[candidates], -scores))[:k]
-        return self.ids[candidates][best], scores[best]
+        size = np.abs(self.matrix)
+        self.largest = int(size.max(initial=0))
+        self.segments: list[tuple[np.ndarray, np.ndarray]] = []
+        rest = self.matrix.copy()
+        for level in reversed(range(self.largest.bit_length())):
+            part = np.where(size >> level == 1, self.matrix, 0)
+            rest -= part
+            # Sums of products below 2^24 are exact in 32 bits, below 2^53 in 64.
+            self.segments.append((part, np.sqrt((rest.astype(np.float64) ** 2).sum(1))))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, ids, scores) of the k best rows for each query but rows of its own id, ties to smaller ids."""
+        n, dim = self.matrix.shape
+        fit = np.zeros((len(queries), dim), np.int64)
+        width = min(dim, queries.shape[1])
+        fit[:, :width] = queries[:, :width]
+        kind = np.float32 if self.largest * int(np.abs(fit).max(initial=0)) * max(dim, 1) < 1 << 24 else np.float64
+        length = np.sqrt((fit.astype(np.float64) ** 2).sum(1))
+        own = query_ids[:, None] == self.ids[None, :]
+        open_, acc = np.arange(len(fit)), np.zeros((len(fit), n), kind)
+        pairs = []
+        if n > 4 * k:
+            for part, rest in self.segments:
+                acc += fit[open_].astype(kind) @ part.T.astype(kind)
+                slack = length[open_, None] * rest[None, :] + 0.5 * (rest[None, :] > 0)
+                lower = np.where(own[open_], -np.inf, acc - slack)
+                least = np.partition(lower, n - k, axis=1)[:, n - k]
+                may = (acc + slack >= least[:, None]) & ~own[open_]
+                done = may.sum(1) <= max(4 * k, n // 32)
+                row, column = np.nonzero(may[done])
+                pairs.append((open_[done][row], column))  # no other row can be among the k best
+                open_, acc, may = open_[~done], acc[~done], may[~done]
+                if not len(open_):
+                    break
+            else:
+                row, column = np.nonzero(may) if self.segments else np.nonzero(~own[open_])
+                pairs.append((open_[row], column))
+        else:
+            pairs.append(np.nonzero(~own))
+        who, what = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        scores = np.empty(len(who), np.int64)
+        for at in range(0, len(who), 100_000):
+            part = slice(at, at + 100_000)
+            scores[part] = (fit[who[part]] * self.matrix[what[part]]).sum(1)
+        order = np.lexsort((self.ids[what], -scores, who))
+        who, what, scores = who[order], what[order], scores[order]
+        nth = np.arange(len(who)) - np.searchsorted(who, who)
+        best = nth < k
+        return query_ids[who[best]], self.ids[what[best]], scores[best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -141,10 +142,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                     last = ids, raw
                     own = np.frombuffer(ids, np.int64)
                     index = ImpactIndex(own, np.frombuffer(raw, np.int32).reshape(len(own), dim))
-                q_ids, q_vectors = batch.column(3)[row].values.to_numpy(), batch.column(4)[row].values
-                found = [index.search(q, np.array(q_vectors[i].as_py(), np.int64), k) for i, q in enumerate(q_ids)]
-                who = np.repeat(q_ids, [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64())], names=["query_id", "vec_id", "score"])
+                q_ids = batch.column(3)[row].values.to_numpy()
+                lists = batch.column(4)[row].values.to_pylist()
+                asked_for = np.zeros((len(lists), max(map(len, lists))), np.int64)
+                for i, q in enumerate(lists):
+                    asked_for[i, : len(q)] = q
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in index.search(q_ids, asked_for, k)], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
