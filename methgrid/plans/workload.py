@@ -1,6 +1,284 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, one for each operator, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from methgrid.functions import columns as fn
+from methgrid.operators import catalog, check, genome, intervals, levels, merge, requests
+from methgrid.plans.derived import SAMPLES, SQL, Tables, read, tables, window_sql
+from methgrid.sources import counts, output
+from methgrid.sources import tables as src
+from methgrid.sources.fasta import motif_positions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir), or of Tables if it takes one argument, by its name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f if f.__code__.co_argcount == 2 else lambda spark, sf_dir: f(tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+SUM = "CAST(coalesce(sum(n_meth), 0) AS BIGINT) AS n_meth, CAST(coalesce(sum(n_unmeth), 0) AS BIGINT) AS n_unmeth"
+COVERED = ", CAST(count(*) FILTER (n_meth + n_unmeth > 0) AS BIGINT) AS n_covered"
+
+
+def _range_sql(ranges: str, keys: str, extra: str = "") -> str:
+    return f"SELECT {keys}, x.sample, {SUM}{extra} FROM {ranges} i CROSS JOIN samples x LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL"
+
+
+@query(SQL + _range_sql("ivs", "i.interval_id"))
+def interval_levels(t: Tables):
+    return levels.levels("intervals", chroms=t.chroms, sites=t.sites, methylomes=t.methylomes.where(F.col("sample").isin(SAMPLES)), samples=t.samples, intervals=t.intervals)
+
+
+@query(SQL + _range_sql("ivs", "i.interval_id", COVERED))
+def interval_levels_covered(t: Tables):
+    ranked = intervals.site_ranks(t.intervals, t.sites, t.chroms)
+    return levels.levels("query", chroms=t.chroms, sites=t.sites, methylomes=t.methylomes.where(F.col("sample").isin(SAMPLES)), samples=t.samples, ranked=ranked, covered=True)
+
+
+@query(SQL + "SELECT interval_id, CAST((SELECT count(*) FROM sites s WHERE s.chrom < i.chrom OR s.chrom = i.chrom AND s.pos < i.start) AS BIGINT) AS lo, CAST((SELECT count(*) FROM sites s WHERE s.chrom < i.chrom OR s.chrom = i.chrom AND s.pos < i.stop) AS BIGINT) AS hi FROM ivs i")
+def interval_site_ranks(t: Tables):
+    return intervals.site_ranks(t.intervals, t.sites, t.chroms).select("interval_id", "lo", "hi")
+
+
+@query(SQL + "SELECT interval_id, CAST(count(s.pos) AS BIGINT) AS n_cpgs FROM ivs i LEFT JOIN sites s ON s.chrom = i.chrom AND s.pos >= i.start AND s.pos < i.stop GROUP BY interval_id")
+def interval_cpgs(t: Tables):
+    return intervals.n_cpgs(intervals.site_ranks(t.intervals, t.sites, t.chroms))
+
+
+@query(SQL + _range_sql("bins500", "i.chrom, i.start, i.stop"))
+def bin_levels(t: Tables):
+    return levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500).drop("genome")
+
+
+@query(SQL + _range_sql("bins500", "i.chrom, i.start, i.stop", COVERED))
+def bin_levels_covered(t: Tables):
+    return levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500, covered=True).drop("genome")
+
+
+@query(SQL + "SELECT i.chrom, i.start, i.stop, CAST(count(s.pos) AS BIGINT) AS n_cpgs FROM bins500 i LEFT JOIN sites s ON s.chrom = i.chrom AND s.pos >= i.start AND s.pos < i.stop GROUP BY ALL")
+def bin_cpgs(t: Tables):
+    return levels.bin_cpgs(t.chroms, t.sites, 500).drop("genome")
+
+
+def _windows(name: str, size: int, step: int, covered: bool = False) -> None:
+    def f(t: Tables):
+        return levels.window_levels(t.chroms, t.sites, t.methylomes.where(F.col("sample").isin(SAMPLES)), t.samples, size, step, covered).drop("genome")
+
+    f.__name__ = name
+    query(SQL.rstrip() + ", " + window_sql(size, step) + _range_sql("wins", "i.chrom, i.start, i.stop", COVERED if covered else ""))(f)
+
+
+_windows("window_levels", 600, 200)
+_windows("window_levels_covered", 600, 200, covered=True)
+_windows("window_levels_gaps", 200, 600)
+_windows("window_levels_long", 1001, 500)
+
+
+@query(SQL.rstrip() + ", " + window_sql(600, 200) + "SELECT i.chrom, i.start, i.stop, CAST(count(s.pos) AS BIGINT) AS n_cpgs FROM wins i LEFT JOIN sites s ON s.chrom = i.chrom AND s.pos >= i.start AND s.pos < i.stop GROUP BY ALL")
+def window_cpgs(t: Tables):
+    return levels.window_cpgs(t.chroms, t.sites, 600, 200).drop("genome")
+
+
+@query(SQL + f"SELECT sample, {SUM}{COVERED} FROM meth WHERE sample IN (SELECT sample FROM samples) GROUP BY sample")
+def global_levels(t: Tables):
+    return levels.global_levels(t.methylomes, t.samples, covered=True).drop("genome")
+
+
+@query(SQL + f"SELECT x.sample, x.col_ord, {SUM} FROM meth t JOIN (VALUES ('R_F', 0), ('A_F', 1), ('R_F', 2)) x(sample, col_ord) ON x.sample = t.sample GROUP BY ALL")
+def requested_samples(t: Tables):
+    asked = levels.requested(t.methylomes, ["R_F", "A_F", "R_F"])
+    return asked.groupBy("sample", "col_ord").agg(F.sum("n_meth").alias("n_meth"), F.sum("n_unmeth").alias("n_unmeth"))
+
+
+@query(SQL + "SELECT chrom, chrom_ord, chrom_size, chrom_offset, n_sites, CAST(ceil(chrom_size / 500.0) AS BIGINT) AS n_bins, CAST(ceil(chrom_size / 200.0) AS BIGINT) AS n_windows FROM chroms")
+def chromosomes(t: Tables):
+    return t.chroms.select("chrom", "chrom_ord", "chrom_size", "chrom_offset", "n_sites", F.ceil(F.col("chrom_size") / 500).alias("n_bins"), F.ceil(F.col("chrom_size") / 200).alias("n_windows"))
+
+
+@query(SQL + "SELECT chrom, start, stop, chrom || '.' || CAST(start AS VARCHAR) || '.' || CAST(stop AS VARCHAR) AS name FROM bins500")
+def generated_bins(t: Tables):
+    return genome.bins(t.chroms, 500).select("chrom", "start", "stop", fn.row_name(["chrom", "start", "stop"]).alias("name"))
+
+
+@query(SQL + "SELECT CAST(sum(ceil(chrom_size / 500.0)) AS BIGINT) AS n_bins FROM chroms")
+def number_of_bins(t: Tables):
+    return genome.n_bins(t.chroms, 500).select("n_bins")
+
+
+@query(SQL + "SELECT bool_and(start <= stop) AS valid FROM ivs")
+def intervals_valid(t: Tables):
+    return intervals.are_valid(t.intervals)
+
+
+@query(SQL + """, o AS (SELECT *, lag(chrom) OVER (ORDER BY interval_id) AS pc, lag(start) OVER (ORDER BY interval_id) AS ps FROM ivs)
+SELECT NOT bool_or(coalesce(pc = chrom AND start < ps, false)) AND coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM o WHERE pc IS NULL OR pc <> chrom GROUP BY chrom)), 0) <= 1 AS sorted FROM o""")
+def intervals_sorted(t: Tables):
+    return intervals.are_sorted(t.intervals)
+
+
+@query(SQL + "SELECT sample, site_idx, n_meth / greatest(1, n_meth + n_unmeth) AS wmean, CASE WHEN n_meth + n_unmeth >= 60 THEN n_meth / greatest(1, n_meth + n_unmeth) ELSE -1.0 END AS matrix_wmean, CASE WHEN n_meth + n_unmeth >= 60 THEN n_meth / greatest(1, n_meth + n_unmeth) END AS wmean_or_null, n_meth + n_unmeth AS n_reads FROM meth")
+def site_scores(t: Tables):
+    return t.methylomes.select("sample", "site_idx", fn.wmean().alias("wmean"), fn.wmean_or(60, -1.0).alias("matrix_wmean"), fn.wmean_or(60).alias("wmean_or_null"), fn.n_reads().alias("n_reads"))
+
+
+@query(SQL + """, big AS (SELECT sample, site_idx, n_meth * 4001 AS m, n_unmeth * 3001 AS u, greatest(n_meth * 4001, n_unmeth * 3001) AS top FROM meth)
+SELECT sample, site_idx, CAST(CASE WHEN top > 65535 THEN round(m / top * 65535) ELSE m END AS INTEGER) AS n_meth, CAST(CASE WHEN top > 65535 THEN round(u / top * 65535) ELSE u END AS INTEGER) AS n_unmeth FROM big""")
+def rescaled_counts(t: Tables):
+    m, u = F.col("n_meth") * 4001, F.col("n_unmeth") * 3001
+    return t.methylomes.select("sample", "site_idx", fn.fit_u16(m, u).alias("n_meth"), fn.fit_u16(u, m).alias("n_unmeth"))
+
+
+@query(SQL + f"SELECT split_part(sample, '_', 1) AS sample, site_idx, {SUM} FROM meth WHERE sample IN (SELECT sample FROM samples) GROUP BY ALL")
+def merged_by_group(t: Tables):
+    groups = t.samples.sparkSession.createDataFrame([(s, s.split("_")[0]) for s in SAMPLES], "sample string, group string")
+    return merge.merge_by(t.methylomes, groups).drop("genome")
+
+
+_BYTES = """, n AS (SELECT count(*) AS n FROM sites), b AS (
+  SELECT sample, n * 4 AS len, unnest([n_meth & 255, (n_meth >> 8) & 255, n_unmeth & 255, (n_unmeth >> 8) & 255]) AS d, site_idx * 4 + unnest([0, 1, 2, 3]) AS i FROM meth, n)
+"""
+
+
+@query(SQL + _BYTES + "SELECT sample, CAST((sum(d * ((len - i) % 65521)) % 65521) * 65536 + sum(d) % 65521 AS BIGINT) AS methylome_hash FROM b GROUP BY sample")
+def methylome_hashes(t: Tables):
+    return check.methylome_hash(t.methylomes, t.chroms.groupBy("genome").agg(F.sum("n_sites").alias("n_sites"))).drop("genome")
+
+
+@query(SQL + """, b AS (SELECT s.chrom, n_sites * 4 AS len, unnest([pos & 255, (pos >> 8) & 255, (pos >> 16) & 255, (pos >> 24) & 255]) AS d, (site_idx - chrom_offset) * 4 + unnest([0, 1, 2, 3]) AS i FROM sites s JOIN chroms c ON s.chrom = c.chrom)
+SELECT chrom, CAST((sum(d * ((len - i) % 65521)) % 65521) * 65536 + sum(d) % 65521 AS BIGINT) AS chrom_hash FROM b GROUP BY chrom""")
+def chromosome_hashes(t: Tables):
+    return check.chrom_hash(t.sites, t.chroms).select("chrom", "chrom_hash")
+
+
+@query()
+def consistency_report(t: Tables):
+    hashes = check.methylome_hash(t.methylomes, t.chroms.groupBy("genome").agg(F.sum("n_sites").alias("n_sites")))
+    index = check.index_hash(t.sites, t.chroms)
+    genomes = index.join(t.chroms.groupBy("genome").agg(F.sum("n_sites").alias("n_cpgs")), "genome").withColumn("version", F.lit("1"))
+    meta = hashes.join(genomes, "genome").select("sample", "genome", "version", "methylome_hash", F.when(F.col("sample") == "A_F", 0).otherwise(F.col("index_hash")).alias("index_hash"), "n_cpgs")
+    return check.check_all(t.sites, t.chroms, genomes, t.methylomes, meta)
+
+
+@query(SQL + ", e AS (" + _range_sql("bins500", "i.chrom, i.start, i.stop") + ") SELECT chrom, start, chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) || chr(9) || string_agg(CAST(n_meth AS VARCHAR) || chr(9) || CAST(n_unmeth AS VARCHAR), chr(9) ORDER BY sample) AS line FROM e GROUP BY chrom, start, stop")
+def bin_counts_text(t: Tables):
+    got = levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500)
+    return output.to_lines(got, ["chrom", "start", "stop"], SAMPLES).select("chrom", "start", "line")
+
+
+@query(SQL + ", e AS (" + _range_sql("bins500", "i.chrom, i.start, i.stop") + ") SELECT chrom, start, stop, chrom || '.' || CAST(start AS VARCHAR) || '.' || CAST(stop AS VARCHAR) AS name, " + ", ".join(f"max(CASE WHEN sample = '{s}' THEN n_meth / greatest(1, n_meth + n_unmeth) END) AS \"{s}_M\", max(CASE WHEN sample = '{s}' THEN n_meth + n_unmeth END) AS \"{s}_R\"" for s in SAMPLES) + " FROM e GROUP BY ALL")
+def bin_classic_table(t: Tables):
+    got = levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500)
+    return output.to_wide(got, ["chrom", "start", "stop"], SAMPLES, kind="classic")
+
+
+@query()
+def site_score_text(t: Tables):
+    return t.methylomes.select("sample", "site_idx", fn.element("classic").alias("classic"), fn.element("scores", min_reads=60).alias("score"))
+
+
+def _as_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit("x").alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(round(l_discount * l_quantity) AS INTEGER) AS n_meth, CAST(CAST(l_quantity AS BIGINT) - round(l_discount * l_quantity) AS INTEGER) AS n_unmeth FROM lineitem")
+def counts_text_decoded(spark: SparkSession, sf_dir: str):
+    line = read(spark, sf_dir, "lineitem")
+    text = line.select(F.concat_ws("\t", F.concat(F.lit("c"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"), F.lit("+"), F.lit("CG"), F.col("l_discount").cast("string"), F.col("l_quantity").cast("long").cast("string")).alias("value"))
+    got = counts.parse_counts(_as_lines(text)).where("error is null")
+    return got.select(F.expr("substring(chrom, 2)").cast("long").alias("l_orderkey"), F.col("pos").cast("int").alias("l_linenumber"), "n_meth", "n_unmeth")
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS pos FROM (SELECT doc_id, replace(text, chr(10), '') AS s, unnest(range(length(replace(text, chr(10), '')))) AS i FROM documents) WHERE substr(s, CAST(i AS INTEGER) + 1, 2) IN ('TH', 'Th', 'tH', 'th')")
+def motif_scan(spark: SparkSession, sf_dir: str):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "").alias("s"))
+    return docs.select("doc_id", F.explode(motif_positions(F.col("s"), "TH")).alias("pos"))
+
+
+def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("lang").alias("genome"), F.col("doc_id").cast("string").alias("accession"), F.col("source").alias("label"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("text"), F.col("text")).alias("metadata"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS accession FROM documents WHERE (regexp_matches(source, 'src1', 'i') OR regexp_matches(lang, 'src1', 'i') OR regexp_matches(text, 'src1', 'i')) AND (regexp_matches(source, 'license', 'i') OR regexp_matches(lang, 'license', 'i') OR regexp_matches(text, 'license', 'i'))")
+def sample_search(spark: SparkSession, sf_dir: str):
+    return catalog.search(_info(spark, sf_dir), ["SRC1", "no such sample at all", "license"]).select("accession")
+
+
+@query("SELECT DISTINCT lang AS genome FROM documents")
+def catalog_genomes(spark: SparkSession, sf_dir: str):
+    return catalog.genomes(_info(spark, sf_dir))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS accession, 'lang: ' || lang || ' | text: ' || text AS serialised FROM documents")
+def catalog_metadata_text(spark: SparkSession, sf_dir: str):
+    return _info(spark, sf_dir).select("accession", catalog.metadata_text().alias("serialised"))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("group"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("accession"))
+
+
+_GROUPS = "SELECT c_mktsegment AS \"group\", c_mktsegment || '_' || lpad(CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS VARCHAR), 5, '0') AS label, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS accession FROM customer"
+
+
+@query(_GROUPS)
+def sample_groups(spark: SparkSession, sf_dir: str):
+    return catalog.make_groups(_members(spark, sf_dir))
+
+
+@query(_GROUPS + " WHERE c_custkey % 3 <> 0")
+def sample_groups_removed(spark: SparkSession, sf_dir: str):
+    groups = catalog.make_groups(_members(spark, sf_dir))
+    gone = groups.where(F.col("accession").cast("long") % 3 == 0).select("group", "accession")
+    return catalog.remove_members(groups, gone)
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS accession FROM customer WHERE (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)")
+def selection_toggled(spark: SparkSession, sf_dir: str):
+    every = _members(spark, sf_dir).select("accession")
+    number = F.col("accession").cast("long")
+    return catalog.toggle(every.where(number % 2 == 0), every.where(number % 3 == 0))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("n_nationkey") % 4 == 3, "other").when(F.col("n_nationkey") % 4 == 2, "windows").when(F.col("n_nationkey") % 4 == 1, "bins").otherwise("intervals")
+    names = F.when(F.col("n_nationkey") % 5 == 4, F.array(F.lit("A-F"))).when(F.col("n_nationkey") % 5 == 3, F.array(F.lit("X_X"))).otherwise(F.array(F.lit("A_F"), F.lit("R_F")))
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("request_id"), kind.alias("kind"), (F.col("n_nationkey") * 20 + 50).cast("long").alias("aux"), F.lit(100).cast("long").alias("step"), F.when(F.col("n_nationkey") % 7 == 6, 2).otherwise(1).cast("long").alias("index_hash"), names.alias("samples"))
+
+
+@query("""SELECT n_nationkey AS request_id, CASE WHEN n_nationkey % 4 = 3 THEN 'invalid_kind' WHEN n_nationkey % 4 <> 0 AND n_nationkey * 20 + 50 < 100 THEN 'invalid_size'
+WHEN n_nationkey % 5 = 4 THEN 'invalid_name' WHEN n_nationkey % 5 = 3 THEN 'methylome_not_found' WHEN n_nationkey % 7 = 6 THEN 'invalid_index_hash' ELSE 'ok' END AS status FROM nation""")
+def request_statuses(spark: SparkSession, sf_dir: str):
+    genomes = spark.createDataFrame([("g1", 1)], "genome string, index_hash long")
+    meta = spark.createDataFrame([(s, "g1", 1) for s in SAMPLES], "sample string, genome string, index_hash long")
+    return requests.statuses(_requests(spark, sf_dir), genomes, meta)
+
+
+@query(SQL + f""", r AS (SELECT n_nationkey AS request_id, n_nationkey * 20 + 50 AS size FROM nation WHERE n_nationkey % 4 = 1 AND n_nationkey % 5 < 3 AND n_nationkey % 7 <> 6 AND n_nationkey * 20 + 50 >= 100)
+SELECT request_id, t.sample, t.chrom, t.pos // size * size AS start, {SUM} FROM r CROSS JOIN meth t WHERE t.sample IN ('A_F', 'R_F') GROUP BY ALL""")
+def request_bins(spark: SparkSession, sf_dir: str):
+    asked = _requests(spark, sf_dir)
+    ok = request_statuses(spark, sf_dir).where("status = 'ok'")
+    t = tables(spark, sf_dir)
+    return requests.answer_bins(asked.join(ok, "request_id", "left_semi"), t.chroms, t.sites, t.methylomes)
+
+
+@query("SELECT c_custkey AS interval_id, CAST(j AS INTEGER) AS col_ord, c_custkey + 2 * j AS n_meth, c_custkey + 2 * j + 1 AS n_unmeth FROM customer, range(3) r(j)")
+def matrix_text_parsed(spark: SparkSession, sf_dir: str):
+    keys = read(spark, sf_dir, "customer").select("c_custkey")
+    values = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (F.col("c_custkey") + i).cast("string"))
+    text = keys.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select(F.array_join(values, "\t").alias("value"))
+    return src.parse_matrix(_as_lines(text))
