@@ -60,7 +60,7 @@ TEXTS = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Words of which a candidate's first unit has one.
-CUES = r"(?i)licen[sc]e|spdx|redistribut|\bpermission (?:is|to)\b|public domain|\bcreative commons\b|\bcc0?[ -]by\b"
+CUES = r"(?i)licen[sc]e|\b(?:released|distributed|available) under\b|spdx|redistribut|\bpermission (?:is|to)\b|public domain|\bcreative commons\b|\bcc0?[ -]by\b"
 #: Compressed sizes fall by this share at least; so many of the best templates are confirmed; words that may differ.
 REDUCTION, CONFIRMED, DIFFERENT = 0.2, 5, 0.1
 #: Words that tell one license from another: names, versions, numbers.
