@@ -67,7 +67,7 @@ REDUCTION, CONFIRMED, DIFFERENT = 0.2, 5, 0.1
 TELLING = re.compile(r"\d|^(?:mit|apache|bsd|gnu|gpl\w*|lesser|affero|lgpl\w*|agpl\w*|mozilla|mpl|isc|eclipse|epl|boost|unlicense|cc0?|by|sa|nc|nd|zero|attribution|sharealike|noncommercial|noderivatives|clause|simplified|modified|new)$")
 
 WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-UNIT = re.compile(r"[^\n]+?(?:[.!?:](?=\s)|\n|$)", re.S)
+UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|\n|$)", re.S)
 CUE = re.compile(CUES)
 
 
