@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from methgrid.functions import columns as fn
-from methgrid.operators import catalog, check, genome, intervals, levels, merge, requests
+from methgrid.operators import catalog, check, genome, intervals, levels, merge, metadata, requests
 from methgrid.plans.derived import SAMPLES, SQL, Tables, read, tables, window_sql
 from methgrid.sources import counts, output
 from methgrid.sources import tables as src
-from methgrid.sources.fasta import motif_positions
+from methgrid.sources import fasta
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,13 +164,17 @@ def chromosome_hashes(t: Tables):
     return check.chrom_hash(t.sites, t.chroms).select("chrom", "chrom_hash")
 
 
-@query()
+@query(SQL + _BYTES + "SELECT sample, CAST((sum(d * ((len - i) % 65521)) % 65521) * 65536 + sum(d) % 65521 AS BIGINT) AS methylome_hash, CAST((SELECT n FROM n) AS BIGINT) AS n_cpgs FROM b GROUP BY sample")
+def methylome_metadata(t: Tables):
+    return metadata.methylome_metadata(t.methylomes, metadata.genome_metadata(t.sites, t.chroms)).select("sample", "methylome_hash", "n_cpgs")
+
+
+@query(SQL + f"""SELECT 'methylome' AS kind, sample AS name, true AS hash_ok, true AS index_found, sample <> 'A_F' AS index_ok, {SUM}{COVERED}, sample <> 'A_F' AS ok FROM meth GROUP BY sample
+UNION ALL SELECT 'genome', 'g1', true, true, true, NULL, NULL, NULL, true""")
 def consistency_report(t: Tables):
-    hashes = check.methylome_hash(t.methylomes, t.chroms.groupBy("genome").agg(F.sum("n_sites").alias("n_sites")))
-    index = check.index_hash(t.sites, t.chroms)
-    genomes = index.join(t.chroms.groupBy("genome").agg(F.sum("n_sites").alias("n_cpgs")), "genome").withColumn("version", F.lit("1"))
-    meta = hashes.join(genomes, "genome").select("sample", "genome", "version", "methylome_hash", F.when(F.col("sample") == "A_F", 0).otherwise(F.col("index_hash")).alias("index_hash"), "n_cpgs")
-    return check.check_all(t.sites, t.chroms, genomes, t.methylomes, meta)
+    genomes = metadata.genome_metadata(t.sites, t.chroms)
+    meta = metadata.methylome_metadata(t.methylomes, genomes).withColumn("index_hash", F.when(F.col("sample") == "A_F", 0).otherwise(F.col("index_hash")))
+    return check.check_all(t.sites, t.chroms, genomes, t.methylomes, meta).drop("genome")
 
 
 @query(SQL + ", e AS (" + _range_sql("bins500", "i.chrom, i.start, i.stop") + ") SELECT chrom, start, chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) || chr(9) || string_agg(CAST(n_meth AS VARCHAR) || chr(9) || CAST(n_unmeth AS VARCHAR), chr(9) ORDER BY sample) AS line FROM e GROUP BY chrom, start, stop")
@@ -185,7 +189,10 @@ def bin_classic_table(t: Tables):
     return output.to_wide(got, ["chrom", "start", "stop"], SAMPLES, kind="classic")
 
 
-@query()
+_G6 = "format('{:g}', CAST(CAST(n_meth / greatest(1, n_meth + n_unmeth) AS FLOAT) AS DOUBLE))"
+
+
+@query(SQL + f"SELECT sample, site_idx, {_G6} || chr(9) || CAST(n_meth + n_unmeth AS VARCHAR) AS classic, CASE WHEN n_meth + n_unmeth >= 60 THEN {_G6} ELSE 'NA' END AS score FROM meth")
 def site_score_text(t: Tables):
     return t.methylomes.select("sample", "site_idx", fn.element("classic").alias("classic"), fn.element("scores", min_reads=60).alias("score"))
 
@@ -205,7 +212,7 @@ def counts_text_decoded(spark: SparkSession, sf_dir: str):
 @query("SELECT doc_id, CAST(i AS INTEGER) AS pos FROM (SELECT doc_id, replace(text, chr(10), '') AS s, unnest(range(length(replace(text, chr(10), '')))) AS i FROM documents) WHERE substr(s, CAST(i AS INTEGER) + 1, 2) IN ('TH', 'Th', 'tH', 'th')")
 def motif_scan(spark: SparkSession, sf_dir: str):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "").alias("s"))
-    return docs.select("doc_id", F.explode(motif_positions(F.col("s"), "TH")).alias("pos"))
+    return docs.select("doc_id", F.explode(fasta.motif_positions(F.col("s"), "TH")).alias("pos"))
 
 
 def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,3 +289,63 @@ def matrix_text_parsed(spark: SparkSession, sf_dir: str):
     values = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (F.col("c_custkey") + i).cast("string"))
     text = keys.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select(F.array_join(values, "\t").alias("value"))
     return src.parse_matrix(_as_lines(text))
+
+
+@query(SQL + "SELECT chrom, pos, CAST(n_meth AS INTEGER) AS n_meth, CAST(n_unmeth AS INTEGER) AS n_unmeth FROM meth WHERE sample = 'A_F'")
+def xcounts_text_decoded(t: Tables):
+    placed = t.methylomes.where("sample = 'A_F'").join(t.sites.select("site_idx", "chrom", "chrom_ord", "pos"), "site_idx")
+    step = F.col("pos") - F.coalesce(F.lag("pos").over(Window.partitionBy("chrom").orderBy("pos")), F.lit(0))
+    records = placed.select("chrom_ord", F.col("pos"), F.concat_ws(" ", step.cast("string"), F.col("n_meth").cast("string"), F.col("n_unmeth").cast("string")).alias("value"))
+    titles = t.chroms.select("chrom_ord", F.lit(-1).cast("long").alias("pos"), F.col("chrom").alias("value"))
+    text = titles.unionByName(records).select(F.lit("x").alias("file"), (F.col("chrom_ord") * 1000000 + F.expr("greatest(pos, 0) div 4096")).cast("long").alias("block"), (F.col("pos") + 1).alias("id"), "value")
+    return counts.parse_xcounts(text).where("error is null").select("chrom", "pos", "n_meth", "n_unmeth")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chrom, i AS pos FROM (SELECT doc_id, replace(text, chr(10), '') AS s, unnest(range(length(replace(text, chr(10), '')))) AS i FROM documents) WHERE substr(s, CAST(i AS INTEGER) + 1, 2) IN ('AN', 'An', 'aN', 'an')")
+def fasta_sites(spark: SparkSession, sf_dir: str):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.concat_ws("\n", F.concat(F.lit(">"), F.col("doc_id").cast("string")), "text"), "\n")).alias("id", "value"))
+    text = docs.select(F.lit("docs.fa").alias("file"), F.col("doc_id").alias("block"), F.col("id").cast("long").alias("id"), "value")
+    return fasta.parse(text, "AN")[0].select("chrom", "pos")
+
+
+@query(SQL + """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS interval_id, CASE WHEN c.chrom IS NULL THEN 'unknown chromosome' WHEN a > b THEN 'start beyond stop' WHEN b > chrom_size THEN 'beyond the chromosome' END AS error
+FROM (SELECT *, o_orderkey * 7 % 16000 AS a, o_orderkey * 7 % 16000 + o_custkey % 50 - 3 AS b FROM orders) o LEFT JOIN chroms c ON c.chrom = 'chr' || CAST(o_custkey % 6 AS VARCHAR)""")
+def bed_validated(spark: SparkSession, sf_dir: str):
+    t = tables(spark, sf_dir)
+    start = F.col("o_orderkey") * 7 % 16000
+    rows = read(spark, sf_dir, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    text = rows.select(F.concat_ws("\t", F.concat(F.lit("chr"), (F.col("o_custkey") % 6).cast("string")), start.cast("string"), (start + F.col("o_custkey") % 50 - 3).cast("string"), F.lit("x")).alias("value"))
+    return src.parse_bed(_as_lines(text), t.chroms).select("interval_id", "error")
+
+
+@query("SELECT n_name AS file, CASE n_nationkey % 3 WHEN 0 THEN 'counts' WHEN 1 THEN 'xcounts' ELSE 'unknown' END AS format FROM nation")
+def format_detected(spark: SparkSession, sf_dir: str):
+    kind = F.col("n_nationkey") % 3
+    first = F.when(kind == 0, F.lit("chr1 5 + CG 0.5 4")).when(kind == 1, F.lit("chr1")).otherwise(F.lit("a b c"))
+    rows = read(spark, sf_dir, "nation").select(F.col("n_name").alias("file"), F.posexplode(F.array(F.lit("# head"), first, F.lit("5 1 2"))).alias("id", "value"))
+    return counts.detect(rows.withColumn("block", F.lit(0).cast("long")))
+
+
+_REQ = ", r AS (SELECT n_nationkey AS request_id, n_nationkey % 4 AS k, n_nationkey * 20 + 50 AS size FROM nation WHERE n_nationkey % 4 < 3 AND n_nationkey % 5 < 3 AND n_nationkey % 7 <> 6 AND (n_nationkey % 4 = 0 OR n_nationkey * 20 + 50 >= 100))"
+
+
+def _answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests(spark, sf_dir).join(request_statuses(spark, sf_dir).where("status = 'ok'"), "request_id", "left_semi")
+
+
+@query(SQL + _REQ + "SELECT request_id, CASE WHEN k = 0 THEN size ELSE (SELECT CAST(sum(ceil(chrom_size / CAST(CASE k WHEN 1 THEN size ELSE 100 END AS DOUBLE))) AS BIGINT) FROM chroms) END AS n_rows, 2 AS n_cols FROM r")
+def request_shapes(spark: SparkSession, sf_dir: str):
+    genomes = spark.createDataFrame([("g1", 1)], "genome string, index_hash long")
+    return requests.shapes(_answerable(spark, sf_dir), genomes, tables(spark, sf_dir).chroms)
+
+
+@query(SQL + _REQ + f""", w AS (SELECT request_id, size, chrom, k0 * 100 AS start, least(k0 * 100 + size, chrom_size) AS stop FROM r, (SELECT chrom, chrom_size, unnest(range(CAST(ceil(chrom_size / 100.0) AS BIGINT))) AS k0 FROM chroms) WHERE k = 2)
+SELECT request_id, x.sample, i.chrom, i.start, i.stop, {SUM} FROM w i CROSS JOIN (VALUES ('A_F'), ('R_F')) x(sample) LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
+def request_windows(spark: SparkSession, sf_dir: str):
+    t = tables(spark, sf_dir)
+    return requests.answer_windows(_answerable(spark, sf_dir), t.chroms, t.sites, t.methylomes, t.samples).drop("genome")
+
+
+@query("SELECT \"group\", to_json(map_from_entries(list((label, accession) ORDER BY label))) AS json FROM (" + _GROUPS + ") GROUP BY ALL")
+def sample_groups_json(spark: SparkSession, sf_dir: str):
+    return output.groups_json(catalog.make_groups(_members(spark, sf_dir)))

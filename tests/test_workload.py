@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from methgrid.plans import workload
@@ -21,7 +22,7 @@ def con():
 
 
 def rows(frame):
-    return sorted((tuple(None if x != x else round(x, 9) if isinstance(x, float) else x for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
+    return sorted((tuple(None if pd.isna(x) else round(float(x), 9) if isinstance(x, float) else x for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(workload.QUERIES))
