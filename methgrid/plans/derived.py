@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables made in this process, by application and folder.
+_MADE: dict[tuple[str, str], Tables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables; sites, chromosomes and counts are persisted, as ingest would have stored them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MADE:
+        _MADE[key] = _derive(spark, sf_dir)
+    return _MADE[key]
+
+
+def _derive(spark: SparkSession, sf_dir: str) -> Tables:
     line = read(spark, sf_dir, "lineitem")
     placed = line.select(
         F.lit(GENOME).alias("genome"),
@@ -43,8 +56,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     counts = placed.groupBy("genome", "chrom", "pos", "sample").agg(F.sum("m").alias("n_meth"), F.sum("u").alias("n_unmeth"))
     positions = placed.select("genome", "chrom", "pos").distinct()
     sizes = positions.groupBy("genome", "chrom").agg((F.max("pos") + 2).alias("chrom_size"))
-    sites, chroms = g.build(positions, sizes)
-    methylomes = counts.join(sites.select("genome", "chrom", "pos", "site_idx"), ["genome", "chrom", "pos"]).select("genome", "sample", "site_idx", "n_meth", "n_unmeth")
+    sites, chroms = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in g.build(positions, sizes))
+    aligned = counts.join(sites.select("genome", "chrom", "pos", "site_idx"), ["genome", "chrom", "pos"])
+    methylomes = aligned.select("genome", "sample", "site_idx", "n_meth", "n_unmeth").persist(StorageLevel.MEMORY_AND_DISK)
     samples = spark.createDataFrame([(GENOME, s) for s in SAMPLES], "genome string, sample string")
     order = read(spark, sf_dir, "orders")
     start = (F.col("o_orderkey") * 13) % 13000

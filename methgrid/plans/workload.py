@@ -346,6 +346,6 @@ def request_windows(spark: SparkSession, sf_dir: str):
     return requests.answer_windows(_answerable(spark, sf_dir), t.chroms, t.sites, t.methylomes, t.samples).drop("genome")
 
 
-@query("SELECT \"group\", to_json(map_from_entries(list((label, accession) ORDER BY label))) AS json FROM (" + _GROUPS + ") GROUP BY ALL")
+@query("SELECT \"group\", CAST(to_json(map_from_entries(list((label, accession) ORDER BY label))) AS VARCHAR) AS json FROM (" + _GROUPS + ") GROUP BY ALL")
 def sample_groups_json(spark: SparkSession, sf_dir: str):
     return output.groups_json(catalog.make_groups(_members(spark, sf_dir)))
