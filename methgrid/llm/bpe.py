@@ -18,18 +18,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import read_table
+from .common import in_batches, read_table
 
 #: Characters of text whose words are merged together, and words remembered between blocks.
-BLOCK, REMEMBERED = 10_000_000, 300_000
+BLOCK, REMEMBERED = 5_000_000, 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,12 +47,6 @@ class MergeReplay:
         self.ranks, self.pattern = ranks, pattern
         self.token = {rank: token for token, rank in ranks.items()}
 
-    def __getstate__(self):
-        return {"ranks": self.ranks, "pattern": self.pattern}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
     def prepare(self) -> None:
         """Sorted codes (left rank, right rank) of all pairs that merge, and the merged ranks."""
         self.words = regex.compile(self.pattern)
@@ -65,7 +62,9 @@ class MergeReplay:
         self.codes, self.merged = np.array(codes, np.int64)[order], np.array(merged, np.int32)[order]
         self.codes, self.merged = np.append(self.codes, np.int64(2**62)), np.append(self.merged, np.int32(-1))
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        # Numbers of the words remembered, and by number their ids as text, how many, and what they decode to.
+        self.number: dict[str, int] = {}
+        self.entries: list[tuple[str, int, bytes]] = []
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         code = left.astype(np.int64) * self.size + right
@@ -81,7 +80,7 @@ class MergeReplay:
         ends = np.cumsum(sizes) - 1
         symbol[ends] = -1
         n = len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
@@ -103,7 +102,7 @@ class MergeReplay:
                     heapq.heappush(queue, rank)
             return heads[0]
 
-        add(np.arange(n - 1), self._rank(symbol[:-1], symbol[1:]))
+        add(np.arange(n - 1, dtype=np.int32), self._rank(symbol[:-1], symbol[1:]))
         while queue:
             rank = heapq.heappop(queue)
             places = np.sort(np.concatenate(index.pop(rank)))
@@ -173,33 +172,35 @@ class MergeReplay:
                     heapq.heappush(queue, (x, k))
         return [[s for s in symbol if s >= 0]]
 
-    def learn_words(self, words: Iterable[str]) -> None:
-        """Enter the ids (as text), their number and the decoded bytes of new words into ``known``."""
-        new = [w for w in words if w not in self.known]
-        hard, raw = [], []
-        for w in new:
+    def learn_words(self) -> None:
+        """Make the entries of the words that have a number but no entry."""
+        new = list(islice(self.number, len(self.entries), None))
+        made: list = [None] * len(new)
+        hard, raw, token = [], [], self.token
+        for i, w in enumerate(new):
             data = w.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
             if whole is not None:
-                self.known[w] = (str(whole), 1, self.token[whole])
+                made[i] = (str(whole), 1, token[whole])
             else:
-                hard.append(w)
+                hard.append(i)
                 raw.append(data)
         if hard:
-            token = self.token
-            for w, ids in zip(hard, self.merge(raw), strict=True):
-                self.known[w] = (" ".join(map(str, ids)), len(ids), b"".join([token[i] for i in ids]))
+            for i, ids in zip(hard, self.merge(raw), strict=True):
+                made[i] = (" ".join(map(str, ids)), len(ids), b"".join([token[x] for x in ids]))
+        self.entries += made
 
     def blocks(self, texts: Iterable[str]) -> Iterator[tuple[str, int, bytes]]:
         """(ids joined by spaces, their number, decoded bytes) of each text, in order."""
 
-        def flush(held):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            split = [self.words.findall(t) for t in held]
-            self.learn_words(set().union(*split))
-            for words in split:
-                got = list(map(self.known.__getitem__, words))
+        def flush(held: list[str]):
+            if len(self.entries) > REMEMBERED:
+                self.number, self.entries = {}, []
+            number = self.number
+            coded = [array("I", [number.setdefault(w, len(number)) for w in self.words.findall(t)]) for t in held]
+            self.learn_words()
+            for codes in coded:
+                got = list(map(self.entries.__getitem__, codes))
                 yield " ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])
 
         held, size = [], 0
@@ -214,33 +215,42 @@ class MergeReplay:
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, with ``ids`` and ``decoded`` on request."""
-    coder = docs.sparkSession.sparkContext.broadcast(MergeReplay(load_ranks(ranks_path), pattern))
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if with_ids else [])
+
+    def encoded(model: MergeReplay, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        counts, ids_hash, text_hash, all_ids, decoded = [], [], [], [], []
+        for ids, n, data in model.blocks(x.as_py() for batch in held for x in batch.column(1)):
+            counts.append(n)
+            ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+            text_hash.append(hashlib.sha256(data).hexdigest())
+            if with_ids:
+                all_ids.append([int(i) for i in ids.split()])
+                decoded.append(data.decode("utf-8", "replace"))
+        columns = [pa.concat_arrays([batch.column(0) for batch in held]), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+        if with_ids:
+            columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = coder.value
+        # Made anew in every task, so that nothing of it outlives the task in a worker.
+        model = MergeReplay(ranks.value, pattern)
         model.prepare()
+        held, size = [], 0
         for batch in batches:
-            if not len(batch):
-                continue
-            counts, ids_hash, text_hash, all_ids, decoded = [], [], [], [], []
-            column = batch.column(1)
-            for ids, n, data in model.blocks(x.as_py() for x in column):
-                counts.append(n)
-                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(data).hexdigest())
-                if with_ids:
-                    all_ids.append([int(i) for i in ids.split()])
-                    decoded.append(data.decode("utf-8", "replace"))
-            columns, names = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns, names = [*columns, pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded)], [*names, "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= BLOCK:
+                yield encoded(model, held)
+                held, size = [], 0
+        if held:
+            yield encoded(model, held)
 
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
-    return base.mapInArrow(run, schema)
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    return in_batches(base).mapInArrow(run, schema)
 
 
 def _public() -> tuple[str, str]:

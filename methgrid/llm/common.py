@@ -18,6 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of the Arrow batches that Python workers get; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were bounded for it."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

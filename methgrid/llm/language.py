@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, read_table
+from .common import DOC_COLUMNS, in_batches, read_table
 
 #: Bytes of a window.
 WINDOW = 128
@@ -162,7 +162,8 @@ def predict(docs: DataFrame, net: ByteConv | None, keep: list[str]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        model.fold()
+        if not hasattr(model, "pairs"):
+            model.fold()
         for batch in batches:
             names, scores, queue, owners, weights = [UNKNOWN] * len(batch), np.zeros(len(batch)), [], [], []
             total = np.zeros((len(batch), len(model.languages)))
@@ -196,7 +197,7 @@ def predict(docs: DataFrame, net: ByteConv | None, keep: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return base.mapInArrow(run, schema)
+    return in_batches(base).mapInArrow(run, schema)
 
 
 def op5_byte_conv(spark: SparkSession, sf_dir: str) -> DataFrame:

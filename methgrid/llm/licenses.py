@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import in_batches, read_table
 
 #: Names of licenses as notices write them.
 NAMES = {
@@ -167,7 +167,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.string()), ("added", pa.string())])
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(CUES))
-    return some.mapInArrow(run, "doc_id long, start int, end int, license string, reduction double, missing string, added string")
+    return in_batches(some).mapInArrow(run, "doc_id long, start int, end int, license string, reduction double, missing string, added string")
 
 
 def op6_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

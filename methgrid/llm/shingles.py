@@ -13,7 +13,7 @@ from .common import words_of
 #: Words of a shingle.
 SHINGLE = 5
 #: Words of the texts that are worked on together.
-CHUNK = 400_000
+CHUNK = 600_000
 
 
 def word_hashes(text) -> F.Column:
