@@ -10,8 +10,9 @@ Jaccard index. A process is left as soon as its next point lies beyond all regis
 Signatures are cut into bands. Texts that share a band are candidates: all pairs of small
 groups; members of larger groups against a pivot, different in every band, and, in a finer
 group that also shares the next band, and the next but one, again. Copies were folded into one
-node before. Candidates are verified by the exact overlap of their multisets, and connected
-texts form classes.
+node before. Candidates are verified by the exact overlap of their multisets. Members of larger
+groups that this leaves in different components are compared by an exact join over length and
+prefix filters, whose result doesn't depend on the bands. Connected texts form classes.
 
 Nulls: null texts and texts without words are classes of their own. Shorter texts than a shingle
 are one shingle. A null ``doc_id`` takes part by its text. Repeated rows are copies. Empty tables
@@ -37,6 +38,8 @@ SIMILAR = 0.8
 PAIRED = 12
 #: How often a larger group is refined by one more band.
 LEVELS = 3
+#: Members of larger groups that have one shingle in their prefixes are joined in blocks of so many.
+BLOCK = 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,8 +113,8 @@ def signed(docs: DataFrame) -> DataFrame:
     return written(in_batches(base).mapInArrow(run, "doc_id long, text_key long, node string, bands array<long>"), "signatures")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes (nid, bands) that may be similar."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, of nodes (nid, bands) that may be similar, and (key, nid) of the groups over PAIRED."""
     rows = nodes.select("nid", "bands", F.posexplode("bands").alias("band", "key"))
     rows = rows.select("nid", "band", "key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next_1"), F.get("bands", (F.col("band") + 2) % BANDS).alias("next_2"))
     found = []
@@ -122,13 +125,15 @@ def candidates(nodes: DataFrame) -> DataFrame:
         few = members.where(F.col("n") <= PAIRED).select("key", "nid")
         found.append(few.select("key", F.col("nid").alias("a")).join(few.select("key", F.col("nid").alias("b")), "key").where("a < b").select("a", "b"))
         many = members.where(F.col("n") > PAIRED)
+        if level == 0:
+            large = many.select("key", "nid")
         found.append(many.where("nid != pivot").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")))
         if level < LEVELS - 1:
             rows = many.select("nid", "band", F.xxhash64("key", f"next_{level + 1}").alias("key"), "next_1", "next_2")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), large
 
 
 def id_key(doc_id) -> F.Column:
@@ -189,6 +194,42 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame | None:
+    """Distinct (a, b), a < b, of members of larger groups in different components that may overlap by ``least``; None without such groups.
+
+    Every pair that does is among them: sorted by one order of all atoms, the longer set's first
+    n - least * n + 1 and the shorter set's first n - 2 * least / (1 + least) * n + 1 atoms meet.
+    Rare atoms come first. Of an atom's members those of its largest component aren't joined with
+    each other, and the others are joined in blocks of BLOCK against BLOCK.
+    """
+    labelled = large.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    members = written(labelled.join(split, "key").select("nid", "label").distinct(), "large_members")
+    if not members.limit(1).count():
+        return None
+    own = sets.join(members, "nid").select("nid", "label", F.array_distinct("atoms").alias("atoms"))
+    each = own.select("nid", "label", F.size("atoms").alias("n"), F.explode("atoms").alias("atom"))
+    often = each.groupBy("atom").agg(F.count(F.lit(1)).alias("often"))
+    first = each.join(often, "atom").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "atom"))).alias("sorted"))
+    length = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-6) + 1).cast("int")
+    placed = first.select("nid", "label", "n", F.posexplode(F.slice("sorted", F.lit(1), length(least))).alias("place", "one"))
+    indexed = F.col("place") < length(2 * least / (1 + least))
+    prefix = written(placed.where("one.often > 1").select("nid", "label", "n", F.col("one.atom").alias("atom"), indexed.alias("indexed")), "prefixes")
+    of_label = prefix.groupBy("atom", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = of_label.groupBy("atom").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = prefix.join(main.select("atom", "main", blocks.alias("blocks")), "atom")
+    block, every = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    long = rows.select("atom", F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "main", block.alias("x_block"), every.alias("y_block"))
+    short = rows.where("indexed").select("atom", F.col("nid").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("main").alias("y_main"), block.alias("y_block"), every.alias("x_block"))
+    may = (F.col("y_n") >= F.col("x_n") * least - 1e-6) & ((F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y") < F.col("x"))))
+    found = [
+        x.join(y, ["atom", "x_block", "y_block"]).where(may & (F.col("x_label") != F.col("y_label"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        for x, y in ((long.where("x_label != main"), short), (long.where("x_label = main"), short.where("y_label != y_main")))
+    ]
+    return found[0].unionByName(found[1]).distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(doc_id, text_key, node, class_id, is_first) of every row: the class of near duplicates and its least doc_id.
 
@@ -197,10 +238,19 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     sigs = signed(docs)
     nodes = sigs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    pairs = written(candidates(nodes.select("nid", "bands")), "pairs")
+    pairs, large = candidates(nodes.select("nid", "bands"))
+    pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
     sets = written(multisets(docs, nodes.select("nid", "node", "rep").join(wanted, "nid")), "multisets")
-    labels = components(written(verified(pairs, sets, least), "links"))
+    links = written(verified(pairs, sets, least), "links")
+    labels = components(links)
+    rest = rest_pairs(large, labels, sets, least)
+    if rest is not None:
+        # What failed before needn't be verified again.
+        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest_pairs")
+        more = written(verified(rest, sets, least), "rest_links")
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
     labelled = nodes.select("nid", "node", "rep").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     best = labelled.groupBy("label").agg(F.min_by(F.struct("rep", "node"), F.struct(F.col("rep").isNull(), "rep")).alias("first"))
     of_node = labelled.join(best, "label").select("node", F.col("first.rep").alias("class_id"), (F.col("node") == F.col("first.node")).alias("first_node"))

@@ -374,6 +374,35 @@ def test_large_groups_and_edge_rows(spark, corpus):
     assert {r.class_id for r in minhash.classes(docs).where("doc_id < 1000").collect()} == {0}
 
 
+def test_pairs_among_texts_of_one_template(spark):
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    # Fillings are values of polynomials: two texts have two of six slots in common at most, and each filling is in hundreds.
+    for c in itertools.product(range(17), repeat=3):
+        w = list(template)
+        for x in range(6):
+            w[20 + 15 * x] = f"f{x}v{(c[0] + c[1] * x + c[2] * x * x) % 17}"
+        texts.append(w)
+    n = len(texts)
+    for i in rng.sample(range(n), 200):
+        w = list(texts[i])
+        w[rng.randrange(5, 10)], w[112] = f"g{i}", f"h{i}"
+        texts.append(w)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    shared = [k for k, n in collections.Counter(itertools.chain(*sets)).items() if n > 1]
+    column = {k: j for j, k in enumerate(shared)}
+    has = np.zeros((len(sets), len(shared)), np.float32)
+    for i, one in enumerate(sets):
+        has[i, [column[k] for k in one if k in column]] = 1
+    both, sizes = has @ has.T, np.array([len(x) for x in sets])
+    score = both / (sizes[:, None] + sizes[None, :] - both)
+    want = {i: i for i in range(len(sets))} | {int(j): int(i) for i, j in np.argwhere(np.triu(score >= 0.8, 1))}
+    assert len(set(want.values())) == n and 0.55 < np.median(score) < 0.75
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
+
+
 def test_shingle_hashes_are_of_the_words():
     h = np.arange(1, 9, dtype=np.uint64)
     got, owner, first = shingles.shingles(h, np.array([0, 3, 3, 8]))
