@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, in_batches, read_table
@@ -122,24 +122,36 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, WINDOW), sizes
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> ByteConv | None:
-    """A network from labelled rows that aren't held out: ``sample`` texts at most, the same in every run.
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame | None:
+    """(lang, chance, piece): the first ``sample`` / languages distinct texts of each language by a hash; None without labels.
 
-    Rows are taken by a hash of the text; rarer languages are taken whole before frequent ones are thinned.
+    A language with fewer is taken whole, and no limit over all languages follows: rows are
+    thinned to somewhat more than a language's part first, so that no task ranks a whole language.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
-    counts = dict(known.groupBy("lang").count().collect())
+    counts = dict(known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).collect())
     if not counts:
         return None
-    each = sample // len(counts)
+    each = max(1, sample // len(counts))
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * each / n))).otherwise(share)
+        # The count may be a tenth too high, and what a hash takes is off by some square roots.
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * (each + 8 * each**0.5 + 30) / max(n, 1)))).otherwise(share)
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
     start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - PER_TEXT * WINDOW, F.lit(1))).cast("int")
     piece = F.substring("text", start + 1, F.lit(PER_TEXT * WINDOW))
-    rows = known.where(chance < share).orderBy(chance).limit(sample).select("lang", piece.alias("piece")).collect()
-    languages = sorted(counts)
+    some = known.where(chance < share).select("lang", chance.alias("chance"), F.xxhash64("text").alias("text_key"), piece.alias("piece")).dropDuplicates(["lang", "text_key"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "text_key"))
+    return some.withColumn("place", place).where(F.col("place") <= each).select("lang", "chance", "piece")
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> ByteConv | None:
+    """A network from labelled rows that aren't held out: ``sample`` texts at most, the same in every run."""
+    chosen = sampled(docs, sample)
+    if chosen is None:
+        return None
+    rows = sorted(chosen.collect(), key=lambda r: (r.chance, r.lang, r.piece))
+    languages = sorted({r.lang for r in rows})
     cut = [(windows_of(r.piece.encode())[0][:PER_TEXT], languages.index(r.lang)) for r in rows]
     if not cut:
         return None

@@ -202,6 +202,16 @@ def test_language_is_learned(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97
 
 
+def test_each_language_has_its_part_of_the_sample(spark, monkeypatch):
+    many = [(i, f"text {i} of l{i % 5}", f"l{i % 5}") for i in range(10_000)]
+    rare = [(20_000 + i, f"rare text {i}", "rare") for i in range(150)]
+    docs = spark.createDataFrame(many + rare + rare[:50], "doc_id long, text string, lang string")
+    learned = []
+    monkeypatch.setattr(language.ByteConv, "train", lambda net, windows, labels: learned.extend(net.languages[y] for y in labels))
+    language.learn(docs, 600)
+    assert collections.Counter(learned) == {**{f"l{k}": 100 for k in range(5)}, "rare": min(100, sum(zlib.crc32(str(r[0]).encode()) % 3 != 1 for r in rare))}
+
+
 def test_licenses(spark, corpus):
     folder, _ = corpus
     assert [(r.doc_id, r.start, r.end, r.license) for r in licenses.op6_conditional_compression(spark, folder).collect()] == [(17, 0, 46, "Apache-2.0")]
