@@ -3,8 +3,9 @@
 Words (matches of the tokenizer's pattern) are collected over a block of texts. The distinct
 ones that aren't known yet stand in one array of symbols; an inverted index leads from a rank
 to the places whose two symbols merge into it. Ranks are replayed in ascending order, each over
-all its places at once, and only the neighbours of merged symbols are looked up anew. Each
-distinct word is encoded once a block, its ids are then put back into every text.
+all its places at once, and only the neighbours of merged symbols are looked up anew. Words have
+numbers and their ids stand in one flat array, from which every text's ids are gathered. When
+too many words are held, those that the last block used stay.
 
 Ranks are read by the driver and broadcast: a vocabulary has a fixed size.
 
@@ -18,9 +19,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
+import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import in_batches, read_table
 
 #: Characters of text whose words are merged together, and words remembered between blocks.
-BLOCK, REMEMBERED = 5_000_000, 120_000
+BLOCK, REMEMBERED = 5_000_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +42,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def narrow_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of code points below 256, with its classes written out; None if it has others than these.
+
+    Python's own engine runs it in half the time, and few texts need the whole pattern.
+    """
+    classes = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s", r"\S"):
+        member = regex.compile(name)
+        classes[name] = "".join(f"\\x{i:02x}" for i in range(256) if member.fullmatch(chr(i)))
+    out, inside = [], False
+    for part in re.findall(r"\\p\{[LN]\}|\\.|\[\^?|.", pattern, re.S):
+        if part in classes:
+            out.append(classes[part] if inside else f"[{classes[part]}]")
+        elif part[0] == "\\" and part[1].isalnum():
+            return None
+        else:
+            inside = part[0] == "[" or inside and part != "]"
+            out.append(part)
+    return re.compile("".join(out))
+
+
 class MergeReplay:
     """Encoder and decoder for one vocabulary and pattern."""
 
@@ -49,7 +72,7 @@ class MergeReplay:
 
     def prepare(self) -> None:
         """Sorted codes (left rank, right rank) of all pairs that merge, and the merged ranks."""
-        self.words = regex.compile(self.pattern)
+        self.words, self.narrow, self.wide = regex.compile(self.pattern), narrow_pattern(self.pattern), re.compile("[^\x00-\xff]")
         self.size = 1 << 17
         codes, merged = [], []
         for token, rank in self.ranks.items():
@@ -62,18 +85,24 @@ class MergeReplay:
         self.codes, self.merged = np.array(codes, np.int64)[order], np.array(merged, np.int32)[order]
         self.codes, self.merged = np.append(self.codes, np.int64(2**62)), np.append(self.merged, np.int32(-1))
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        # Numbers of the words remembered, and by number their ids as text, how many, and what they decode to.
-        self.number: dict[str, int] = {}
-        self.entries: list[tuple[str, int, bytes]] = []
+        top = max(self.token, default=-1) + 1
+        self.shown = [str(i) for i in range(top)]
+        self.piece = [self.token.get(i, b"") for i in range(top)]
+        self._forget([], np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def _forget(self, words: list[str], ids: np.ndarray, edges: np.ndarray) -> None:
+        """Hold these words only: word i has the ids from edges[i] to edges[i + 1]."""
+        self.number: defaultdict[str, int] = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.ids, self.edges = ids, edges
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         code = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.codes, code)
         return np.where((left >= 0) & (right >= 0) & (self.codes[at] == code), self.merged[at], -1)
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, by replaying all merges over all words together."""
-        # A word that is a token as a whole is that token; symbol -1 keeps words apart.
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, how many each word has), by replaying all merges over all words together."""
+        # Symbol -1 keeps words apart.
         sizes = np.array([len(w) + 1 for w in words])
         raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
         symbol = self.single[raw]
@@ -135,20 +164,16 @@ class MergeReplay:
             ranks = np.concatenate((self._rank(symbol[left[has_left]], symbol[places[has_left]]), self._rank(symbol[places[has_right]], symbol[beyond[has_right]])))
             if add(spots, ranks) < rank:
                 return self._merge_apart(words)
-        kept = symbol != -2
-        flat = symbol[kept]
+        flat = symbol[symbol != -2]
         stops = np.flatnonzero(flat == -1)
-        ids, out, at = flat.tolist(), [], 0
-        for stop in stops.tolist():
-            out.append(ids[at:stop])
-            at = stop + 1
-        return out
+        return flat[flat >= 0], np.diff(stops, prepend=-1) - 1
 
-    def _merge_apart(self, words: list[bytes]) -> list[list[int]]:
+    def _merge_apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For vocabularies in which a merge makes a lower rank: replay in halves, then words one by one by (rank, place)."""
         if len(words) > 1:
             half = len(words) // 2
-            return self.merge(words[:half]) + self.merge(words[half:])
+            parts = self.merge(words[:half]), self.merge(words[half:])
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         symbol = [self.ranks[bytes([b])] for b in words[0]]
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -170,38 +195,54 @@ class MergeReplay:
             for k in (before[i], i):
                 if k >= 0 and (x := rank(k)) is not None:
                     heapq.heappush(queue, (x, k))
-        return [[s for s in symbol if s >= 0]]
+        ids = np.array([s for s in symbol if s >= 0], np.int32)
+        return ids, np.array([len(ids)])
 
     def learn_words(self) -> None:
-        """Make the entries of the words that have a number but no entry."""
-        new = list(islice(self.number, len(self.entries), None))
-        made: list = [None] * len(new)
-        hard, raw, token = [], [], self.token
-        for i, w in enumerate(new):
-            data = w.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(data)
-            if whole is not None:
-                made[i] = (str(whole), 1, token[whole])
-            else:
-                hard.append(i)
-                raw.append(data)
-        if hard:
-            for i, ids in zip(hard, self.merge(raw), strict=True):
-                made[i] = (" ".join(map(str, ids)), len(ids), b"".join([token[x] for x in ids]))
-        self.entries += made
+        """Append the ids of the words that have a number but no ids yet."""
+        new = [w.encode("utf-8", "surrogatepass") for w in islice(self.number, len(self.edges) - 1, None)]
+        if not new:
+            return
+        # A word that is a token as a whole is that token.
+        whole = np.array(list(map(self.ranks.get, new, [-1] * len(new))), np.int32)
+        hard = np.flatnonzero(whole < 0)
+        sizes = np.ones(len(new), np.int64)
+        if len(hard):
+            ids, sizes[hard] = self.merge([new[i] for i in hard.tolist()])
+        ends = np.cumsum(sizes)
+        out = np.empty(ends[-1], np.int32)
+        easy = whole >= 0
+        out[ends[easy] - 1] = whole[easy]
+        if len(hard):
+            out[np.repeat(~easy, sizes)] = ids
+        self.ids = np.concatenate((self.ids, out))
+        self.edges = np.concatenate((self.edges, self.edges[-1] + ends))
+
+    def _gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids of the words of these numbers, how many each has)."""
+        sizes = self.edges[codes + 1] - self.edges[codes]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.arange(sizes.sum()) + np.repeat(self.edges[codes] - before, sizes)], sizes
 
     def blocks(self, texts: Iterable[str]) -> Iterator[tuple[str, int, bytes]]:
         """(ids joined by spaces, their number, decoded bytes) of each text, in order."""
 
+        def words_of(text: str) -> list[str]:
+            return (self.words if self.narrow is None or self.wide.search(text) else self.narrow).findall(text)
+
         def flush(held: list[str]):
-            if len(self.entries) > REMEMBERED:
-                self.number, self.entries = {}, []
-            number = self.number
-            coded = [array("I", [number.setdefault(w, len(number)) for w in self.words.findall(t)]) for t in held]
+            coded = [np.array(list(map(self.number.__getitem__, words_of(t))), np.int64) for t in held]
             self.learn_words()
             for codes in coded:
-                got = list(map(self.entries.__getitem__, codes))
-                yield " ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])
+                ids = self._gathered(codes)[0].tolist()
+                yield " ".join(map(self.shown.__getitem__, ids)), len(ids), b"".join(map(self.piece.__getitem__, ids))
+            if len(self.number) > REMEMBERED:
+                used = np.zeros(len(self.number), bool)
+                for codes in coded:
+                    used[codes] = True
+                ids, sizes = self._gathered(np.flatnonzero(used))
+                words = [w for w, u in zip(self.number, used.tolist(), strict=True) if u]
+                self._forget(words, ids, np.concatenate(([0], np.cumsum(sizes))))
 
         held, size = [], 0
         for text in texts:
@@ -210,7 +251,8 @@ class MergeReplay:
             if size >= BLOCK:
                 yield from flush(held)
                 held, size = [], 0
-        yield from flush(held)
+        if held:
+            yield from flush(held)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -265,7 +265,27 @@ def test_bpe_with_merges_out_of_order():
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     data = [b"abcd", b"abcabc", b"bcd", b"aabbccdd" * 5]
-    assert model.merge(data) == [brute(d) for d in data]
+    ids, sizes = model.merge(data)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [brute(d) for d in data]
+
+
+def test_bpe_forgets_words(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "BLOCK", 2000)
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    model = bpe.MergeReplay(ranks, P.PATTERN)
+    model.prepare()
+    rng = random.Random(5)
+    alphabet = "abcdefgh ²³ªÀß\x85\xa0\n'st9\x1c€"
+    texts = [prose(rng, 60) + "".join(rng.choice(alphabet if i % 2 else alphabet[:-1]) for _ in range(100)) for i in range(120)]
+    for text, (ids, n, data) in zip(texts, model.blocks(texts), strict=True):
+        want = enc.encode_ordinary(text)
+        assert ids == " ".join(map(str, want)) and n == len(want) and data == text.encode()
+    assert len(model.number) <= 300 + 2 * 2000
 
 
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
