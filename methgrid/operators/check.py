@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from methgrid.operators.scan import small
+
 #: Fixed value: the modulus of Adler-32.
 MOD = 65521
 
@@ -28,7 +30,7 @@ def methylome_hash(methylomes: DataFrame, n_sites: DataFrame) -> DataFrame:
 
     n_sites: (genome, n_sites), one row for a genome.
     """
-    rows = methylomes.join(F.broadcast(n_sites), "genome")
+    rows = methylomes.join(small(n_sites), "genome")
     at = F.col("site_idx") * 4
     parts = _bytes(F.col("n_meth"), 2, at) + _bytes(F.col("n_unmeth"), 2, at + 2)
     return rows.groupBy("genome", "sample").agg(_adler(parts, F.col("n_sites") * 4).alias("methylome_hash"))
@@ -36,7 +38,7 @@ def methylome_hash(methylomes: DataFrame, n_sites: DataFrame) -> DataFrame:
 
 def chrom_hash(sites: DataFrame, chroms: DataFrame) -> DataFrame:
     """(genome, chrom, chrom_ord, n_sites, chrom_hash) over the 32-bit positions of each chromosome."""
-    rows = sites.join(F.broadcast(chroms.select("genome", "chrom", "chrom_offset", "n_sites")), ["genome", "chrom"])
+    rows = sites.join(small(chroms.select("genome", "chrom", "chrom_offset", "n_sites")), ["genome", "chrom"])
     at = (F.col("site_idx") - F.col("chrom_offset")) * 4
     hashed = rows.groupBy("genome", "chrom").agg(_adler(_bytes(F.col("pos"), 4, at), F.col("n_sites") * 4).alias("chrom_hash"))
     return chroms.select("genome", "chrom", "chrom_ord", "n_sites").join(hashed, ["genome", "chrom"], "left").fillna(0, ["chrom_hash"])

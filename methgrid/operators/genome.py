@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from methgrid.operators.scan import running
+from methgrid.operators.scan import running, small
 
 #: Positions of a block in which sites are ranked.
 BLOCK = 1 << 20
@@ -29,7 +29,7 @@ def build(positions: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]
         "n_sites",
     )
     ranked = running(positions.withColumn("block", F.expr(f"pos div {BLOCK}")), ["genome", "chrom"], "block", ["pos"], {"rank": F.lit(1)})
-    sites = ranked.join(F.broadcast(chroms.select("genome", "chrom", "chrom_ord", "chrom_offset")), ["genome", "chrom"])
+    sites = ranked.join(small(chroms.select("genome", "chrom", "chrom_ord", "chrom_offset")), ["genome", "chrom"])
     return sites.select("genome", "chrom", "chrom_ord", F.col("pos").cast("long").alias("pos"), (F.col("chrom_offset") + F.col("rank") - 1).alias("site_idx")), chroms
 
 

@@ -9,23 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methgrid.operators.genome import BLOCK
-from methgrid.operators.scan import running
+from methgrid.operators.scan import last_before, small
 
+#: Positions of a block in which bounds and sites meet.
+BLOCK = 1 << 14
 
-def site_ranks(intervals: DataFrame, sites: DataFrame, chroms: DataFrame) -> DataFrame:
+
+def site_marks(sites: DataFrame, chroms: DataFrame) -> DataFrame:
+    """(genome, chrom, block, pos, rank, before) for ``site_ranks``: sites in blocks, each with the number of sites up to it.
+
+    Every block of a chromosome is opened by a seed with the number of sites before the block.
+    It depends on the genome only, so it is made once, at ingest.
+    """
+    block = F.expr(f"pos div {BLOCK}")
+    counts = sites.groupBy("genome", "chrom", block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    axis = chroms.select("genome", "chrom", "chrom_offset", F.explode(F.expr(f"sequence(0, chrom_size div {BLOCK})")).alias("block"))
+    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("genome", "chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    seeds = axis.join(counts, ["genome", "chrom", "block"], "left").select("genome", "chrom", "block", (F.col("block") * BLOCK).alias("pos"), F.lit(-1).alias("rank"), (F.col("chrom_offset") + F.coalesce(before, F.lit(0))).alias("before"))
+    return seeds.unionByName(sites.select("genome", "chrom", block.alias("block"), "pos", F.lit(1).alias("rank"), (F.col("site_idx") + 1).alias("before")))
+
+
+def site_ranks(intervals: DataFrame, sites: DataFrame, chroms: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """``intervals`` with lo and hi: the interval holds the sites of ranks lo to hi - 1.
 
-    Bounds and sites are put in one order, bounds before the site at the same place; a bound's
-    rank is the number of sites before it, counted in blocks of the chromosome.
+    Every bound looks for the last site before it in its block of the chromosome. Intervals of
+    chromosomes that the genome doesn't have are left out. marks: what ``site_marks`` has stored.
     """
-    bounds = intervals.select("genome", "chrom", F.explode(F.array("start", "stop")).alias("pos")).distinct()
-    events = bounds.select("genome", "chrom", "pos", F.lit(0).alias("is_site")).unionByName(sites.select("genome", "chrom", "pos", F.lit(1).alias("is_site")))
-    counted = running(events.withColumn("block", F.expr(f"pos div {BLOCK >> 6}")), ["genome", "chrom"], "block", ["pos", "is_site"], {"rank": F.col("is_site")})
-    ranks = counted.where("is_site = 0").join(F.broadcast(chroms.select("genome", "chrom", "chrom_offset")), ["genome", "chrom"]).select("genome", "chrom", "pos", (F.col("rank") + F.col("chrom_offset")).alias("at"))
-    lo = ranks.select("genome", "chrom", F.col("pos").alias("start"), F.col("at").alias("lo"))
-    hi = ranks.select("genome", "chrom", F.col("pos").alias("stop"), F.col("at").alias("hi"))
-    return intervals.join(lo, ["genome", "chrom", "start"]).join(hi, ["genome", "chrom", "stop"])
+    marks = site_marks(sites, chroms) if marks is None else marks
+    known = intervals.join(small(chroms.select("genome", "chrom", "chrom_size")), ["genome", "chrom"])
+    ends = F.explode(F.array(F.struct(F.lit(False).alias("is_stop"), F.col("start").alias("at")), F.struct(F.lit(True).alias("is_stop"), F.col("stop").alias("at"))))
+    events = known.withColumn("end", ends).withColumn("pos", F.greatest(F.lit(0), F.least("end.at", "chrom_size"))).withColumn("block", F.expr(f"pos div {BLOCK}"))
+    columns = intervals.columns
+    others = [c for c in columns if c not in ("genome", "chrom")]
+    found = last_before(events.select("genome", "chrom", *others, F.col("end.is_stop").alias("is_stop"), "pos", "block"), marks, ["genome", "chrom"], "pos", ["before"])
+    return found.groupBy(*columns).agg(F.max(F.when(~F.col("is_stop"), F.col("before"))).alias("lo"), F.max(F.when(F.col("is_stop"), F.col("before"))).alias("hi"))
 
 
 def n_cpgs(ranked: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from methgrid.operators import genome as g
 from methgrid.operators.intervals import site_ranks
-from methgrid.operators.scan import running
+from methgrid.operators.scan import last_before, small
 
 #: Site ranks of a block of prefix sums.
 BLOCK = 4096
@@ -35,33 +35,63 @@ def requested(methylomes: DataFrame, samples: list[str]) -> DataFrame:
     """
     spark = methylomes.sparkSession
     asked = spark.createDataFrame([(s, i) for i, s in enumerate(samples)], "sample string, col_ord int")
-    return methylomes.join(F.broadcast(asked), "sample")
+    return methylomes.join(small(asked), "sample")
+
+
+def by_index(meta: DataFrame, samples: list[str]) -> DataFrame:
+    """(index_hash, samples) of the requested samples; they can be asked together if there is one row."""
+    return meta.where(F.col("sample").isin(samples)).groupBy("index_hash").agg(F.sort_array(F.collect_set("sample")).alias("samples"))
 
 
 def check_one_genome(meta: DataFrame, samples: list[str]) -> None:
     """Refuse samples that belong to different indexes; meta: (sample, index_hash), one row each."""
-    found = meta.where(F.col("sample").isin(samples)).groupBy("index_hash").agg(F.sort_array(F.collect_set("sample")).alias("samples"))
-    groups = found.limit(2).collect()
+    groups = by_index(meta, samples).limit(2).collect()
     if len(groups) > 1:
         raise ValueError(f"samples of different genomes: {groups[0].samples[:5]} and {groups[1].samples[:5]}")
 
 
-def interval_levels(ranked: DataFrame, methylomes: DataFrame, samples: DataFrame, covered: bool = False) -> DataFrame:
+def prefix_sums(methylomes: DataFrame, chroms: DataFrame) -> DataFrame:
+    """(genome, sample, block, at, rank, n_meth, n_unmeth, n_covered): each site's sums up to it in its sample, for ``interval_levels``.
+
+    Sites are summed in blocks of ranks, and every block of a sample is opened by a seed with the
+    sums before the block. It depends on the methylomes only, so it is made once, at ingest.
+    """
+    sums = _sums(True)
+    block = F.expr(f"site_idx div {BLOCK}")
+    rows = methylomes.select("genome", "sample", block.alias("block"), F.col("site_idx").alias("at"), *[c.alias(n) for n, c in sums.items()])
+    totals = rows.groupBy("genome", "sample", "block").agg(*[F.sum(n).alias(n) for n in sums])
+    last = chroms.groupBy("genome").agg(F.expr(f"sum(n_sites) div {BLOCK}").alias("last"))
+    axis = methylomes.select("genome", "sample").distinct().join(small(last), "genome").select("genome", "sample", F.explode(F.expr("sequence(0, last)")).alias("block"))
+    earlier = Window.partitionBy("genome", "sample").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = axis.join(totals, ["genome", "sample", "block"], "left").select("genome", "sample", "block", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
+    inside = Window.partitionBy("genome", "sample", "block").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    opened = seeds.select("genome", "sample", "block", (F.col("block") * BLOCK).alias("at"), F.lit(-1).alias("rank"), *sums)
+    both = opened.unionByName(rows.select("genome", "sample", "block", "at", F.lit(1).alias("rank"), *sums))
+    return both.withColumns({n: F.sum(n).over(inside) for n in sums})
+
+
+def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, on: list[str] | None = None) -> DataFrame:
     """(interval_id, sample, n_meth, n_unmeth[, n_covered]) of intervals with site ranks.
 
-    Every bound becomes an event in each sample, in rank order before the site of its rank. The
-    prefix sum at stop less that at start is the interval's sum, so the cost doesn't depend on the
-    width or the overlap of intervals. samples: (genome, sample), one row each.
+    Every bound looks for the last site before it among a sample's prefix sums; the sum at stop
+    less that at start is the interval's, so the cost doesn't depend on the width or the overlap
+    of intervals. samples: (genome, sample), one row each, with more columns if ``on``, what they
+    are joined on, says so. prefix: what ``prefix_sums`` has stored; without it, it is made of
+    ``methylomes``. keys: the columns of an interval, interval_id if not given.
     """
-    sums = _sums(covered)
-    names = list(sums)
-    bounds = ranked.select("genome", F.explode(F.array("lo", "hi")).alias("at")).distinct()
-    events = bounds.join(F.broadcast(samples), "genome").select("genome", "sample", "at", F.lit(0).alias("is_site"), *[F.lit(0).cast("long").alias(n) for n in names])
-    counts = methylomes.select("genome", "sample", F.col("site_idx").alias("at"), F.lit(1).alias("is_site"), *[c.alias(n) for n, c in sums.items()])
-    both = events.unionByName(counts).withColumn("block", F.expr(f"at div {BLOCK}"))
-    at = running(both, ["genome", "sample"], "block", ["at", "is_site"], {n: F.col(n) for n in names}).where("is_site = 0").drop("is_site", "block")
-    ends = ranked.select("genome", "interval_id", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("hi").alias("at")))).alias("e")).select("genome", "interval_id", "e.sign", "e.at")
-    return ends.join(at, ["genome", "at"]).groupBy("interval_id", "sample").agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in names])
+    names = list(_sums(covered))
+    keys = keys or ["interval_id"]
+    if prefix is None:
+        ends = chroms if chroms is not None else methylomes.groupBy("genome").agg((F.max("site_idx") + 1).alias("n_sites")).unionByName(ranked.groupBy("genome").agg(F.max("hi").alias("n_sites"))).groupBy("genome").agg(F.max("n_sites").alias("n_sites"))
+        prefix = prefix_sums(methylomes, ends)
+    wanted = small(samples)
+    marks = prefix.join(small(samples.select("genome", "sample").distinct()), ["genome", "sample"], "left_semi").select("genome", "sample", "block", "at", "rank", *names)
+    bound = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("hi").alias("at"))))
+    extra = [c for c in (on or []) if c not in ("genome", *keys)]
+    ends = ranked.select("genome", *keys, *extra, bound.alias("end")).join(wanted, on or ["genome"])
+    events = ends.select("genome", "sample", *keys, "end.sign", "end.at").withColumn("block", F.expr(f"at div {BLOCK}"))
+    found = last_before(events, marks, ["genome", "sample"], "at", names)
+    return found.groupBy(*keys, "sample").agg(*[F.coalesce(F.sum(F.col("sign") * F.col(n)), F.lit(0)).alias(n) for n in names])
 
 
 def _placed(methylomes: DataFrame, sites: DataFrame) -> DataFrame:
@@ -73,9 +103,9 @@ def bin_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, sampl
     sums = _sums(covered)
     summed = _placed(methylomes, sites).groupBy("genome", "sample", "chrom", F.expr(f"pos div {size} * {size}").alias("start")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     if not keep_empty:
-        sizes = F.broadcast(chroms.select("genome", "chrom", "chrom_size"))
+        sizes = small(chroms.select("genome", "chrom", "chrom_size"))
         return summed.join(sizes, ["genome", "chrom"]).select("genome", "sample", "chrom", "start", F.least(F.col("start") + size, F.col("chrom_size")).alias("stop"), *sums)
-    axis = g.bins(chroms, size).join(F.broadcast(samples), "genome")
+    axis = g.bins(chroms, size).join(small(samples), "genome")
     return axis.join(summed, ["genome", "sample", "chrom", "start"], "left").fillna(0, list(sums)).select("genome", "sample", "chrom", "start", "stop", *sums)
 
 
@@ -87,14 +117,14 @@ def _window_frames(chroms: DataFrame, rows: DataFrame, keys: list[str], sums: di
     unit = math.gcd(size, step)
     reach, jump = size // unit, step // unit
     span = max(1024, reach) * jump
-    small = rows.groupBy(*keys, "chrom", F.expr(f"pos div {unit}").alias("bin")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    summed = rows.groupBy(*keys, "chrom", F.expr(f"pos div {unit}").alias("bin")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     # Bin b counts in windows that start at bins b - reach + 1 to b.
-    sent = small.withColumn("block", F.explode(F.expr(f"sequence(greatest(0, bin - {reach - 1}) div {span}, bin div {span})")))
+    sent = summed.withColumn("block", F.explode(F.expr(f"sequence(greatest(0, bin - {reach - 1}) div {span}, bin div {span})")))
     starts = g.windows(chroms, size, step).withColumn("bin", F.expr(f"start div {unit}")).withColumn("block", F.expr(f"bin div {span}"))
     return sent, starts, reach
 
 
-def window_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, size: int, step: int | None = None, covered: bool = False) -> DataFrame:
+def window_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, size: int, step: int | None = None, covered: bool = False, marks: DataFrame | None = None, prefix: DataFrame | None = None) -> DataFrame:
     """(genome, sample, chrom, start, stop, sums) of sliding windows, empty ones too.
 
     Sites are summed to bins of gcd(size, step). Short windows sum a range frame over bins and
@@ -108,13 +138,11 @@ def window_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, sa
     unit = math.gcd(size, step)
     starts = g.windows(chroms, size, step)
     if size // unit > FRAME:
-        ranges = starts.withColumn("interval_id", F.struct("chrom", "start", "stop"))
-        ranked = site_ranks(ranges, sites, chroms)
-        got = interval_levels(ranked, methylomes, samples, covered)
-        out = got.join(F.broadcast(samples), "sample")
-        return out.select("genome", "sample", "interval_id.chrom", "interval_id.start", "interval_id.stop", *sums)
+        ranked = site_ranks(starts, sites, chroms, marks)
+        got = interval_levels(ranked, methylomes, samples, covered, chroms, prefix, keys=["genome", "chrom", "start", "stop"])
+        return got.select("genome", "sample", "chrom", "start", "stop", *sums)
     sent, opens, reach = _window_frames(chroms, _placed(methylomes, sites), ["genome", "sample"], sums, size, step)
-    axis = opens.join(F.broadcast(samples), "genome")
+    axis = opens.join(small(samples), "genome")
     return _framed(sent, axis, ["genome", "sample"], list(sums), reach)
 
 
@@ -143,20 +171,22 @@ def window_cpgs(chroms: DataFrame, sites: DataFrame, size: int, step: int | None
     """(genome, chrom, start, stop, n_cpgs) of sliding windows."""
     step = size // 2 if step is None else step
     if size // math.gcd(size, step) > FRAME:
-        ranges = g.windows(chroms, size, step).withColumn("interval_id", F.struct("chrom", "start"))
-        return site_ranks(ranges, sites, chroms).select("genome", "chrom", "start", "stop", (F.col("hi") - F.col("lo")).alias("n_cpgs"))
+        return site_ranks(g.windows(chroms, size, step), sites, chroms).select("genome", "chrom", "start", "stop", (F.col("hi") - F.col("lo")).alias("n_cpgs"))
     sent, opens, reach = _window_frames(chroms, sites, ["genome"], {"n_cpgs": F.lit(1).cast("long")}, size, step)
     return _framed(sent, opens, ["genome"], ["n_cpgs"], reach)
 
 
-def levels(kind: str, *, chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, intervals: DataFrame | None = None, ranked: DataFrame | None = None, size: int | None = None, step: int | None = None, covered: bool = False) -> DataFrame:
-    """One entry for the kinds of ranges: ``query`` (ranks), ``intervals``, ``bins`` and ``windows``."""
+def levels(kind: str, *, chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, intervals: DataFrame | None = None, ranked: DataFrame | None = None, size: int | None = None, step: int | None = None, covered: bool = False, marks: DataFrame | None = None, prefix: DataFrame | None = None) -> DataFrame:
+    """One entry for the kinds of ranges: ``query`` (ranks), ``intervals``, ``bins`` and ``windows``.
+
+    marks and prefix: the stored tables of ``site_marks`` and ``prefix_sums``, if there are any.
+    """
     if kind == "query":
-        return interval_levels(ranked, methylomes, samples, covered)
+        return interval_levels(ranked, methylomes, samples, covered, chroms, prefix)
     if kind == "intervals":
-        return interval_levels(site_ranks(intervals, sites, chroms), methylomes, samples, covered)
+        return interval_levels(site_ranks(intervals, sites, chroms, marks), methylomes, samples, covered, chroms, prefix)
     if kind == "bins":
         return bin_levels(chroms, sites, methylomes, samples, size, covered)
     if kind == "windows":
-        return window_levels(chroms, sites, methylomes, samples, size, step, covered)
+        return window_levels(chroms, sites, methylomes, samples, size, step, covered, marks, prefix)
     raise ValueError(f"unknown kind of ranges: {kind}")

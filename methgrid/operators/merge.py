@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from methgrid.functions.columns import fit_u16
+from methgrid.operators.scan import small
 
 
 def merge_by(methylomes: DataFrame, groups: DataFrame, overflow: str = "exact") -> DataFrame:
@@ -14,7 +15,7 @@ def merge_by(methylomes: DataFrame, groups: DataFrame, overflow: str = "exact")
     groups: (sample, group), a short list. Sums are exact; ``overflow="rescale"`` fits them
     into 16 bits with their ratio kept.
     """
-    summed = methylomes.join(F.broadcast(groups), "sample").groupBy("genome", F.col("group").alias("sample"), "site_idx").agg(F.sum(F.col("n_meth").cast("long")).alias("n_meth"), F.sum(F.col("n_unmeth").cast("long")).alias("n_unmeth"))
+    summed = methylomes.join(small(groups), "sample").groupBy("genome", F.col("group").alias("sample"), "site_idx").agg(F.sum(F.col("n_meth").cast("long")).alias("n_meth"), F.sum(F.col("n_unmeth").cast("long")).alias("n_unmeth"))
     if overflow == "exact":
         return summed
     if overflow != "rescale":

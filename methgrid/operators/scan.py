@@ -1,6 +1,7 @@
 """Prefix sums and ranks in two levels: inside blocks, then over the blocks' totals.
 
-No window spans a whole chromosome, sample or table, so parallelism is the number of blocks.
+No window spans a whole chromosome, sample or table: rows are summed inside blocks, and only blocks'
+totals, one row for a block, are ordered over a group. So parallelism is the number of blocks.
 """
 
 from __future__ import annotations
@@ -23,3 +24,27 @@ def running(rows: DataFrame, group: list[str], block: str, order: list, sums: di
     summed = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
     joined = summed.join(offsets, [*group, block])
     return joined.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in sums}).drop(*[f"{n}_before" for n in sums])
+
+
+#: Narrow rows that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for ``df`` if it was counted and has at most ``rows`` rows; else it is joined by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def last_before(events: DataFrame, marks: DataFrame, group: list[str], place: str, values: list[str]) -> DataFrame:
+    """``events`` with the ``values`` of the last of ``marks`` before each, one exchange for all.
+
+    Both have the group's columns, ``block`` and ``place``. Marks have ``rank``: -1 for the seed that
+    opens every block with what the blocks before it hold, 1 for others, which come after events
+    at the same place.
+    """
+    names = [c for c in events.columns if c not in (*group, "block", place)]
+    both = events.select(*group, "block", place, F.lit(0).alias("rank"), F.struct(*names).alias("own"), *[F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values])
+    both = both.unionByName(marks.select(*group, "block", place, "rank", F.lit(None).cast(both.schema["own"].dataType).alias("own"), *values))
+    order = Window.partitionBy(*group, "block").orderBy(place, "rank").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({v: F.last(v, ignorenulls=True).over(order) for v in values})
+    return seen.where("rank = 0").select(*group, place, "own.*", *values)

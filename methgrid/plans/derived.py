@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methgrid.operators import genome as g
+from methgrid.operators.intervals import site_marks
+from methgrid.operators.levels import prefix_sums
 
 GENOME = "g1"
-SAMPLES = ["A_F", "N_F", "N_O", "R_F"]
+#: A request for all samples, by name.
+SAMPLES = ["A_F", "A_O", "N_F", "N_O", "R_F", "R_O"]
 
 
 @dataclass
@@ -25,6 +28,8 @@ class Tables:
     methylomes: DataFrame
     samples: DataFrame
     intervals: DataFrame
+    marks: DataFrame
+    prefix: DataFrame
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +41,13 @@ _MADE: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The derived tables; sites, chromosomes and counts are persisted, as ingest would have stored them."""
+    """The derived tables; those that ingest would have stored are persisted. The tables of one folder are held at a time."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MADE:
+        for old in _MADE.values():
+            for table in (old.sites, old.chroms, old.methylomes, old.marks, old.prefix):
+                table.unpersist()
+        _MADE.clear()
         _MADE[key] = _derive(spark, sf_dir)
     return _MADE[key]
 
@@ -59,13 +68,15 @@ def _derive(spark: SparkSession, sf_dir: str) -> Tables:
     sites, chroms = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in g.build(positions, sizes))
     aligned = counts.join(sites.select("genome", "chrom", "pos", "site_idx"), ["genome", "chrom", "pos"])
     methylomes = aligned.select("genome", "sample", "site_idx", "n_meth", "n_unmeth").persist(StorageLevel.MEMORY_AND_DISK)
-    samples = spark.createDataFrame([(GENOME, s) for s in SAMPLES], "genome string, sample string")
+    samples = methylomes.select("genome", "sample").distinct()
     order = read(spark, sf_dir, "orders")
-    start = (F.col("o_orderkey") * 13) % 13000
-    raw = order.select(F.col("o_orderkey").alias("interval_id"), F.lit(GENOME).alias("genome"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chrom"), start.alias("a"), (start + 100 + F.col("o_custkey") % 400).alias("b"))
-    clipped = raw.join(F.broadcast(chroms.select("chrom", "chrom_size")), "chrom")
-    intervals = clipped.select("interval_id", "genome", "chrom", F.least("a", "chrom_size").alias("start"), F.least("b", "chrom_size").alias("stop"))
-    return Tables(sites, chroms, methylomes, samples, intervals)
+    raw = order.select(F.col("o_orderkey").alias("interval_id"), F.lit(GENOME).alias("genome"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chrom"), (F.col("o_orderkey") * 13).alias("a"), (100 + F.col("o_custkey") % 400).alias("width"))
+    clipped = raw.join(F.broadcast(chroms.select("chrom", "chrom_size")), "chrom")  # five chromosomes
+    start = F.col("a") % F.col("chrom_size")
+    intervals = clipped.select("interval_id", "genome", "chrom", start.alias("start"), F.least(start + F.col("width"), F.col("chrom_size")).alias("stop"))
+    marks = site_marks(sites, chroms).persist(StorageLevel.MEMORY_AND_DISK)
+    prefix = prefix_sums(methylomes, chroms).persist(StorageLevel.MEMORY_AND_DISK)
+    return Tables(sites, chroms, methylomes, samples, intervals, marks, prefix)
 
 
 #: The same tables in SQL: sites, chroms, meth (with chrom and pos), samples, ivs.
@@ -85,10 +96,10 @@ WITH placed AS (
   SELECT p.sample, s.site_idx, p.chrom, p.pos, CAST(sum(m) AS BIGINT) AS n_meth, CAST(sum(u) AS BIGINT) AS n_unmeth
   FROM placed p JOIN sites s ON p.chrom = s.chrom AND p.pos = s.pos GROUP BY ALL
 ), samples AS (
-  SELECT unnest(['A_F', 'N_F', 'N_O', 'R_F']) AS sample
+  SELECT DISTINCT sample FROM placed
 ), ivs AS (
-  SELECT o_orderkey AS interval_id, c.chrom, least((o_orderkey * 13) % 13000, chrom_size) AS start,
-    least((o_orderkey * 13) % 13000 + 100 + o_custkey % 400, chrom_size) AS stop
+  SELECT o_orderkey AS interval_id, c.chrom, (o_orderkey * 13) % chrom_size AS start,
+    least((o_orderkey * 13) % chrom_size + 100 + o_custkey % 400, chrom_size) AS stop
   FROM orders JOIN chroms c ON c.chrom = 'chr' || CAST(o_custkey % 5 AS VARCHAR)
 ), bins500 AS (
   SELECT chrom, k * 500 AS start, least(k * 500 + 500, chrom_size) AS stop

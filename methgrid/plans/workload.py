@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from methgrid.functions import columns as fn
 from methgrid.operators import catalog, check, genome, intervals, levels, merge, metadata, requests
 from methgrid.plans.derived import SAMPLES, SQL, Tables, read, tables, window_sql
-from methgrid.sources import counts, output
+from methgrid.sources import counts, output, scratch
 from methgrid.sources import tables as src
 from methgrid.sources import fasta
 
@@ -38,25 +38,28 @@ def _range_sql(ranges: str, keys: str, extra: str = "") -> str:
     return f"SELECT {keys}, x.sample, {SUM}{extra} FROM {ranges} i CROSS JOIN samples x LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL"
 
 
+def _ranked(t: Tables) -> DataFrame:
+    return intervals.site_ranks(t.intervals, t.sites, t.chroms, t.marks)
+
+
 @query(SQL + _range_sql("ivs", "i.interval_id"))
 def interval_levels(t: Tables):
-    return levels.levels("intervals", chroms=t.chroms, sites=t.sites, methylomes=t.methylomes.where(F.col("sample").isin(SAMPLES)), samples=t.samples, intervals=t.intervals)
+    return levels.levels("intervals", chroms=t.chroms, sites=t.sites, methylomes=t.methylomes, samples=t.samples, intervals=t.intervals, marks=t.marks, prefix=t.prefix)
 
 
 @query(SQL + _range_sql("ivs", "i.interval_id", COVERED))
 def interval_levels_covered(t: Tables):
-    ranked = intervals.site_ranks(t.intervals, t.sites, t.chroms)
-    return levels.levels("query", chroms=t.chroms, sites=t.sites, methylomes=t.methylomes.where(F.col("sample").isin(SAMPLES)), samples=t.samples, ranked=ranked, covered=True)
+    return levels.levels("query", chroms=t.chroms, sites=t.sites, methylomes=t.methylomes, samples=t.samples, ranked=_ranked(t), covered=True, prefix=t.prefix)
 
 
 @query(SQL + "SELECT interval_id, CAST((SELECT count(*) FROM sites s WHERE s.chrom < i.chrom OR s.chrom = i.chrom AND s.pos < i.start) AS BIGINT) AS lo, CAST((SELECT count(*) FROM sites s WHERE s.chrom < i.chrom OR s.chrom = i.chrom AND s.pos < i.stop) AS BIGINT) AS hi FROM ivs i")
 def interval_site_ranks(t: Tables):
-    return intervals.site_ranks(t.intervals, t.sites, t.chroms).select("interval_id", "lo", "hi")
+    return _ranked(t).select("interval_id", "lo", "hi")
 
 
 @query(SQL + "SELECT interval_id, CAST(count(s.pos) AS BIGINT) AS n_cpgs FROM ivs i LEFT JOIN sites s ON s.chrom = i.chrom AND s.pos >= i.start AND s.pos < i.stop GROUP BY interval_id")
 def interval_cpgs(t: Tables):
-    return intervals.n_cpgs(intervals.site_ranks(t.intervals, t.sites, t.chroms))
+    return intervals.n_cpgs(_ranked(t))
 
 
 @query(SQL + _range_sql("bins500", "i.chrom, i.start, i.stop"))
@@ -76,7 +79,7 @@ def bin_cpgs(t: Tables):
 
 def _windows(name: str, size: int, step: int, covered: bool = False) -> None:
     def f(t: Tables):
-        return levels.window_levels(t.chroms, t.sites, t.methylomes.where(F.col("sample").isin(SAMPLES)), t.samples, size, step, covered).drop("genome")
+        return levels.window_levels(t.chroms, t.sites, t.methylomes, t.samples, size, step, covered, t.marks, t.prefix).drop("genome")
 
     f.__name__ = name
     query(SQL.rstrip() + ", " + window_sql(size, step) + _range_sql("wins", "i.chrom, i.start, i.stop", COVERED if covered else ""))(f)
@@ -109,6 +112,11 @@ def chromosomes(t: Tables):
     return t.chroms.select("chrom", "chrom_ord", "chrom_size", "chrom_offset", "n_sites", F.ceil(F.col("chrom_size") / 500).alias("n_bins"), F.ceil(F.col("chrom_size") / 200).alias("n_windows"))
 
 
+@query(SQL + "SELECT CAST(sum(ceil(chrom_size / 200.0)) AS BIGINT) AS n_windows FROM chroms")
+def number_of_windows(t: Tables):
+    return genome.n_windows(t.chroms, 200).select("n_windows")
+
+
 @query(SQL + "SELECT chrom, start, stop, chrom || '.' || CAST(start AS VARCHAR) || '.' || CAST(stop AS VARCHAR) AS name FROM bins500")
 def generated_bins(t: Tables):
     return genome.bins(t.chroms, 500).select("chrom", "start", "stop", fn.row_name(["chrom", "start", "stop"]).alias("name"))
@@ -144,7 +152,7 @@ def rescaled_counts(t: Tables):
 
 @query(SQL + f"SELECT split_part(sample, '_', 1) AS sample, site_idx, {SUM} FROM meth WHERE sample IN (SELECT sample FROM samples) GROUP BY ALL")
 def merged_by_group(t: Tables):
-    groups = t.samples.sparkSession.createDataFrame([(s, s.split("_")[0]) for s in SAMPLES], "sample string, group string")
+    groups = t.samples.select("sample", F.substring_index("sample", "_", 1).alias("group"))
     return merge.merge_by(t.methylomes, groups).drop("genome")
 
 
@@ -169,12 +177,15 @@ def methylome_metadata(t: Tables):
     return metadata.methylome_metadata(t.methylomes, metadata.genome_metadata(t.sites, t.chroms)).select("sample", "methylome_hash", "n_cpgs")
 
 
-@query(SQL + f"""SELECT 'methylome' AS kind, sample AS name, true AS hash_ok, true AS index_found, sample <> 'A_F' AS index_ok, {SUM}{COVERED}, sample <> 'A_F' AS ok FROM meth GROUP BY sample
+@query(SQL + f""", m AS (SELECT sample, n_meth + CASE WHEN sample = 'N_F' AND site_idx % 2 = 0 THEN 1 ELSE 0 END AS n_meth, n_unmeth FROM meth)
+SELECT 'methylome' AS kind, sample AS name, sample <> 'N_F' AS hash_ok, true AS index_found, sample <> 'A_F' AS index_ok, {SUM}{COVERED}, sample NOT IN ('A_F', 'N_F') AS ok FROM m GROUP BY sample
 UNION ALL SELECT 'genome', 'g1', true, true, true, NULL, NULL, NULL, true""")
 def consistency_report(t: Tables):
+    """Metadata of one sample names another index; the counts of one changed since its metadata were made."""
     genomes = metadata.genome_metadata(t.sites, t.chroms)
     meta = metadata.methylome_metadata(t.methylomes, genomes).withColumn("index_hash", F.when(F.col("sample") == "A_F", 0).otherwise(F.col("index_hash")))
-    return check.check_all(t.sites, t.chroms, genomes, t.methylomes, meta).drop("genome")
+    changed = t.methylomes.withColumn("n_meth", F.col("n_meth") + F.when((F.col("sample") == "N_F") & (F.col("site_idx") % 2 == 0), 1).otherwise(0))
+    return check.check_all(t.sites, t.chroms, genomes, changed, meta).drop("genome")
 
 
 @query(SQL + ", e AS (" + _range_sql("bins500", "i.chrom, i.start, i.stop") + ") SELECT chrom, start, chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) || chr(9) || string_agg(CAST(n_meth AS VARCHAR) || chr(9) || CAST(n_unmeth AS VARCHAR), chr(9) ORDER BY sample) AS line FROM e GROUP BY chrom, start, stop")
@@ -198,7 +209,9 @@ def site_score_text(t: Tables):
 
 
 def _as_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.lit("x").alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    """Rows as lines of one file, in blocks of up to 65,536 lines of a partition."""
+    id_ = F.monotonically_increasing_id()
+    return rows.select(F.lit("x").alias("file"), F.shiftright(id_, 16).alias("block"), id_.alias("id"), "value")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(round(l_discount * l_quantity) AS INTEGER) AS n_meth, CAST(CAST(l_quantity AS BIGINT) - round(l_discount * l_quantity) AS INTEGER) AS n_unmeth FROM lineitem")
@@ -260,27 +273,63 @@ def selection_toggled(spark: SparkSession, sf_dir: str):
     return catalog.toggle(every.where(number % 2 == 0), every.where(number % 3 == 0))
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("n_nationkey") % 4 == 3, "other").when(F.col("n_nationkey") % 4 == 2, "windows").when(F.col("n_nationkey") % 4 == 1, "bins").otherwise("intervals")
-    names = F.when(F.col("n_nationkey") % 5 == 4, F.array(F.lit("A-F"))).when(F.col("n_nationkey") % 5 == 3, F.array(F.lit("X_X"))).otherwise(F.array(F.lit("A_F"), F.lit("R_F")))
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("request_id"), kind.alias("kind"), (F.col("n_nationkey") * 20 + 50).cast("long").alias("aux"), F.lit(100).cast("long").alias("step"), F.when(F.col("n_nationkey") % 7 == 6, 2).otherwise(1).cast("long").alias("index_hash"), names.alias("samples"))
+def _requests(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """Requests made of a table's keys, valid ones and others."""
+    k = F.col(key)
+    kind = F.when(k % 4 == 3, "other").when(k % 4 == 2, "windows").when(k % 4 == 1, "bins").otherwise("intervals")
+    names = F.when(k % 5 == 4, F.array(F.lit("A-F"))).when(k % 5 == 3, F.array(F.lit("X_X"))).when(k % 5 == 2, F.array(F.lit("R_F"), F.lit("A_F"), F.lit("R_F"))).otherwise(F.array(F.lit("A_F"), F.lit("R_O")))
+    return read(spark, sf_dir, table).select(k.alias("request_id"), kind.alias("kind"), (k % 40 * 20 + 50).cast("long").alias("aux"), F.lit(100).cast("long").alias("step"), F.when(k % 7 == 6, 2).otherwise(1).cast("long").alias("index_hash"), names.alias("samples"), F.lit("g1").alias("genome"))
+
+
+def _catalog_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([("g1", 1)], "genome string, index_hash long"), spark.createDataFrame([(s, "g1", 1) for s in SAMPLES], "sample string, genome string, index_hash long")
 
 
-@query("""SELECT n_nationkey AS request_id, CASE WHEN n_nationkey % 4 = 3 THEN 'invalid_kind' WHEN n_nationkey % 4 <> 0 AND n_nationkey * 20 + 50 < 100 THEN 'invalid_size'
-WHEN n_nationkey % 5 = 4 THEN 'invalid_name' WHEN n_nationkey % 5 = 3 THEN 'methylome_not_found' WHEN n_nationkey % 7 = 6 THEN 'invalid_index_hash' ELSE 'ok' END AS status FROM nation""")
+@query("""SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 4 = 3 THEN 'invalid_kind' WHEN o_orderkey % 4 <> 0 AND o_orderkey % 40 * 20 + 50 < 100 THEN 'invalid_size'
+WHEN o_orderkey % 5 = 4 THEN 'invalid_name' WHEN o_orderkey % 5 = 3 THEN 'methylome_not_found' WHEN o_orderkey % 7 = 6 THEN 'invalid_index_hash' ELSE 'ok' END AS status FROM orders""")
 def request_statuses(spark: SparkSession, sf_dir: str):
-    genomes = spark.createDataFrame([("g1", 1)], "genome string, index_hash long")
-    meta = spark.createDataFrame([(s, "g1", 1) for s in SAMPLES], "sample string, genome string, index_hash long")
-    return requests.statuses(_requests(spark, sf_dir), genomes, meta)
+    return requests.statuses(_requests(spark, sf_dir, "orders", "o_orderkey").drop("genome"), *_catalog_tables(spark))
+
+
+def _answerable(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    asked = _requests(spark, sf_dir, table, key)
+    ok = requests.statuses(asked.drop("genome"), *_catalog_tables(spark)).where("status = 'ok'")
+    return asked.join(ok, "request_id", "left_semi")
+
+
+def _req(table: str, key: str) -> str:
+    """The valid requests r, and their columns rc, in SQL."""
+    return f""", r AS (SELECT {key} AS request_id, {key} % 4 AS k, {key} % 40 * 20 + 50 AS size, CASE WHEN {key} % 5 = 2 THEN ['R_F', 'A_F', 'R_F'] ELSE ['A_F', 'R_O'] END AS names
+FROM {table} WHERE {key} % 4 < 3 AND {key} % 5 < 3 AND {key} % 7 <> 6 AND ({key} % 4 = 0 OR {key} % 40 * 20 + 50 >= 100)),
+rc AS (SELECT request_id, k, size, CAST(unnest(range(len(names))) AS INTEGER) AS col_ord, unnest(names) AS sample FROM r)
+"""
+
+
+@query(SQL + _req("orders", "o_orderkey") + "SELECT request_id, CASE WHEN k = 0 THEN size ELSE (SELECT CAST(sum(ceil(chrom_size / CAST(CASE k WHEN 1 THEN size ELSE 100 END AS DOUBLE))) AS BIGINT) FROM chroms) END AS n_rows, CAST(len(names) AS INTEGER) AS n_cols FROM r")
+def request_shapes(spark: SparkSession, sf_dir: str):
+    asked = _answerable(spark, sf_dir, "orders", "o_orderkey").drop("genome")
+    return requests.shapes(asked, _catalog_tables(spark)[0], tables(spark, sf_dir).chroms)
 
 
-@query(SQL + f""", r AS (SELECT n_nationkey AS request_id, n_nationkey * 20 + 50 AS size FROM nation WHERE n_nationkey % 4 = 1 AND n_nationkey % 5 < 3 AND n_nationkey % 7 <> 6 AND n_nationkey * 20 + 50 >= 100)
-SELECT request_id, t.sample, t.chrom, t.pos // size * size AS start, {SUM} FROM r CROSS JOIN meth t WHERE t.sample IN ('A_F', 'R_F') GROUP BY ALL""")
+@query(SQL + _req("supplier", "s_suppkey") + f""", b AS (SELECT request_id, size, chrom, k0 * size AS start, least(k0 * size + size, chrom_size) AS stop FROM (SELECT request_id, size, chrom, chrom_size, unnest(range(CAST(ceil(chrom_size / CAST(size AS DOUBLE)) AS BIGINT))) AS k0 FROM r, chroms WHERE k = 1))
+SELECT request_id, col_ord, x.sample, i.chrom, i.start, i.stop, {SUM} FROM b i JOIN rc x USING (request_id) LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
 def request_bins(spark: SparkSession, sf_dir: str):
-    asked = _requests(spark, sf_dir)
-    ok = request_statuses(spark, sf_dir).where("status = 'ok'")
     t = tables(spark, sf_dir)
-    return requests.answer_bins(asked.join(ok, "request_id", "left_semi"), t.chroms, t.sites, t.methylomes)
+    return requests.answer_bins(_answerable(spark, sf_dir, "supplier", "s_suppkey"), t.chroms, t.sites, t.methylomes)
+
+
+@query(SQL + _req("supplier", "s_suppkey") + f""", w AS (SELECT request_id, size, chrom, k0 * 100 AS start, least(k0 * 100 + size, chrom_size) AS stop FROM r, (SELECT chrom, chrom_size, unnest(range(CAST(ceil(chrom_size / 100.0) AS BIGINT))) AS k0 FROM chroms) WHERE k = 2)
+SELECT request_id, col_ord, x.sample, i.chrom, i.start, i.stop, {SUM} FROM w i JOIN rc x USING (request_id) LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
+def request_windows(spark: SparkSession, sf_dir: str):
+    t = tables(spark, sf_dir)
+    return requests.answer_windows(_answerable(spark, sf_dir, "supplier", "s_suppkey"), t.chroms, t.sites, t.methylomes, t.marks, t.prefix)
+
+
+@query(SQL + _req("supplier", "s_suppkey") + f""" SELECT request_id, col_ord, x.sample, i.interval_id, {SUM}{COVERED} FROM ivs i JOIN rc x ON x.request_id = i.interval_id % 97 AND x.k = 0 LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
+def request_intervals(spark: SparkSession, sf_dir: str):
+    t = tables(spark, sf_dir)
+    own = t.intervals.drop("genome").withColumn("request_id", F.col("interval_id") % 97)
+    return requests.answer_intervals(_answerable(spark, sf_dir, "supplier", "s_suppkey"), own, t.chroms, t.sites, t.methylomes, t.marks, t.prefix, covered=True)
 
 
 @query("SELECT c_custkey AS interval_id, CAST(j AS INTEGER) AS col_ord, c_custkey + 2 * j AS n_meth, c_custkey + 2 * j + 1 AS n_unmeth FROM customer, range(3) r(j)")
@@ -291,20 +340,20 @@ def matrix_text_parsed(spark: SparkSession, sf_dir: str):
     return src.parse_matrix(_as_lines(text))
 
 
-@query(SQL + "SELECT chrom, pos, CAST(n_meth AS INTEGER) AS n_meth, CAST(n_unmeth AS INTEGER) AS n_unmeth FROM meth WHERE sample = 'A_F'")
+@query(SQL + "SELECT sample, chrom, pos, CAST(n_meth AS INTEGER) AS n_meth, CAST(n_unmeth AS INTEGER) AS n_unmeth FROM meth")
 def xcounts_text_decoded(t: Tables):
-    placed = t.methylomes.where("sample = 'A_F'").join(t.sites.select("site_idx", "chrom", "chrom_ord", "pos"), "site_idx")
-    step = F.col("pos") - F.coalesce(F.lag("pos").over(Window.partitionBy("chrom").orderBy("pos")), F.lit(0))
-    records = placed.select("chrom_ord", F.col("pos"), F.concat_ws(" ", step.cast("string"), F.col("n_meth").cast("string"), F.col("n_unmeth").cast("string")).alias("value"))
-    titles = t.chroms.select("chrom_ord", F.lit(-1).cast("long").alias("pos"), F.col("chrom").alias("value"))
-    text = titles.unionByName(records).select(F.lit("x").alias("file"), (F.col("chrom_ord") * 1000000 + F.expr("greatest(pos, 0) div 4096")).cast("long").alias("block"), (F.col("pos") + 1).alias("id"), "value")
-    return counts.parse_xcounts(text).where("error is null").select("chrom", "pos", "n_meth", "n_unmeth")
+    placed = t.methylomes.join(t.sites.select("site_idx", "chrom", "chrom_ord", "pos"), "site_idx")
+    step = F.col("pos") - F.coalesce(F.lag("pos").over(Window.partitionBy("sample", "chrom").orderBy("pos")), F.lit(0))
+    records = placed.select("sample", "chrom_ord", F.col("pos"), F.concat_ws(" ", step.cast("string"), F.col("n_meth").cast("string"), F.col("n_unmeth").cast("string")).alias("value"))
+    titles = t.samples.crossJoin(t.chroms.select("chrom_ord", "chrom")).select("sample", "chrom_ord", F.lit(-1).cast("long").alias("pos"), F.col("chrom").alias("value"))
+    text = titles.unionByName(records).select(F.col("sample").alias("file"), (F.col("chrom_ord") * 1000000 + F.expr("greatest(pos, 0) div 4096")).cast("long").alias("block"), (F.col("pos") + 1).alias("id"), "value")
+    return counts.parse_xcounts(text).where("error is null").select(F.col("file").alias("sample"), "chrom", "pos", "n_meth", "n_unmeth")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS chrom, i AS pos FROM (SELECT doc_id, replace(text, chr(10), '') AS s, unnest(range(length(replace(text, chr(10), '')))) AS i FROM documents) WHERE substr(s, CAST(i AS INTEGER) + 1, 2) IN ('AN', 'An', 'aN', 'an')")
 def fasta_sites(spark: SparkSession, sf_dir: str):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.concat_ws("\n", F.concat(F.lit(">"), F.col("doc_id").cast("string")), "text"), "\n")).alias("id", "value"))
-    text = docs.select(F.lit("docs.fa").alias("file"), F.col("doc_id").alias("block"), F.col("id").cast("long").alias("id"), "value")
+    text = docs.select(F.concat(F.lit("docs"), F.expr("doc_id div 1000").cast("string"), F.lit(".fa")).alias("file"), F.col("doc_id").alias("block"), F.col("id").cast("long").alias("id"), "value")
     return fasta.parse(text, "AN")[0].select("chrom", "pos")
 
 
@@ -318,34 +367,233 @@ def bed_validated(spark: SparkSession, sf_dir: str):
     return src.parse_bed(_as_lines(text), t.chroms).select("interval_id", "error")
 
 
-@query("SELECT n_name AS file, CASE n_nationkey % 3 WHEN 0 THEN 'counts' WHEN 1 THEN 'xcounts' ELSE 'unknown' END AS format FROM nation")
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS file, CASE l_orderkey % 3 WHEN 0 THEN 'counts' WHEN 1 THEN 'xcounts' ELSE 'unknown' END AS format FROM lineitem")
 def format_detected(spark: SparkSession, sf_dir: str):
-    kind = F.col("n_nationkey") % 3
-    first = F.when(kind == 0, F.lit("chr1 5 + CG 0.5 4")).when(kind == 1, F.lit("chr1")).otherwise(F.lit("a b c"))
-    rows = read(spark, sf_dir, "nation").select(F.col("n_name").alias("file"), F.posexplode(F.array(F.lit("# head"), first, F.lit("5 1 2"))).alias("id", "value"))
-    return counts.detect(rows.withColumn("block", F.lit(0).cast("long")))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").cast("string").alias("n"))
+    kind = F.col("l_orderkey") % 3
+    value = F.when(kind == 0, F.concat(F.lit("chr1 5 + CG 0.5 "), "n")).when(kind == 1, F.lit("chr1")).otherwise(F.concat(F.lit("a b "), "n"))
+    rows = line.select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").cast("long").alias("block"), F.posexplode(F.array(F.lit("# head"), value, F.lit("5 1 2"))).alias("id", "value"))
+    return counts.detect(rows)
 
 
-_REQ = ", r AS (SELECT n_nationkey AS request_id, n_nationkey % 4 AS k, n_nationkey * 20 + 50 AS size FROM nation WHERE n_nationkey % 4 < 3 AND n_nationkey % 5 < 3 AND n_nationkey % 7 <> 6 AND (n_nationkey % 4 = 0 OR n_nationkey * 20 + 50 >= 100))"
+@query("SELECT \"group\", CAST(to_json(map_from_entries(list((label, accession) ORDER BY label))) AS VARCHAR) AS json FROM (" + _GROUPS + ") GROUP BY ALL")
+def sample_groups_json(spark: SparkSession, sf_dir: str):
+    return output.groups_json(catalog.make_groups(_members(spark, sf_dir)))
 
 
-def _answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(spark, sf_dir).join(request_statuses(spark, sf_dir).where("status = 'ok'"), "request_id", "left_semi")
+#: Intervals on a grid, so that many are equal, and a request that has one sample twice.
+_COARSE = ", co AS (SELECT interval_id, chrom, start // 500 * 500 AS start, least(start // 500 * 500 + 500, (SELECT chrom_size FROM chroms c WHERE c.chrom = ivs.chrom)) AS stop FROM ivs), rq AS (SELECT unnest([0, 1, 2]) AS col_ord, unnest(['R_F', 'A_F', 'R_F']) AS sample)"
+_ASKED = ["R_F", "A_F", "R_F"]
 
 
-@query(SQL + _REQ + "SELECT request_id, CASE WHEN k = 0 THEN size ELSE (SELECT CAST(sum(ceil(chrom_size / CAST(CASE k WHEN 1 THEN size ELSE 100 END AS DOUBLE))) AS BIGINT) FROM chroms) END AS n_rows, 2 AS n_cols FROM r")
-def request_shapes(spark: SparkSession, sf_dir: str):
-    genomes = spark.createDataFrame([("g1", 1)], "genome string, index_hash long")
-    return requests.shapes(_answerable(spark, sf_dir), genomes, tables(spark, sf_dir).chroms)
+def _coarse(t: Tables, covered: bool = False, cpgs: bool = False) -> DataFrame:
+    sizes = F.broadcast(t.chroms.select("chrom", "chrom_size"))  # five chromosomes
+    start = F.expr("start div 500 * 500")
+    rough = t.intervals.join(sizes, "chrom").select("interval_id", "genome", "chrom", start.alias("start"), F.least(start + 500, F.col("chrom_size")).alias("stop"))
+    ranked = intervals.site_ranks(rough, t.sites, t.chroms, t.marks)
+    asked = t.samples.where(F.col("sample").isin(_ASKED))
+    got = levels.interval_levels(ranked, t.methylomes, asked, covered, t.chroms, t.prefix, keys=["interval_id", "chrom", "start", "stop"])
+    return got.join(intervals.n_cpgs(ranked), "interval_id") if cpgs else got
 
 
-@query(SQL + _REQ + f""", w AS (SELECT request_id, size, chrom, k0 * 100 AS start, least(k0 * 100 + size, chrom_size) AS stop FROM r, (SELECT chrom, chrom_size, unnest(range(CAST(ceil(chrom_size / 100.0) AS BIGINT))) AS k0 FROM chroms) WHERE k = 2)
-SELECT request_id, x.sample, i.chrom, i.start, i.stop, {SUM} FROM w i CROSS JOIN (VALUES ('A_F'), ('R_F')) x(sample) LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
-def request_windows(spark: SparkSession, sf_dir: str):
+def _wide_sql(columns: str) -> str:
+    """One row for a coarse interval from its rows e (interval_id, chrom, start, stop, col_ord, n_meth, n_unmeth, n_covered, n_cpgs)."""
+    rows = f"SELECT i.interval_id, i.chrom, i.start, i.stop, x.col_ord, {SUM}{COVERED}, CAST((SELECT count(*) FROM sites s WHERE s.chrom = i.chrom AND s.pos >= i.start AND s.pos < i.stop) AS BIGINT) AS n_cpgs FROM co i CROSS JOIN rq x LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL"
+    return SQL.rstrip() + _COARSE + f", e AS ({rows}) SELECT interval_id, {columns} FROM e GROUP BY interval_id, chrom, start, stop"
+
+
+_BED = "chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR)"
+_NAME = "chrom || '.' || CAST(start AS VARCHAR) || '.' || CAST(stop AS VARCHAR)"
+
+
+@query(_wide_sql(_BED + " || chr(9) || string_agg(CAST(n_meth AS VARCHAR) || chr(9) || CAST(n_unmeth AS VARCHAR) || chr(9) || CAST(n_covered AS VARCHAR), chr(9) ORDER BY col_ord) || chr(9) || CAST(min(n_cpgs) AS VARCHAR) AS line"))
+def interval_counts_text(t: Tables):
+    return output.to_lines(_coarse(t, covered=True, cpgs=True), ["chrom", "start", "stop"], _ASKED, covered=True, cpgs=True).select("interval_id", "line")
+
+
+@query(_wide_sql(_BED + " || chr(9) || string_agg(CASE WHEN n_meth + n_unmeth >= 900 THEN " + _G6 + " ELSE 'NA' END, chr(9) ORDER BY col_ord) AS line"))
+def interval_scores_text(t: Tables):
+    return output.to_lines(_coarse(t), ["chrom", "start", "stop"], _ASKED, kind="scores", min_reads=900).select("interval_id", "line")
+
+
+@query(_wide_sql("string_agg(CAST(n_meth AS VARCHAR) || chr(9) || CAST(n_unmeth AS VARCHAR), chr(9) ORDER BY col_ord) AS line"))
+def interval_matrix_text(t: Tables):
+    return output.to_lines(_coarse(t), ["chrom", "start", "stop"], _ASKED, prefix="bare").select("interval_id", "line")
+
+
+def _picked(value: str, i: int) -> str:
+    return f"max(CASE WHEN col_ord = {i} THEN {value} END)"
+
+
+@query(_wide_sql(_NAME + " AS name, " + ", ".join(f'{_picked(v, i)} AS "{n}_{c}"' for i, n in enumerate("xyz") for v, c in (("n_meth", "M"), ("n_unmeth", "U"), ("n_covered", "C"))) + ', min(n_cpgs) AS "N_CPG"'))
+def interval_counts_table(t: Tables):
+    return output.to_wide(_coarse(t, covered=True, cpgs=True), ["chrom", "start", "stop"], _ASKED, covered=True, cpgs=True, names=["x", "y", "z"]).drop("chrom", "start", "stop")
+
+
+@query(_wide_sql(_NAME + " AS name, " + ", ".join(f'{_picked("CASE WHEN n_meth + n_unmeth >= 900 THEN n_meth / greatest(1, n_meth + n_unmeth) END", i)} AS {n}' for i, n in enumerate("xyz"))))
+def interval_scores_table(t: Tables):
+    return output.to_wide(_coarse(t), ["chrom", "start", "stop"], _ASKED, kind="scores", min_reads=900, names=["x", "y", "z"]).drop("chrom", "start", "stop")
+
+
+@query(SQL.rstrip() + _COARSE + f" SELECT x.col_ord, x.sample, i.interval_id, {SUM} FROM co i CROSS JOIN rq x LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop WHERE x.col_ord = 2 AND i.interval_id = (SELECT min(interval_id) FROM co) GROUP BY ALL")
+def result_element(t: Tables):
+    first = t.intervals.agg(F.min("interval_id")).first()[0]
+    got = _coarse(t).select("interval_id", "sample", "n_meth", "n_unmeth")
+    asked = t.samples.sparkSession.createDataFrame([(s, i) for i, s in enumerate(_ASKED)], "sample string, col_ord int")
+    return requests.at(got.join(F.broadcast(asked), "sample"), first, 2)
+
+
+@query(SQL + "SELECT interval_id, chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) AS line FROM ivs")
+def interval_text(t: Tables):
+    return t.intervals.select("interval_id", intervals.as_text().alias("line"))
+
+
+@query(SQL + "SELECT chrom, start, stop, CAST(count(*) AS BIGINT) AS n FROM ivs GROUP BY ALL")
+def intervals_of_frame(t: Tables):
+    got = src.from_frame(t.intervals.select("chrom", "start", "stop", "interval_id"), "g1")
+    return got.groupBy("chrom", "start", "stop").agg(F.count_distinct("interval_id").alias("n"))
+
+
+@query(SQL + "SELECT CAST(CASE WHEN sample LIKE 'A%' THEN 2 ELSE 1 END AS BIGINT) AS index_hash, string_agg(sample, ',' ORDER BY sample) AS samples FROM (SELECT DISTINCT sample FROM meth) WHERE sample <> 'R_O' GROUP BY 1")
+def samples_by_index(t: Tables):
+    meta = t.samples.select("sample", F.when(F.col("sample").startswith("A"), 2).otherwise(1).cast("long").alias("index_hash"))
+    return levels.by_index(meta, [s for s in SAMPLES if s != "R_O"]).select("index_hash", F.array_join("samples", ",").alias("samples"))
+
+
+@query("SELECT DISTINCT source || '_' || lang AS sample FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def names_of_files(spark: SparkSession, sf_dir: str):
+    path = F.concat(F.lit("/data/"), "source", F.lit("_"), "lang", F.lit(".m16."), F.col("doc_id").cast("string"))
+    return read(spark, sf_dir, "documents").where("source is not null and lang is not null").select(fn.name_from_path(path).alias("sample")).distinct()
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'g' || lang WHEN 1 THEN 'g' || lang WHEN 2 THEN 'g.' || lang END AS genome FROM documents WHERE lang IS NOT NULL")
+def genomes_of_files(spark: SparkSession, sf_dir: str):
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, F.concat(F.lit("/x/g"), "lang", F.lit(".fa"))).when(k == 1, F.concat(F.lit("g"), "lang", F.lit(".faa.gz"))).when(k == 2, F.concat(F.lit("y/g."), "lang", F.lit(".fasta"))).otherwise(F.concat(F.lit("g"), "lang", F.lit(".txt")))
+    return read(spark, sf_dir, "documents").where("lang is not null").select("doc_id", fn.genome_from_path(name).alias("genome"))
+
+
+#: Records of lineitem, whose sites are those of two thirds of the positions.
+_RAW = """, raw AS (SELECT sample, chrom, pos, count(*) AS n, CAST(sum(m) AS INTEGER) AS n_meth, CAST(sum(u) AS INTEGER) AS n_unmeth FROM placed GROUP BY ALL),
+kept AS (SELECT chrom, pos FROM sites WHERE pos % 3 <> 0)
+"""
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = tables(spark, sf_dir)
-    return requests.answer_windows(_answerable(spark, sf_dir), t.chroms, t.sites, t.methylomes, t.samples).drop("genome")
+    line = read(spark, sf_dir, "lineitem")
+    even = F.col("l_linenumber") % 2 == 0
+    n = F.col("l_quantity").cast("int")
+    rows = line.select(F.lit("g1").alias("genome"), F.concat_ws("_", "l_returnflag", "l_linestatus").alias("sample"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chrom"), (F.col("l_partkey") * 7).alias("pos"), F.when(even, n).otherwise(0).alias("n_meth"), F.when(even, 0).otherwise(n).alias("n_unmeth"), F.lit(None).cast("string").alias("error"))
+    return counts.align(rows, t.sites.where("pos % 3 != 0"))
 
 
-@query("SELECT \"group\", CAST(to_json(map_from_entries(list((label, accession) ORDER BY label))) AS VARCHAR) AS json FROM (" + _GROUPS + ") GROUP BY ALL")
-def sample_groups_json(spark: SparkSession, sf_dir: str):
-    return output.groups_json(catalog.make_groups(_members(spark, sf_dir)))
+@query(SQL.rstrip() + _RAW + "SELECT r.sample, r.chrom, r.pos, n_meth, n_unmeth FROM raw r JOIN kept USING (chrom, pos) WHERE n = 1 AND n_meth + n_unmeth > 0")
+def methylomes_formatted(spark: SparkSession, sf_dir: str):
+    sites = tables(spark, sf_dir).sites.select("genome", "site_idx", "chrom", "pos")
+    return _aligned(spark, sf_dir)[0].join(sites, ["genome", "site_idx"]).select("sample", "chrom", "pos", "n_meth", "n_unmeth")
+
+
+@query(SQL.rstrip() + _RAW + "SELECT r.sample, r.chrom, r.pos, CASE WHEN s.pos IS NULL THEN 'not a site' ELSE 'repeated position' END AS error FROM raw r LEFT JOIN kept s USING (chrom, pos) WHERE s.pos IS NULL OR n > 1")
+def records_rejected(spark: SparkSession, sf_dir: str):
+    return _aligned(spark, sf_dir)[1].select("sample", "chrom", "pos", "error")
+
+
+@query(SQL + _range_sql("ivs", "i.interval_id").replace("GROUP BY ALL", "WHERE x.sample IN ('A_F', 'R_F') GROUP BY ALL"))
+def column_added(t: Tables):
+    one, two = (levels.interval_levels(_ranked(t), t.methylomes, t.samples.where(F.col("sample") == s), False, t.chroms, t.prefix) for s in ("A_F", "R_F"))
+    return merge.add_column(one, two)
+
+
+@query(SQL + "SELECT a.sample AS a, b.sample AS b, (a.sample LIKE 'A%') = (b.sample LIKE 'A%') AS consistent FROM samples a JOIN samples b ON a.sample < b.sample")
+def methylomes_consistent(t: Tables):
+    totals = genome.genome_totals(t.chroms).select("genome", F.col("n_sites").alias("n_cpgs"))
+    meta = t.samples.join(totals, "genome").select("sample", "genome", F.lit("1").alias("version"), F.when(F.col("sample").startswith("A"), 2).otherwise(1).alias("index_hash"), "n_cpgs")
+    pairs = t.samples.select(F.col("sample").alias("a")).join(t.samples.select(F.col("sample").alias("b")), F.col("a") < F.col("b"))
+    return check.consistent_pairs(meta, pairs)
+
+
+@query("SELECT doc_id, coalesce(trim(text) <> '', false) AND coalesce(trim(source) <> '', false) AS valid FROM documents")
+def metadata_fields_valid(spark: SparkSession, sf_dir: str):
+    return read(spark, sf_dir, "documents").select("doc_id", check.metadata_valid(["text", "source"]).alias("valid"))
+
+
+@query(SQL + "SELECT DISTINCT chrom AS name FROM ivs WHERE chrom IN (SELECT chrom FROM sites WHERE pos % 2 = 0)")
+def catalog_listing(t: Tables):
+    return catalog.listing(t.sites.where("pos % 2 = 0").select(F.col("chrom").alias("name")), t.intervals.select(F.col("chrom").alias("name")), ["name"])
+
+
+@query("SELECT DISTINCT o_custkey AS sample FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def names_missing(spark: SparkSession, sf_dir: str):
+    have = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("sample"))
+    return catalog.missing(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample")), have, ["sample"])
+
+
+@query("SELECT DISTINCT c_custkey AS sample, c_mktsegment AS genome, CAST(c_nationkey AS BIGINT) AS index_hash FROM customer JOIN orders ON c_custkey = o_custkey")
+def genomes_of_samples(spark: SparkSession, sf_dir: str):
+    meta = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("genome"), F.col("c_nationkey").cast("long").alias("index_hash"))
+    return catalog.genome_of(meta, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample")))
+
+
+@query("SELECT c_mktsegment AS \"group\", lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS accession FROM customer WHERE c_nationkey % 2 = 0")
+def group_members_unknown(spark: SparkSession, sf_dir: str):
+    info = read(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") % 2 == 0, "other").otherwise("g1").alias("genome"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("accession"))
+    return catalog.unknown_members(catalog.make_groups(_members(spark, sf_dir)), info, "g1").select("group", "accession")
+
+
+@query(SQL + "SELECT chrom, chrom_ord, pos, site_idx FROM sites JOIN chroms USING (chrom)")
+def index_written(t: Tables):
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "index")
+    output.write_index(t.sites, t.chroms, path)
+    return spark.read.parquet(f"{path}/sites").where("genome = 'g1'").select("chrom", "chrom_ord", "pos", "site_idx")
+
+
+@query(SQL + "SELECT sample, site_idx, n_meth, n_unmeth FROM meth WHERE sample IN ('A_F', 'R_O')")
+def methylomes_written(t: Tables):
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "methylomes")
+    output.write_methylomes(t.methylomes, t.samples, path)
+    return spark.read.parquet(f"{path}/methylomes").where("genome = 'g1' and sample in ('A_F', 'R_O')").select("sample", "site_idx", "n_meth", "n_unmeth")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS experiment, c_mktsegment AS sample_name FROM customer WHERE c_nationkey = 3")
+def sample_table_read(spark: SparkSession, sf_dir: str):
+    path = scratch.new_folder(spark, "samples")
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("experiment"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("assembly"), F.col("c_mktsegment").alias("sample_name"))
+    rows.write.csv(path, sep="\t", header=True)
+    return src.read_sample_table(spark, path, "n3")
+
+
+@query("SELECT lang AS genome, CAST(doc_id AS VARCHAR) AS accession, source AS label, 'n_chars: ' || CAST(n_chars AS VARCHAR) AS serialised FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id % 3 <> 0")
+def catalog_read(spark: SparkSession, sf_dir: str):
+    """The catalogue in JSON files of a thousand entries, of which a third lacks a label."""
+    path = scratch.new_folder(spark, "catalog")
+    docs = read(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    entry = F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("label"), F.struct(F.col("n_chars").cast("string").alias("n_chars")).alias("metadata"))
+    files = docs.groupBy("lang", F.expr("doc_id div 1000").alias("part")).agg(F.to_json(F.create_map("lang", F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), entry))))).alias("value"))
+    files.withColumn("file", F.concat_ws("-", "lang", "part")).drop("lang", "part").write.partitionBy("file").text(path)
+    return src.read_catalog(spark, f"{path}/*").select("genome", "accession", "label", catalog.metadata_text().alias("serialised"))
+
+
+@query(_GROUPS)
+def groups_read(spark: SparkSession, sf_dir: str):
+    path = scratch.new_folder(spark, "groups")
+    output.groups_json(catalog.make_groups(_members(spark, sf_dir))).select("group", F.col("json").alias("value")).write.partitionBy("group").text(path)
+    return src.read_groups(spark, f"{path}/*")
+
+
+@query("SELECT c_mktsegment || '_' || lpad(CAST(n AS VARCHAR), 5, '0') AS label, accession AS sample, CAST(n - 1 AS INTEGER) AS col_ord FROM (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS accession FROM customer)")
+def names_read(spark: SparkSession, sf_dir: str):
+    path = scratch.new_folder(spark, "names")
+    output.groups_json(catalog.make_groups(_members(spark, sf_dir))).select("group", F.col("json").alias("value")).write.partitionBy("group").text(path)
+    return src.read_names(spark, f"{path}/*")
+
+
+@query(SQL + "SELECT 'f' || CAST(p_partkey % 100 AS VARCHAR) AS file, 'chr' || CAST(p_partkey % 6 AS VARCHAR) AS chrom, coalesce(chrom_size, 7) + p_partkey % 2 AS chrom_size, CASE WHEN chrom IS NULL THEN 'unknown chromosome' ELSE 'other size' END AS error FROM part LEFT JOIN chroms ON chrom = 'chr' || CAST(p_partkey % 6 AS VARCHAR) WHERE chrom IS NULL OR p_partkey % 2 = 1")
+def header_errors(spark: SparkSession, sf_dir: str):
+    t = tables(spark, sf_dir)
+    part = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("chr"), (F.col("p_partkey") % 6).cast("string")).alias("chrom"))
+    size = F.coalesce("chrom_size", F.lit(7)) + F.col("p_partkey") % 2
+    heads = part.join(F.broadcast(t.chroms.select("chrom", "chrom_size")), "chrom", "left").select(F.concat(F.lit("f"), (F.col("p_partkey") % 100).cast("string")).alias("file"), F.concat(F.lit("#"), "chrom", F.lit(" "), size.cast("string")).alias("value"))
+    return counts.header_errors(heads, t.chroms)

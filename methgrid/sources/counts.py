@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from methgrid.functions.columns import decoded_meth, fit_u16
-from methgrid.operators.scan import running
+from methgrid.operators.scan import running, small
 from methgrid.sources.lines import last_seen
 
 SPLIT = "[ \t]+"
@@ -59,7 +59,7 @@ def parse_xcounts(lines: DataFrame) -> DataFrame:
 def header_errors(lines: DataFrame, chroms: DataFrame) -> DataFrame:
     """(file, chrom, chrom_size, error) of header lines ``#chrom size`` that the index doesn't know or has otherwise."""
     heads = lines.select("file", F.regexp_extract("value", r"^#(\S+)\s+([0-9]+)\s*$", 1).alias("chrom"), F.regexp_extract("value", r"^#(\S+)\s+([0-9]+)\s*$", 2).alias("size")).where("chrom != ''")
-    met = heads.select("file", "chrom", F.col("size").cast("long").alias("chrom_size")).join(F.broadcast(chroms.select("chrom", F.col("chrom_size").alias("known"))), "chrom", "left")
+    met = heads.select("file", "chrom", F.col("size").cast("long").alias("chrom_size")).join(small(chroms.select("chrom", F.col("chrom_size").alias("known"))), "chrom", "left")
     return met.select("file", "chrom", "chrom_size", F.when(F.col("known").isNull(), "unknown chromosome").when(F.col("known") != F.col("chrom_size"), "other size").alias("error")).where("error is not null")
 
 

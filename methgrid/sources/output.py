@@ -23,21 +23,38 @@ def write_methylomes(methylomes: DataFrame, meta: DataFrame, path: str) -> None:
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def _keys(levels: DataFrame, ranges: list[str], cpgs: bool) -> list[str]:
+    """The columns of a range: its id, if it has one, tells equal ranges apart."""
+    return [*(["interval_id"] if "interval_id" in levels.columns else []), *ranges, *(["n_cpgs"] if cpgs else [])]
+
+
+def _ordered(levels: DataFrame, samples: list[str]) -> DataFrame:
+    """The requested samples' rows with ``_at``, their place in the request; a sample requested twice has two rows.
+
+    Results that carry ``col_ord`` keep it, as it says which request's column a row is.
+    """
+    if "col_ord" in levels.columns:
+        return levels.withColumn("_at", F.col("col_ord").cast("int"))
+    asked = levels.sparkSession.createDataFrame([(s, i) for i, s in enumerate(samples)], "sample string, _at int")
+    return levels.join(F.broadcast(asked), "sample")  # as long as the user's list
+
+
 def to_wide(levels: DataFrame, ranges: list[str], samples: list[str], kind: str = "counts", covered: bool = False, cpgs: bool = False, min_reads: int = 0, sep: str = ".", names: list[str] | None = None) -> DataFrame:
-    """One row for a range with a row name and, for each sample in order, its columns.
+    """One row for a range with a row name and, for each requested sample in order, its columns.
 
-    ranges: the columns of the range, first the chromosome. kind: counts (sample_M, sample_U),
-    classic (sample_M is the score, sample_R the reads) or scores (sample, null below min_reads),
-    ``covered`` adds sample_C but to scores, ``cpgs`` the column N_CPG at the end. names replace
-    the samples in column names. Samples are given, so no job is needed to find them.
+    ranges: the columns of the range, first the chromosome; equal ranges are told apart by
+    interval_id. kind: counts (sample_M, sample_U), classic (sample_M is the score, sample_R the
+    reads) or scores (sample, null below min_reads), ``covered`` adds sample_C but to scores,
+    ``cpgs`` the column N_CPG at the end. names replace the samples in column names. Samples are
+    given, so no job is needed to find them.
     """
     covered = covered and kind != "scores"
     values = [F.first("n_meth").alias("m"), F.first("n_unmeth").alias("u")] + ([F.first("n_covered").alias("c")] if covered else [])
-    keys = [*ranges, *(["n_cpgs"] if cpgs else [])]
-    wide = levels.groupBy(*keys).pivot("sample", sorted(set(samples))).agg(*values)
+    keys = _keys(levels, ranges, cpgs)
+    wide = _ordered(levels, samples).groupBy(*keys).pivot("_at", list(range(len(samples)))).agg(*values)
     out = [row_name(ranges, sep).alias("name")]
-    for sample, shown in zip(samples, names or samples, strict=True):
-        m, u = f"`{sample}_m`", f"`{sample}_u`"
+    for i, shown in enumerate(names or samples):
+        m, u = f"`{i}_m`", f"`{i}_u`"
         if kind == "counts":
             out += [F.col(m).alias(f"{shown}_M"), F.col(u).alias(f"{shown}_U")]
         elif kind == "classic":
@@ -45,8 +62,8 @@ def to_wide(levels: DataFrame, ranges: list[str], samples: list[str], kind: str
         else:
             out.append(wmean_or(min_reads, None, m, u).alias(shown))
         if covered:
-            out.append(F.col(f"`{sample}_c`").alias(f"{shown}_C"))
-    return wide.select(*ranges, *out, *([F.col("n_cpgs").alias("N_CPG")] if cpgs else []))
+            out.append(F.col(f"`{i}_c`").alias(f"{shown}_C"))
+    return wide.select(*[c for c in keys if c != "n_cpgs"], *out, *([F.col("n_cpgs").alias("N_CPG")] if cpgs else []))
 
 
 def header(samples: list[str], kind: str = "counts", covered: bool = False, cpgs: bool = False) -> str:
@@ -58,17 +75,16 @@ def header(samples: list[str], kind: str = "counts", covered: bool = False, cpgs
 def to_lines(levels: DataFrame, ranges: list[str], samples: list[str], kind: str = "counts", covered: bool = False, cpgs: bool = False, min_reads: int = 0, prefix: str = "bed", sep: str = ".") -> DataFrame:
     """(range columns, line): text rows, BED-like (range fields first), named (row name first) or bare.
 
-    Each sample's element is made in its long row; elements of a range are then joined in the samples' order.
+    Each sample's element is made in its long row; elements of a range are then joined in the order
+    of the request. Equal ranges are told apart by interval_id.
     """
-    place = F.create_map(*[x for i, s in enumerate(dict.fromkeys(samples)) for x in (F.lit(s), F.lit(i))])
     text = element(kind, covered="n_covered" if covered else None, min_reads=min_reads)
-    keys = [*ranges, *(["n_cpgs"] if cpgs else [])]
-    rows = levels.where(F.col("sample").isin(samples)).select(*keys, place[F.col("sample")].alias("i"), text.alias("text"))
-    joined = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "text"))).alias("by"))
-    order = list(dict.fromkeys(samples))
-    elements = [F.col("by")[F.lit(order.index(s))] for s in samples]
+    keys = _keys(levels, ranges, cpgs)
+    rows = _ordered(levels, samples).select(*keys, "_at", text.alias("text"))
+    joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "text")))["text"].alias("elements"))
     start = {"bed": [F.col(c).cast("string") for c in ranges], "named": [row_name(ranges, sep)], "bare": []}[prefix]
-    return joined.select(*ranges, F.concat_ws("\t", *start, *elements, *([F.col("n_cpgs").cast("string")] if cpgs else [])).alias("line"))
+    line = F.concat_ws("\t", *start, "elements", *([F.col("n_cpgs").cast("string")] if cpgs else []))
+    return joined.select(*[c for c in keys if c != "n_cpgs"], line.alias("line"))
 
 
 def write_lines(lines: DataFrame, order: list[str], path: str, head: str | None = None) -> None:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from methgrid.operators.scan import small
+
 
 def parse_bed(lines: DataFrame, chroms: DataFrame) -> DataFrame:
     """(interval_id, chrom, start, stop, error) of the first three fields; all offending rows get their error.
@@ -18,7 +20,7 @@ def parse_bed(lines: DataFrame, chroms: DataFrame) -> DataFrame:
     numbered = number(lines.where(F.trim("value") != ""))
     f = F.split("value", "[ \t]+")
     rows = numbered.select("interval_id", F.get(f, 0).alias("chrom"), F.get(f, 1).try_cast("long").alias("start"), F.get(f, 2).try_cast("long").alias("stop"))
-    met = rows.join(F.broadcast(chroms.select("chrom", "chrom_size")), "chrom", "left")
+    met = rows.join(small(chroms.select("chrom", "chrom_size")), "chrom", "left")
     error = (
         F.when(F.col("start").isNull() | F.col("stop").isNull() | (F.col("start") < 0), "bad interval")
         .when(F.col("chrom_size").isNull(), "unknown chromosome")
@@ -33,7 +35,7 @@ def number(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("file", "block").orderBy("id")
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     counts = lines.groupBy("file", "block").count().select("file", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
-    return lines.withColumn("nth", F.row_number().over(inside) - 1).join(F.broadcast(counts), ["file", "block"]).withColumn("interval_id", F.col("nth") + F.col("shift")).drop("nth", "shift")
+    return lines.withColumn("nth", F.row_number().over(inside) - 1).join(small(counts), ["file", "block"]).withColumn("interval_id", F.col("nth") + F.col("shift")).drop("nth", "shift")
 
 
 def from_frame(frame: DataFrame, genome: str) -> DataFrame:

@@ -167,7 +167,12 @@ def test_output(spark, tmp_path):
     assert text(kind="scores", min_reads=1, prefix="bare") == "NA\t0.25"
     assert output.header(["b", "a"], "classic", covered=True, cpgs=True) == "b_M\tb_R\tb_C\ta_M\ta_R\ta_C\tN_CPG"
     wide = output.to_wide(lv, ranges, ["b", "a"], kind="scores", cpgs=True, min_reads=1)
-    assert wide.columns == ["chrom", "start", "stop", "name", "b", "a", "N_CPG"] and wide.first().b is None
+    assert wide.columns == ["interval_id", "chrom", "start", "stop", "name", "b", "a", "N_CPG"] and wide.first().b is None
+    # Equal ranges stay apart, and a sample asked for twice is there twice.
+    twice = lv.unionByName(lv.withColumn("interval_id", F.lit(1).cast("long")))
+    assert [r.line for r in output.to_lines(twice, ranges, ["b", "a", "b"]).collect()] == ["chr1\t0\t5\t0\t0\t1\t3\t0\t0"] * 2
+    again = output.to_wide(twice, ranges, ["a", "b", "a"], names=["x", "y", "z"])
+    assert sorted((r.interval_id, r.x_M, r.y_M, r.z_U) for r in again.collect()) == [(0, 1, 0, 3), (1, 1, 0, 3)]
     output.write_lines(output.to_lines(lv, ranges, ["a"]), ["chrom", "start"], str(tmp_path / "out"), "h")
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["chr1\t0\t5\t1\t3"]
 
@@ -205,3 +210,15 @@ def test_incremental_ingest(spark, tmp_path):
     q.stop()
     assert {(r["sample"], r.site_idx, r.n_meth) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("S1", 0, 2), ("S2", 1, 4)}
     assert spark.read.parquet(str(tmp_path / "out_rejects")).count() == 1
+
+
+def test_answers_without_requests_of_a_kind(spark):
+    asked = spark.createDataFrame([(1, "bins", 100, 1, "g", ["a", "a"])], "request_id long, kind string, aux long, step long, genome string, samples array<string>")
+    chroms = spark.createDataFrame([("g", "chr1", 0, 250, 0, 2)], "genome string, chrom string, chrom_ord int, chrom_size long, chrom_offset long, n_sites long")
+    sites = spark.createDataFrame([("g", "chr1", 0, 5, 0), ("g", "chr1", 0, 210, 1)], "genome string, chrom string, chrom_ord int, pos long, site_idx long")
+    meth = spark.createDataFrame([("g", "a", 0, 3, 4)], "genome string, sample string, site_idx long, n_meth int, n_unmeth int")
+    got = requests.answer_bins(asked, chroms, sites, meth).collect()
+    assert sorted((r.col_ord, r.start, r.stop, r.n_meth, r.n_unmeth) for r in got) == [(c, a, min(a + 100, 250), 3 * (a == 0), 4 * (a == 0)) for c in (0, 1) for a in (0, 100, 200)]
+    none = spark.createDataFrame([], "request_id long, interval_id long, chrom string, start long, stop long")
+    assert requests.answer_windows(asked, chroms, sites, meth).count() == 0
+    assert requests.answer_intervals(asked, none, chroms, sites, meth).count() == 0
