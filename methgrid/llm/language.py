@@ -35,6 +35,9 @@ SAMPLE, PER_TEXT = 6000, 2
 #: As many steps whatever the sample's size.
 STEPS, BATCH, RATE = 800, 64, 0.004
 UNKNOWN = "und"
+LETTER = r"\p{L}"
+#: How far from chance to certainty a language must be.
+MARGIN = 0.1
 
 
 class ByteConv:
@@ -167,7 +170,7 @@ def held_out(doc_id) -> F.Column:
 
 def predict(docs: DataFrame, net: ByteConv | None, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every row with lang_pred and score."""
-    base = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
+    base = docs.select(*keep, F.when(F.col("text").rlike(LETTER), F.col("text")).alias("_text"))
     if net is None:
         return base.drop("_text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some hundred KB
@@ -221,10 +224,13 @@ def op5_byte_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a known language.
 
-    Texts without a letter go, as do those of a window or more that no language explains with even
-    odds. Shorter texts hold too little evidence to be rejected.
+    Texts without a letter go, as do those whose best language is hardly likelier than chance. If
+    no row has a language to learn from, only texts without a letter go.
     """
     docs = docs.select(*DOC_COLUMNS)
     net = learn(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(LETTER))
+    chance = 1 / len(net.languages)
     got = predict(docs, net, DOC_COLUMNS)
-    return got.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= 0.5) | (F.octet_length("text") < WINDOW))).select(*DOC_COLUMNS)
+    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= chance + MARGIN * (1 - chance))).select(*DOC_COLUMNS)

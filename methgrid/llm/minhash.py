@@ -141,7 +141,11 @@ def id_key(doc_id) -> F.Column:
 
 
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(nid, atoms) of the wanted nodes (nid, node, rep): the shingle occurrences of the texts they stand for."""
+    """(nid, atoms) of the wanted nodes (nid, node, rep, text_key): the shingle occurrences of the texts they stand for.
+
+    Texts are met by id and text, so that rows without an id, or with one id, don't meet each other's.
+    Equal rows give equal lists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +164,8 @@ def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             edges = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["nid", "atoms"])
 
-    keyed = docs.select(id_key(F.col("doc_id")).alias("rep_key"), "text")
-    picked = keyed.join(small(wanted.select(id_key(F.col("rep")).alias("rep_key"), "nid", "node")), "rep_key")
+    keyed = docs.select(id_key(F.col("doc_id")).alias("rep_key"), F.xxhash64("text").alias("text_key"), "text")
+    picked = keyed.join(small(wanted.select(id_key(F.col("rep")).alias("rep_key"), "text_key", "nid", "node")), ["rep_key", "text_key"])
     return in_batches(picked.select("nid", "node", word_hashes(F.col("text")).alias("words"))).mapInArrow(run, "nid long, atoms array<int>")
 
 
@@ -236,12 +240,15 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     ``is_first`` marks the rows of the class's first document.
     """
     sigs = signed(docs)
-    nodes = sigs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    nodes = sigs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("of"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "node", F.col("of.doc_id").alias("rep"), "of.text_key", "bands"), "nodes")
     pairs, large = candidates(nodes.select("nid", "bands"))
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    sets = written(multisets(docs, nodes.select("nid", "node", "rep").join(wanted, "nid")), "multisets")
+    sets = multisets(docs, nodes.select("nid", "node", "rep", "text_key").join(wanted, "nid"))
+    # Only repeated rows give a node's list more than once.
+    again = sigs.where(F.col("node").isNotNull()).groupBy(id_key(F.col("doc_id")).alias("id"), "text_key").count().where("count > 1").limit(1).count()
+    sets = written(sets.dropDuplicates(["nid"]) if again else sets, "multisets")
     links = written(verified(pairs, sets, least), "links")
     labels = components(links)
     rest = rest_pairs(large, labels, sets, least)

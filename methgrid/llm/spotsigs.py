@@ -9,8 +9,8 @@ Jaccard is computed only for pairs whose lengths allow it.
 
 Nulls: a null text is an empty text; rows with a null ``doc_id`` come first in order. A text
 without content words has an empty fingerprint: two of these have likeness 1 if
-their words are the same, else 0. The next of a single document is itself. Repeated rows follow
-each other. Empty tables give empty results; other columns are ignored.
+their words are the same, else 0. The next of a single document is itself. Rows with one doc_id
+follow each other in the order of their texts. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def with_next(rows: DataFrame, bounds: list[int], columns: list[str]) -> DataFra
     own = F.struct(F.col("_block").alias("block"), F.lit(0).alias("guest"))
     guest = F.struct(F.pmod(F.col("_block") - 1, F.lit(blocks)).alias("block"), F.lit(1).alias("guest"))
     dealt = rows.withColumn("_block", at).withColumn("_to", F.explode(F.when(opens, F.array(own, guest)).otherwise(F.array(own))))
-    order = Window.partitionBy("_to.block").orderBy("_to.guest", F.col("doc_id").asc_nulls_first(), *[c for c in columns if c == "_tie"])
+    order = Window.partitionBy("_to.block").orderBy("_to.guest", F.col("doc_id").asc_nulls_first(), "text")
     seen = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return seen.where(F.col("_to.guest") == 0).drop("_to", "_block")
 

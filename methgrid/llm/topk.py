@@ -13,7 +13,8 @@ Every query block meets every row block, a block's best are merged by query in S
 Rows with a null id, a null vector, or null or non-finite components take no part; shorter
 vectors count as filled with zeros. Ties go to the smaller id; rows that share the query's id
 are never its candidates. Empty tables give empty results, other columns are ignored.
-Components beyond 2^20 in size could overflow the sums and are refused with an error.
+Of the rows that share a query's id, the one with the least vector asks. Finite components may have
+any size up to 2^25; beyond that a product of two has no place in a 64-bit score, and is refused.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ ROWS, QUERIES = 8192, 256
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, q) with q the integer vector, of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 16384.0))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0**25))
     sound = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     checked = sound.where(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
-    q = F.when(finite, F.transform(x, lambda v: F.floor(v * 64).cast("int"))).otherwise(F.raise_error(F.lit("vector components beyond 2^20")).cast("array<int>"))
+    q = F.when(finite, F.transform(x, lambda v: F.floor(v * 64).cast("int"))).otherwise(F.raise_error(F.lit("vector components beyond 2^25")).cast("array<int>"))
     return checked.select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
 
 
@@ -81,6 +82,12 @@ class ImpactIndex:
             # Sums of products below 2^24 are exact in 32 bits, below 2^53 in 64.
             self.segments.append((part, np.sqrt((rest.astype(np.float64) ** 2).sum(1))))
 
+    def _exact(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Inner products of rows; a sum that 64 bits can't hold is refused."""
+        if int(np.abs(a).max(initial=0)) * self.largest * max(a.shape[1], 1) < 1 << 63:
+            return (a * b).sum(1)
+        return np.array([sum(map(int.__mul__, x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query ids, ids, scores) of the k best rows for each query but rows of its own id, ties to smaller ids."""
         n, dim = self.matrix.shape
@@ -89,13 +96,16 @@ class ImpactIndex:
         fit[:, :width] = queries[:, :width]
         kind = np.float32 if self.largest * int(np.abs(fit).max(initial=0)) * max(dim, 1) < 1 << 24 else np.float64
         length = np.sqrt((fit.astype(np.float64) ** 2).sum(1))
+        # Sums of 64-bit floats beyond 2^53 are rounded; the bounds allow for that.
+        loose = (max(dim, 1) + 2) * 2.0**-52 if kind is np.float64 else 0.0
+        size = np.sqrt((self.matrix.astype(np.float64) ** 2).sum(1)) * loose
         own = query_ids[:, None] == self.ids[None, :]
         open_, acc = np.arange(len(fit)), np.zeros((len(fit), n), kind)
         pairs = []
         if n > 4 * k:
             for part, rest in self.segments:
                 acc += fit[open_].astype(kind) @ part.T.astype(kind)
-                slack = length[open_, None] * rest[None, :] + 0.5 * (rest[None, :] > 0)
+                slack = length[open_, None] * (rest + size)[None, :] + 0.5 * (rest[None, :] > 0)
                 lower = np.where(own[open_], -np.inf, acc - slack)
                 least = np.partition(lower, n - k, axis=1)[:, n - k]
                 may = (acc + slack >= least[:, None]) & ~own[open_]
@@ -114,7 +124,7 @@ class ImpactIndex:
         scores = np.empty(len(who), np.int64)
         for at in range(0, len(who), 100_000):
             part = slice(at, at + 100_000)
-            scores[part] = (fit[who[part]] * self.matrix[what[part]]).sum(1)
+            scores[part] = self._exact(fit[who[part]], self.matrix[what[part]])
         order = np.lexsort((self.ids[what], -scores, who))
         who, what, scores = who[order], what[order], scores[order]
         nth = np.arange(len(who)) - np.searchsorted(who, who)
@@ -157,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 def op3_score_at_a_time(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """The 20 best of all embeddings for each whose id is divisible by 20."""
     vectors = quantised(read_table(spark, sf_dir, "embeddings"))
-    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k)
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0).groupBy("vec_id").agg(F.min("q").alias("q")), k)
 
 
 OP3_SQL = """
@@ -168,8 +178,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), p AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id
-  WHERE a.vec_id % 20 = 0
+  FROM (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id) a JOIN v b ON a.vec_id <> b.vec_id
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
 )
