@@ -8,9 +8,9 @@ its first point, so two texts agree in a register with probability equal to the
 Jaccard index. A process is left as soon as its next point lies beyond all registers.
 
 Signatures are cut into bands. Texts that share a band are candidates: all pairs of small
-groups; members of larger groups against a pivot, different in every band, and, in a finer
-group that also shares the next band, and the next but one, again. Copies were folded into one
-node before. Candidates are verified by the exact overlap of their multisets. Members of larger
+groups; members of larger groups against their first node, which most bands of near copies have in
+common, and again in finer groups that also share the next band, and the next but one. Copies
+were folded into one node before. Candidates are verified by the exact overlap of their multisets. Members of larger
 groups that this leaves in different components are compared by an exact join over length and
 prefix filters, whose result doesn't depend on the bands. Connected texts form classes.
 
@@ -38,6 +38,8 @@ SIMILAR = 0.8
 PAIRED = 12
 #: How often a larger group is refined by one more band.
 LEVELS = 3
+#: Atoms that the prefixes of two sets must share.
+SHARED = 4
 #: Members of larger groups that have one shingle in their prefixes are joined in blocks of so many.
 BLOCK = 1000
 
@@ -119,7 +121,7 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("nid", "band", "key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next_1"), F.get("bands", (F.col("band") + 2) % BANDS).alias("next_2"))
     found = []
     for level in range(LEVELS):
-        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("nid", "band").alias("h"), "nid"))["nid"].alias("pivot")).where("n > 1")
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("pivot")).where("n > 1")
         members = rows.join(groups, "key")
         members = written(members, "band_members")
         few = members.where(F.col("n") <= PAIRED).select("key", "nid")
@@ -201,9 +203,10 @@ def components(edges: DataFrame) -> DataFrame:
 def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame | None:
     """Distinct (a, b), a < b, of members of larger groups in different components that may overlap by ``least``; None without such groups.
 
-    Every pair that does is among them: sorted by one order of all atoms, the longer set's first
-    n - least * n + 1 and the shorter set's first n - 2 * least / (1 + least) * n + 1 atoms meet.
-    Rare atoms come first. Of an atom's members those of its largest component aren't joined with
+    Every pair that does is among them: sets that have o atoms in common share SHARED of the first
+    n - o + SHARED of each in one order of all atoms (all o, if o is less). The longer set has
+    o >= least * n, the shorter one o >= 2 * least / (1 + least) * n; of a pair o is known. Rare
+    atoms come first. Of an atom's members those of its largest component aren't joined with
     each other, and the others are joined in blocks of BLOCK against BLOCK.
     """
     labelled = large.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
@@ -215,23 +218,26 @@ def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: floa
     each = own.select("nid", "label", F.size("atoms").alias("n"), F.explode("atoms").alias("atom"))
     often = each.groupBy("atom").agg(F.count(F.lit(1)).alias("often"))
     first = each.join(often, "atom").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "atom"))).alias("sorted"))
-    length = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-6) + 1).cast("int")
+    length = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-6) + SHARED).cast("int")
     placed = first.select("nid", "label", "n", F.posexplode(F.slice("sorted", F.lit(1), length(least))).alias("place", "one"))
     indexed = F.col("place") < length(2 * least / (1 + least))
-    prefix = written(placed.where("one.often > 1").select("nid", "label", "n", F.col("one.atom").alias("atom"), indexed.alias("indexed")), "prefixes")
+    prefix = written(placed.where("one.often > 1").select("nid", "label", "n", F.col("one.atom").alias("atom"), "place", indexed.alias("indexed")), "prefixes")
     of_label = prefix.groupBy("atom", "label").agg(F.count(F.lit(1)).alias("m"))
     main = of_label.groupBy("atom").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = prefix.join(main.select("atom", "main", blocks.alias("blocks")), "atom")
     block, every = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    long = rows.select("atom", F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), "main", block.alias("x_block"), every.alias("y_block"))
-    short = rows.where("indexed").select("atom", F.col("nid").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("main").alias("y_main"), block.alias("y_block"), every.alias("x_block"))
+    long = rows.select("atom", F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), F.col("place").alias("x_place"), "main", block.alias("x_block"), every.alias("y_block"))
+    short = rows.where("indexed").select("atom", F.col("nid").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("place").alias("y_place"), F.col("main").alias("y_main"), block.alias("y_block"), every.alias("x_block"))
     may = (F.col("y_n") >= F.col("x_n") * least - 1e-6) & ((F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y") < F.col("x"))))
+    # How many atoms the pair must have in common, and so where in both prefixes a shared one counts.
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * (least / (1 + least)) - 1e-6)
+    counts = (F.col("x_place") < F.col("x_n") - need + SHARED) & (F.col("y_place") < F.col("y_n") - need + SHARED)
     found = [
-        x.join(y, ["atom", "x_block", "y_block"]).where(may & (F.col("x_label") != F.col("y_label"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        x.join(y, ["atom", "x_block", "y_block"]).where(may & counts & (F.col("x_label") != F.col("y_label"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least(need, F.lit(SHARED)).alias("need"))
         for x, y in ((long.where("x_label != main"), short), (long.where("x_label = main"), short.where("y_label != y_main")))
     ]
-    return found[0].unionByName(found[1]).distinct()
+    return found[0].unionByName(found[1]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
