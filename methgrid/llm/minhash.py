@@ -180,23 +180,53 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataF
     return both.where(may).select("a", "b", score.alias("similarity")).where(F.col("similarity") >= least).dropDuplicates(["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the labels of the edges' ends; a node without a label stands for itself."""
+    ends = edges.join(labels.select(F.col("nid").alias("a"), F.col("label").alias("a_label")), "a", "left")
+    ends = ends.join(labels.select(F.col("nid").alias("b"), F.col("label").alias("b_label")), "b", "left")
+    x, y = F.coalesce("a_label", "a"), F.coalesce("b_label", "b")
+    return ends.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(nid, label): every node of the edges and where the way to ever smaller neighbours ends.
+
+    A node points to its least neighbour, if that is smaller; pointers are followed by doubling.
+    """
+    both = edges.select(F.col("a").alias("nid"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("nid"), F.col("a").alias("other")))
+    now = written(both.groupBy("nid").agg(F.least(F.min("other"), F.col("nid")).alias("label")), "roots")
+    while True:
+        far = now.select(F.col("nid").alias("label"), F.col("label").alias("next"))
+        new = written(now.join(far, "label").select("nid", F.col("next").alias("label"), F.col("label").alias("was")), "roots")
+        drop_written(now)
+        now = new.drop("was")
+        if not new.where("label != was").limit(1).count():
+            return now
+
+
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(nid, label): the least node of each node's connected component; nodes without an edge are left out.
 
-    Every round takes the least label among neighbours, then follows labels once; labels are
-    written each round, and only a count comes to the driver.
+    Every round points nodes to roots and replaces the edges by those between different roots, so
+    that edges inside what is already one component are read once. ``labels`` of an earlier call
+    are taken as they are, and the new edges are laid between them. Tables are written each
+    round, and only counts come to the driver.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(both.groupBy(F.col("a").alias("nid")).agg(F.least(F.min("b"), F.col("nid")).alias("label")), "labels")
+    edges = written(edges.select("a", "b") if labels is None else relabelled(edges, labels), "edges")
+    if labels is not None:
+        ends = edges.select(F.col("a").alias("nid")).unionByName(edges.select(F.col("b").alias("nid"))).distinct()
+        labels = labels.unionByName(ends.join(labels, "nid", "left_anti").select("nid", F.col("nid").alias("label")))
     while True:
-        offered = both.join(labels.select(F.col("nid").alias("b"), "label"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("offer"))
-        met = labels.join(offered, "nid").withColumn("low", F.least("label", "offer"))
-        jumped = met.join(labels.select(F.col("nid").alias("low"), F.col("label").alias("lower")), "low", "left")
-        new = written(jumped.select("nid", F.least("low", F.coalesce("lower", "low")).alias("label"), F.col("label").alias("was")), "labels")
-        changed = new.where("label != was").limit(1).count()
-        drop_written(labels)
-        labels = new.drop("was")
-        if not changed:
+        found = roots(edges)
+        if labels is None:
+            labels = found
+        else:
+            top = found.select(F.col("nid").alias("label"), F.col("label").alias("root"))
+            labels = written(labels.join(top, "label", "left").select("nid", F.coalesce("root", "label").alias("label")), "labels")
+        left = written(relabelled(edges, found), "edges")
+        drop_written(edges)
+        edges = left
+        if not edges.limit(1).count():
             return labels
 
 
@@ -263,7 +293,7 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest_pairs")
         more = written(verified(rest, sets, least), "rest_links")
         if more.limit(1).count():
-            labels = components(links.unionByName(more))
+            labels = components(more, labels)
     labelled = nodes.select("nid", "node", "rep").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     best = labelled.groupBy("label").agg(F.min_by(F.struct("rep", "node"), F.struct(F.col("rep").isNull(), "rep")).alias("first"))
     of_node = labelled.join(best, "label").select("node", F.col("first.rep").alias("class_id"), (F.col("node") == F.col("first.node")).alias("first_node"))
