@@ -38,8 +38,6 @@ SIMILAR = 0.8
 PAIRED = 12
 #: How often a larger group is refined by one more band.
 LEVELS = 3
-#: Atoms that the prefixes of two sets must share.
-SHARED = 4
 #: Members of larger groups that have one shingle in their prefixes are joined in blocks of so many.
 BLOCK = 1000
 
@@ -233,10 +231,9 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame | None:
     """Distinct (a, b), a < b, of members of larger groups in different components that may overlap by ``least``; None without such groups.
 
-    Every pair that does is among them: sets that have o atoms in common share SHARED of the first
-    n - o + SHARED of each in one order of all atoms (all o, if o is less). The longer set has
-    o >= least * n, the shorter one o >= 2 * least / (1 + least) * n; of a pair o is known. Rare
-    atoms come first. Of an atom's members those of its largest component aren't joined with
+    Every pair that does is among them: sets that have o atoms in common share one of the first
+    n - o + 1 of each in one order of all atoms. The longer set has o >= least * n, the shorter
+    one o >= 2 * least / (1 + least) * n; of a pair o is known. Rare atoms come first. Of an atom's members those of its largest component aren't joined with
     each other, and the others are joined in blocks of BLOCK against BLOCK.
     """
     labelled = large.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
@@ -248,7 +245,7 @@ def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: floa
     each = own.select("nid", "label", F.size("atoms").alias("n"), F.explode("atoms").alias("atom"))
     often = each.groupBy("atom").agg(F.count(F.lit(1)).alias("often"))
     first = each.join(often, "atom").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "atom"))).alias("sorted"))
-    length = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-6) + SHARED).cast("int")
+    length = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-6) + 1).cast("int")
     placed = first.select("nid", "label", "n", F.posexplode(F.slice("sorted", F.lit(1), length(least))).alias("place", "one"))
     indexed = F.col("place") < length(2 * least / (1 + least))
     prefix = written(placed.where("one.often > 1").select("nid", "label", "n", F.col("one.atom").alias("atom"), "place", indexed.alias("indexed")), "prefixes")
@@ -260,14 +257,14 @@ def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: floa
     long = rows.select("atom", F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), F.col("place").alias("x_place"), "main", block.alias("x_block"), every.alias("y_block"))
     short = rows.where("indexed").select("atom", F.col("nid").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("place").alias("y_place"), F.col("main").alias("y_main"), block.alias("y_block"), every.alias("x_block"))
     may = (F.col("y_n") >= F.col("x_n") * least - 1e-6) & ((F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y") < F.col("x"))))
-    # How many atoms the pair must have in common, and so where in both prefixes a shared one counts.
+    # How many atoms the pair must have in common, and so how far both prefixes go.
     need = F.ceil((F.col("x_n") + F.col("y_n")) * (least / (1 + least)) - 1e-6)
-    counts = (F.col("x_place") < F.col("x_n") - need + SHARED) & (F.col("y_place") < F.col("y_n") - need + SHARED)
+    counts = (F.col("x_place") <= F.col("x_n") - need) & (F.col("y_place") <= F.col("y_n") - need)
     found = [
-        x.join(y, ["atom", "x_block", "y_block"]).where(may & counts & (F.col("x_label") != F.col("y_label"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least(need, F.lit(SHARED)).alias("need"))
+        x.join(y, ["atom", "x_block", "y_block"]).where(may & counts & (F.col("x_label") != F.col("y_label"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         for x, y in ((long.where("x_label != main"), short), (long.where("x_label = main"), short.where("y_label != y_main")))
     ]
-    return found[0].unionByName(found[1]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    return found[0].unionByName(found[1]).distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
