@@ -547,3 +547,21 @@ def test_shingle_hashes_are_of_the_words():
     assert owner.tolist() == [0, 2] and first.tolist() == [0, 3]
     again, _, _ = shingles.shingles(h[3:], np.array([0, 5]))
     assert got[1] == again[0]
+
+
+def test_components_equal_brute_force(spark):
+    """Long ways, stars and random edges; later edges are laid between the labels of earlier ones."""
+    rng = random.Random(3)
+    path = rng.sample(range(40), 40)
+    edges = [*zip(path, path[1:], strict=False), *[(i, 100) for i in range(60, 80)], *[(200 + rng.randrange(90), 200 + rng.randrange(90)) for _ in range(60)]]
+    edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    rng.shuffle(edges)
+    want = {x: x for e in edges for x in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    assert {r.nid: r.label for r in minhash.components(frame(edges)).collect()} == want
+    early = minhash.components(frame(edges[:60]))
+    assert {r.nid: r.label for r in minhash.components(frame(edges[60:]), early).collect()} == want
+    assert minhash.components(frame([])).count() == 0
