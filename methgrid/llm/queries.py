@@ -7,10 +7,13 @@ from .language import op5_byte_conv
 from .licenses import op6_conditional_compression
 from .minhash import op10_bag_minhash
 from .mixing import op1_entropy_mix
+from .packing import op11_minimum_slack
+from .resample import op12_translate_split
 from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
 from .spotsigs import op9_spot_signatures
 from .topk import OP3_SQL, op3_score_at_a_time
+from .whitening import op13_jacobi_davidson
 from .windows import op2_compact_windows
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_linked_secrets": op8_linked_secrets,
     "op9_spot_signatures": op9_spot_signatures,
     "op10_bag_minhash": op10_bag_minhash,
+    "op11_minimum_slack": op11_minimum_slack,
+    "op12_translate_split": op12_translate_split,
+    "op13_jacobi_davidson": op13_jacobi_davidson,
 }
 
 ORACLE_SQL: dict[str, str] = {
