@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count, islice
+from itertools import compress, count, islice
 from zlib import crc32
 
 import numpy as np
@@ -38,14 +38,14 @@ from .common import in_batches, ordered, read_table, written
 CAPACITY, END = 1024, 2
 
 #: Characters whose words are encoded together, of a slice of a text, and words remembered between blocks.
-BLOCK, SLICE, REMEMBERED = 2_000_000, 500_000, 400_000
+BLOCK, SLICE, REMEMBERED = 2_000_000, 500_000, 700_000
 #: Words given to the library in one call.
 TOGETHER = 2000
 
 #: A blank between two letters or digits always begins a word.
 CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
-#: Control characters that Python's engines count as white space and the library doesn't.
-ODD = re.compile("[\x1c-\x1f\x85]")
+#: Control characters that Python's engines count as white space and the library doesn't, and any character beyond one byte.
+ODD, ODD_OR_WIDE = re.compile("[\x1c-\x1f\x85]"), re.compile("[\x1c-\x1f\x85\u0100-\U0010ffff]")
 
 
 def slices(text: str) -> Iterator[str]:
@@ -64,18 +64,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.narrow, self.wide = regex.compile(pattern), narrow_pattern(pattern), re.compile("[^\x00-\xff]")
+        self.words, self.narrow = regex.compile(pattern), narrow_pattern(pattern)
+        self.odd: set[str] = set()
         self._hold([], np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def _hold(self, words: list[str], ids: np.ndarray, edges: np.ndarray) -> None:
         """Remember these words only: word i has the ids from edges[i] to edges[i + 1]."""
         self.number: defaultdict[str, int] = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
         self.ids, self.edges = ids, edges
+        self.uses = np.zeros(len(words), np.int64)
 
     def _words(self, text: str) -> list[str]:
+        if self.narrow and not ODD_OR_WIDE.search(text):
+            return self.narrow.findall(text)
         if ODD.search(text):
+            self.odd.add(text)
             return [text]
-        return (self.words if self.narrow is None or self.wide.search(text) else self.narrow).findall(text)
+        return self.words.findall(text)
 
     def _encoded(self, words: list[str], between: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, how many each word has); between: what keeps words apart, None if they can't be joined."""
@@ -100,10 +105,14 @@ class Encoder:
         if not new:
             return
         # Words led by a blank stand apart by themselves, others between line ends; white space and odd texts go alone.
-        kind = np.array([2 if ODD.search(w) else 0 if w[0] == " " and len(w) > 1 and not w[1].isspace() else 2 if w[0].isspace() else 1 for w in new])
+        kinds = [(0 if len(w) > 1 and not w[1].isspace() else 2) if w[0] == " " else 2 if w[0].isspace() else 1 for w in new]
+        if self.odd:
+            kinds = [2 if w in self.odd else k for w, k in zip(new, kinds, strict=True)]
+            self.odd.clear()
+        kind = np.array(kinds)
         sizes, found = np.zeros(len(new), np.int64), []
         for k, between in enumerate(("", "\n", None)):
-            ids, sizes[kind == k] = self._encoded([w for w, x in zip(new, kind.tolist(), strict=True) if x == k], between)
+            ids, sizes[kind == k] = self._encoded(list(compress(new, (kind == k).tolist())), between)
             found.append(ids)
         owner = np.repeat(kind, sizes)
         out = np.empty(len(owner), np.int32)
@@ -111,6 +120,7 @@ class Encoder:
             out[owner == k] = ids
         self.ids = np.concatenate((self.ids, out))
         self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(sizes)))
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
 
     def _gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.edges[codes + 1] - self.edges[codes]
@@ -124,12 +134,15 @@ class Encoder:
             self._learn()
             for parts in held:
                 yield np.concatenate([self._gathered(codes)[0] for codes in parts])
+            self.uses += np.bincount(np.concatenate([codes for parts in held for codes in parts]), minlength=len(self.uses))
             if len(self.number) > REMEMBERED:
-                used = np.zeros(len(self.number), bool)
-                for codes in (c for parts in held for c in parts):
-                    used[codes] = True
-                ids, sizes = self._gathered(np.flatnonzero(used))
-                self._hold([w for w, u in zip(self.number, used.tolist(), strict=True) if u], ids, np.concatenate(([0], np.cumsum(sizes))))
+                # Words met once go; if that leaves too many, only those of this block stay.
+                kept = self.uses > 1
+                if kept.sum() > 0.8 * REMEMBERED:
+                    kept[:] = False
+                    kept[np.concatenate([codes for parts in held for codes in parts])] = True
+                ids, sizes = self._gathered(np.flatnonzero(kept))
+                self._hold(list(compress(self.number, kept.tolist())), ids, np.concatenate(([0], np.cumsum(sizes))))
 
         held, size = [], 0
         for text in texts:
