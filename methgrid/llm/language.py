@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, in_batches, read_table
+from .common import DOC_COLUMNS, in_batches, read_table, small, written
 
 #: Bytes of a window.
 WINDOW = 128
 WIDTHS = (2, 4, 6)
 FILTERS = 16
-#: Labelled texts to learn from, and windows of each: the bound of what the driver gathers.
-SAMPLE, PER_TEXT = 6000, 2
+#: Labelled texts to learn from, whole: the bound of what the driver gathers.
+SAMPLE = 2000
 #: As many steps whatever the sample's size.
 STEPS, BATCH, RATE = 800, 64, 0.004
 UNKNOWN = "und"
@@ -126,39 +126,39 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame | None:
-    """(lang, chance, piece): the first ``sample`` / languages distinct texts of each language by a hash; None without labels.
+    """(lang, chance, text): the first ``sample`` / languages distinct texts of each language by a hash; None without labels.
 
-    A language with fewer is taken whole, and no limit over all languages follows: rows are
-    thinned to somewhat more than a language's part first, so that no task ranks a whole language.
+    A language with fewer is taken whole; of more languages than ``sample``, those with the first texts by the hash. Languages
+    and their parts are a table, so there may be any number. Rows are thinned to somewhat more than a
+    language's part first, so that no task ranks a whole language.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
-    counts = dict(known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).collect())
-    if not counts:
+    counts = written(known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return None
-    each = max(1, sample // len(counts))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        # The count may be a tenth too high, and what a hash takes is off by some square roots.
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * (each + 8 * each**0.5 + 30) / max(n, 1)))).otherwise(share)
+    each = max(1, sample // languages)
+    # The count may be a tenth too high, and what a hash takes is off by some square roots.
+    share = F.least(F.lit(1.0), F.lit(1.1 * (each + 8 * each**0.5 + 30)) / F.greatest("n", F.lit(1)))
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - PER_TEXT * WINDOW, F.lit(1))).cast("int")
-    piece = F.substring("text", start + 1, F.lit(PER_TEXT * WINDOW))
-    some = known.where(chance < share).select("lang", chance.alias("chance"), F.xxhash64("text").alias("text_key"), piece.alias("piece")).dropDuplicates(["lang", "text_key"])
+    thinned = known.withColumn("chance", chance).join(small(counts.select("lang", share.alias("share"))), "lang").where(F.col("chance") < F.col("share"))
+    some = thinned.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["lang", "text_key"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "text_key"))
-    return some.withColumn("place", place).where(F.col("place") <= each).select("lang", "chance", "piece")
+    kept = some.withColumn("place", place).where(F.col("place") <= each)
+    return kept.orderBy("place", "chance", "text_key", "lang").limit(sample).select("lang", "chance", "text")
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> ByteConv | None:
-    """A network from labelled rows that aren't held out: ``sample`` texts at most, the same in every run."""
+    """A network from labelled rows that aren't held out: all windows of ``sample`` texts at most, the same in every run."""
     chosen = sampled(docs, sample)
     if chosen is None:
         return None
-    rows = sorted(chosen.collect(), key=lambda r: (r.chance, r.lang, r.piece))
-    languages = sorted({r.lang for r in rows})
-    cut = [(windows_of(r.piece.encode())[0][:PER_TEXT], languages.index(r.lang)) for r in rows]
+    rows = sorted(chosen.collect(), key=lambda r: (r.chance, r.lang, r.text))
+    number = {lang: i for i, lang in enumerate(sorted({r.lang for r in rows}))}
+    cut = [(windows_of(r.text.encode())[0], number[r.lang]) for r in rows]
     if not cut:
         return None
-    net = ByteConv(languages)
+    net = ByteConv(list(number))
     net.train(np.concatenate([c[0] for c in cut]), np.concatenate([np.full(len(c[0]), c[1]) for c in cut]))
     return net
 
