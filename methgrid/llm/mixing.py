@@ -10,7 +10,7 @@ first in an order by hash, whose cut is found by two levels of histograms.
 
 Nulls: a null source is a group of its own, last in order; a null text has no words; a null
 ``doc_id`` is ordered by its text. Empty tables and tables without words give targets of 0.
-Repeated rows are taken alike. Other columns are ignored; ``mix_stage`` returns those of documents.
+Repeated rows are told apart by their place in the stored table, so that a cut takes part of them. Other columns are ignored; ``mix_stage`` returns those of documents.
 """
 
 from __future__ import annotations
@@ -33,11 +33,15 @@ def group_key(col) -> F.Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with mix_size (words), mix_key and mix_order, a hash of the row."""
+    """``docs`` with mix_size (words), mix_key, mix_order, a hash of the row, and mix_row, its place among equal rows.
+
+    Only rows of one id and text have one order; which of these comes first doesn't change the result.
+    """
     return docs.withColumns({
         "mix_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
         "mix_key": group_key(F.col("source")),
-        "mix_order": F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << BITS)),
+        "mix_order": F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << BITS)),
+        "mix_row": F.monotonically_increasing_id(),
     })
 
 
@@ -103,13 +107,20 @@ def _cut(rows: DataFrame, groups: DataFrame, rest: str, shift: int, width: int)
     return last.select("mix_key", F.col("x.at").alias("at"), F.col("x.left").alias("left"))
 
 
+#: What rows are taken in the order of, and the bits of mix_row that count rows of one task's part of the table.
+WHO, PART = ["mix_order", "mix_id", "mix_row"], 33
+
+
 def copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``groups`` with what turns a row into copies: ``base``, ``cut`` and ``extra``.
 
-    A row gets ``base`` copies, one more if its (mix_order, doc_id) is at most ``cut`` or in
+    A row gets ``base`` copies, one more if its (mix_order, mix_id, mix_row) is at most ``cut`` or in
     ``extra``: a few rows, largest first, that fill what is left before the cut.
+
+    The slice of the order in which the cut lies is summed by id and part of the table before it is run through, so
+    that equal rows, however many, are a few sums; only the rows of one such sum are then run through themselves.
     """
-    who = F.struct("mix_order", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
+    who = F.struct(*WHO)
     groups = groups.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("words")))
     groups = groups.withColumn("rest", F.when(F.col("base") >= CEILING, F.lit(0.0)).otherwise(F.col("rest")))
     rows = rows.where(F.col("mix_size") > 0)
@@ -117,11 +128,23 @@ def copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
     in_one = rows.join(small(one.withColumnRenamed("at", "first")), "mix_key").where(F.shiftright("mix_order", BITS - LEVEL) == F.col("first")).drop("first", "left")
     two = written(_cut(in_one, one, "left", BITS - 2 * LEVEL, 1 << LEVEL), "mix_cut")
     in_two = in_one.join(small(two.withColumnRenamed("at", "second")), "mix_key").where(F.shiftright("mix_order", BITS - 2 * LEVEL).bitwiseAND((1 << LEVEL) - 1) == F.col("second"))
-    run = F.sum("mix_size").over(Window.partitionBy("mix_key").orderBy(who).rowsBetween(Window.unboundedPreceding, 0))
-    last = in_two.withColumn("run", run).where(F.col("run") <= F.col("left")).groupBy("mix_key").agg(F.max(F.struct(who.alias("who"), "run")).alias("x"))
+    in_two = in_two.withColumn("part", F.shiftright("mix_row", PART))
+    unit = ["mix_order", "mix_id", "part"]
+    units = in_two.groupBy("mix_key", "left", *unit).agg(F.sum("mix_size").alias("words"))
+    run = units.withColumn("run", F.sum("words").over(Window.partitionBy("mix_key").orderBy(*unit).rowsBetween(Window.unboundedPreceding, 0)))
+    run = written(run, "mix_units")
+    last_of_part = F.struct("mix_order", "mix_id", F.expr(f"shiftleft(part + 1, {PART}) - 1").alias("mix_row"))
+    whole = run.where(F.col("run") <= F.col("left")).groupBy("mix_key").agg(F.max(F.struct(last_of_part.alias("who"), "run")).alias("whole"))
+    broken = run.where(F.col("run") > F.col("left")).groupBy("mix_key").agg(F.min(F.struct(*unit, (F.col("run") - F.col("words")).alias("before"))).alias("unit"))
+    broken = small(written(broken.select("mix_key", *[F.col(f"unit.{c}").alias(c) for c in unit], "unit.before"), "mix_broken"))
+    inside = in_two.join(broken, ["mix_key", *unit])
+    inside = inside.withColumn("run", F.col("before") + F.sum("mix_size").over(Window.partitionBy("mix_key").orderBy("mix_row").rowsBetween(Window.unboundedPreceding, 0)))
+    broke = inside.where(F.col("run") <= F.col("left")).groupBy("mix_key").agg(F.max(F.struct(who.alias("who"), "run")).alias("broke"))
+    last = whole.join(broke, "mix_key", "full").select("mix_key", F.coalesce("broke", "whole").alias("x"))
     floor_ = F.struct(
         ((F.col("one") * (1 << LEVEL) + F.col("two")) * (1 << (BITS - 2 * LEVEL)) - 1).cast("long").alias("mix_order"),
-        F.lit(2**62).alias("doc_id"),
+        F.lit(2**62).alias("mix_id"),
+        F.lit(2**62).alias("mix_row"),
     )
     cuts = (
         one.withColumnRenamed("at", "one").drop("left")
@@ -141,31 +164,37 @@ def copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
             F.when(fits, F.concat(acc["out"], F.array(x["who"]))).otherwise(acc["out"]).alias("out"),
         )
 
-    none = F.array().cast("array<struct<mix_order:bigint,doc_id:bigint>>")
+    none = F.array().cast("array<struct<mix_order:bigint,mix_id:bigint,mix_row:bigint>>")
     lists = fit.groupBy("mix_key", "gap").agg(F.sort_array(F.collect_list(F.struct(F.col("x.mix_size").alias("mix_size"), F.col("x.who").alias("who"))), asc=False).alias("xs"))
     extra = lists.select("mix_key", F.aggregate("xs", F.struct(F.col("gap").alias("gap"), none.alias("out")), take, lambda acc: acc["out"]).alias("extra"))
     return groups.join(extra, "mix_key", "left")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: float = CEILING) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies."""
-    rows = sized(docs)
-    flat = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "mix_key", "mix_size", "mix_order"), "mix_rows")
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: float = CEILING, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with mix_size, mix_source_size, mix_target, mix_rate and mix_copies.
+
+    These are stored once, so that all steps tell equal rows apart in the same way.
+    """
+    own = ["mix_size", "mix_key", "mix_order", "mix_row"]
+    kept = docs.columns if keep is None else keep
+    with_id = sized(docs).withColumn("mix_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
+    rows = written(with_id.select(*dict.fromkeys([*kept, "source"]), *own, "mix_id"), "mix_rows")
+    flat = rows.select("mix_id", "source", *own)
     sources = flat.groupBy("mix_key", "source").agg(F.sum("mix_size").alias("words"))
     placed = ordered(sources, [F.col("source").asc_nulls_last()], "place")
     weight = F.array(*[F.lit(w) for w in weights])[F.col("place") % len(weights)]
     groups = written(water_fill(written(placed.select("mix_key", "words", weight.alias("weight")), "mix_sources"), ceiling), "mix_targets")
     rates = balance(groups.select("mix_key", "words"), {"mix_key": groups.select("mix_key", "target")}, ceiling)
-    groups = copies(flat, groups.join(rates.select("mix_key", "rate"), "mix_key"))
+    groups = copies(flat.drop("source"), groups.join(rates.select("mix_key", "rate"), "mix_key"))
     plan = small(written(groups.select("mix_key", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), "base", "cut", "extra"), "mix_plan"))
-    who = F.struct("mix_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"))
+    who = F.struct(*WHO)
     more = (F.col("mix_size") > 0) & (F.coalesce(who <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("extra", who), F.lit(False)))
-    return rows.join(plan, "mix_key").withColumn("mix_copies", F.col("base").cast("long") + more.cast("long")).drop("base", "cut", "extra", "mix_key", "mix_order")
+    return rows.join(plan, "mix_key").select(*kept, "mix_size", "mix_source_size", "mix_target", "mix_rate", (F.col("base").cast("long") + more.cast("long")).alias("mix_copies"))
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that a mix of all sources takes of each."""
-    got = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    got = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     return got.select(
         "doc_id",
         F.col("mix_size").alias("size"),
