@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Largest site count that the 16-bit storage of methylomes holds.
@@ -23,6 +23,19 @@ def wmean_or(min_reads: int, missing: float | None = None, m="n_meth", u="n_unme
     return F.when(n_reads(m, u) >= min_reads, wmean(m, u)).otherwise(F.lit(missing).cast("double"))
 
 
+def matrix_wmeans(matrix: DataFrame, keys: list[str], has_covered: bool = False, min_reads: int = 1) -> DataFrame:
+    """Weighted means of a wide matrix whose columns besides ``keys`` are, for each sample, methylated and unmethylated reads, and covered sites if ``has_covered``.
+
+    A mean's column is named by the sample's first one, without the suffix _M; null below ``min_reads``.
+    """
+    values = [c for c in matrix.columns if c not in keys]
+    width = 3 if has_covered else 2
+    if len(values) % width:
+        raise ValueError(f"{len(values)} columns aren't {width} for each sample")
+    means = [wmean_or(min_reads, None, f"`{m}`", f"`{u}`").alias(m.removesuffix("_M")) for m, u in zip(values[::width], values[1::width], strict=True)]
+    return matrix.select(*keys, *means)
+
+
 def fit_u16(value: Column, other: Column) -> Column:
     """``value`` of a pair, rescaled so that the larger of the two is 65535 if it is beyond that."""
     top = F.greatest(value, other)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from methgrid.operators.scan import numbered
+
 
 def listing(data: DataFrame, meta: DataFrame, key: list[str]) -> DataFrame:
     """Names that have both data and metadata."""
@@ -37,13 +39,28 @@ def matches(pattern: str) -> Column:
 
 
 def search(info: DataFrame, patterns: list[str]) -> DataFrame:
-    """Rows that match all patterns; a pattern that nothing left matches is passed over."""
-    found = info
-    for pattern in patterns:
-        narrowed = found.where(matches(pattern))
-        if narrowed.limit(1).count():
-            found = narrowed
-    return found
+    """Rows that match all patterns; a pattern that nothing left matches is passed over.
+
+    Every row gets one bit for each pattern in one pass. Which patterns hold is folded from the distinct sets of
+    bits, at most 2^patterns of them, in the same query: a pattern joins those before it if some set has them all.
+    """
+    if not patterns:
+        return info
+    if len(patterns) > 62:
+        raise ValueError("more than 62 patterns")
+    bits = F.lit(0).cast("long")
+    for i, pattern in enumerate(patterns):
+        bits = bits + F.when(matches(pattern), 1 << i).otherwise(0).cast("long")
+    rows = info.withColumn("_bits", bits)
+    sets = F.collect_set("_bits")
+    each = F.array(*[F.lit(1 << i).cast("long") for i in range(len(patterns))])
+
+    def joined(held, bit):
+        both = held.bitwiseOR(bit)
+        return F.when(F.exists("_sets", lambda s: s.bitwiseAND(both) == both), both).otherwise(held)
+
+    held = rows.agg(sets.alias("_sets")).select(F.aggregate(each, F.lit(0).cast("long"), joined).alias("_held"))
+    return rows.where(F.col("_bits").bitwiseAND(held.scalar()) == held.scalar()).drop("_bits")
 
 
 def add(selection: DataFrame, more: DataFrame) -> DataFrame:
@@ -62,9 +79,14 @@ def toggle(selection: DataFrame, those: DataFrame) -> DataFrame:
 
 
 def make_groups(members: DataFrame) -> DataFrame:
-    """(group, label, accession): labels group_00001, ... by accession in each group."""
-    place = F.row_number().over(Window.partitionBy("group").orderBy("accession"))
-    return members.select("group", "accession").distinct().select("group", F.concat_ws("_", "group", F.lpad(place.cast("string"), 5, "0")).alias("label"), "accession")
+    """(group, label, accession): labels group_00001, ... by accession in each group; later ones than group_99999 have more digits."""
+    return _labelled(members.select("group", "accession").distinct(), "accession")
+
+
+def _labelled(rows: DataFrame, order: str) -> DataFrame:
+    place = F.col("_place").cast("string")
+    padded = F.lpad(place, F.greatest(F.lit(5), F.length(place)), F.lit("0"))
+    return numbered(rows, ["group"], [order], "_place").select("group", F.concat_ws("_", "group", padded).alias("label"), "accession")
 
 
 def group_name(patterns: list[str]) -> str:
@@ -78,9 +100,8 @@ def group_of(label: Column) -> Column:
 
 def remove_members(groups: DataFrame, gone: DataFrame) -> DataFrame:
     """Groups without the (group, accession) of ``gone``, numbered again in the old order."""
-    left = groups.join(gone, ["group", "accession"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("group").orderBy("label"))
-    return left.select("group", F.concat_ws("_", "group", F.lpad(place.cast("string"), 5, "0")).alias("label"), "accession")
+    left = groups.join(gone, ["group", "accession"], "left_anti").withColumn("_old", F.regexp_extract("label", "([0-9]+)$", 1).cast("long"))
+    return _labelled(left, "_old")
 
 
 def rename_group(groups: DataFrame, old: str, new: str) -> DataFrame:

@@ -11,45 +11,91 @@ from methgrid.operators.scan import small
 MOD = 65521
 
 
-def _adler(parts: list[tuple[Column, Column]], length: Column) -> Column:
-    """Adler-32 with start 0 from (byte, place) of all bytes: both of its sums are weighted sums.
+#: Sites of a block of checksums.
+BLOCK = 1 << 16
 
-    Products are reduced row by row, so sums stay far below 2^63.
+
+def _sums(parts: list[tuple[Column, Column]]) -> list[Column]:
+    """(a, w) of (byte, place) of all bytes: the sum of bytes, and that of bytes times places.
+
+    Adler-32 with start 0 is made of both, and both add up over blocks. Products are reduced row by row, so sums
+    stay far below 2^63.
     """
     a = sum((F.sum(b) for b, _ in parts), F.lit(0)) % MOD
-    b = sum((F.sum(b * ((length - i) % MOD)) for b, i in parts), F.lit(0)) % MOD
-    return (b * 65536 + a).cast("long")
+    w = sum((F.sum(b * (i % MOD)) for b, i in parts), F.lit(0)) % MOD
+    return [a.cast("long").alias("a"), w.cast("long").alias("w")]
+
+
+def _adler(length: Column) -> Column:
+    """Adler-32 with start 0 of ``length`` bytes whose blocks have sums a and w."""
+    a = F.sum("a") % MOD
+    return (F.pmod((length % MOD) * a - F.sum("w"), F.lit(MOD)) * 65536 + a).cast("long")
 
 
 def _bytes(value: Column, width: int, at: Column) -> list[tuple[Column, Column]]:
     return [(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(255), at + k) for k in range(width)]
 
 
+def methylome_sums(methylomes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(genome, sample, block, a, w) over the 16-bit pairs of each block of sites, to be stored; blocks without reads have none."""
+    at = F.col("site_idx") * 4
+    parts = _bytes(F.col("n_meth"), 2, at) + _bytes(F.col("n_unmeth"), 2, at + 2)
+    return methylomes.groupBy("genome", "sample", F.expr(f"site_idx div {block}").alias("block")).agg(*_sums(parts))
+
+
+def site_sums(sites: DataFrame, chroms: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(genome, chrom, block, a, w) over the 32-bit positions of each block of a chromosome's sites, to be stored."""
+    rows = sites.join(small(chroms.select("genome", "chrom", "chrom_offset")), ["genome", "chrom"]).withColumn("nth", F.col("site_idx") - F.col("chrom_offset"))
+    return rows.groupBy("genome", "chrom", F.expr(f"nth div {block}").alias("block")).agg(*_sums(_bytes(F.col("pos"), 4, F.col("nth") * 4)))
+
+
+def updated_sums(sums: DataFrame, methylomes: DataFrame, touched: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Stored ``sums`` with those of the blocks ``touched`` (genome, sample, block) made again from ``methylomes``, of which only these are summed."""
+    keys = ["genome", "sample", "block"]
+    again = small(touched.select(*keys).distinct())
+    fresh = methylomes.withColumn("block", F.expr(f"site_idx div {block}")).join(again, keys, "left_semi")
+    return sums.join(again, keys, "left_anti").unionByName(methylome_sums(fresh.drop("block"), block))
+
+
+def changed_blocks(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block) whose sums differ between two tables of sums, or that only one of them has."""
+    both = before.withColumnsRenamed({"a": "a0", "w": "w0"}).join(now, [*keys, "block"], "full")
+    return both.where(~(F.col("a0").eqNullSafe(F.col("a")) & F.col("w0").eqNullSafe(F.col("w")))).select(*keys, "block")
+
+
+def hash_of_sums(sums: DataFrame, n_sites: DataFrame) -> DataFrame:
+    """(genome, sample, methylome_hash) of stored sums. n_sites: (genome, n_sites), one row for a genome."""
+    return sums.join(small(n_sites), "genome").groupBy("genome", "sample", "n_sites").agg(_adler(F.col("n_sites") * 4).alias("methylome_hash")).drop("n_sites")
+
+
 def methylome_hash(methylomes: DataFrame, n_sites: DataFrame) -> DataFrame:
     """(genome, sample, methylome_hash) over the 16-bit pairs of all sites; sites without reads add nothing.
 
     n_sites: (genome, n_sites), one row for a genome.
     """
-    rows = methylomes.join(small(n_sites), "genome")
-    at = F.col("site_idx") * 4
-    parts = _bytes(F.col("n_meth"), 2, at) + _bytes(F.col("n_unmeth"), 2, at + 2)
-    return rows.groupBy("genome", "sample").agg(_adler(parts, F.col("n_sites") * 4).alias("methylome_hash"))
+    return hash_of_sums(methylome_sums(methylomes), n_sites)
 
 
 def chrom_hash(sites: DataFrame, chroms: DataFrame) -> DataFrame:
     """(genome, chrom, chrom_ord, n_sites, chrom_hash) over the 32-bit positions of each chromosome."""
-    rows = sites.join(small(chroms.select("genome", "chrom", "chrom_offset", "n_sites")), ["genome", "chrom"])
-    at = (F.col("site_idx") - F.col("chrom_offset")) * 4
-    hashed = rows.groupBy("genome", "chrom").agg(_adler(_bytes(F.col("pos"), 4, at), F.col("n_sites") * 4).alias("chrom_hash"))
-    return chroms.select("genome", "chrom", "chrom_ord", "n_sites").join(hashed, ["genome", "chrom"], "left").fillna(0, ["chrom_hash"])
+    return chrom_hash_of_sums(site_sums(sites, chroms), chroms)
+
+
+def chrom_hash_of_sums(sums: DataFrame, chroms: DataFrame) -> DataFrame:
+    """(genome, chrom, chrom_ord, n_sites, chrom_hash) of stored sums; chromosomes without sites have 0."""
+    names = ["genome", "chrom", "chrom_ord", "n_sites"]
+    met = chroms.select(*names).join(sums, ["genome", "chrom"], "left").fillna(0, ["a", "w"])
+    return met.groupBy(*names).agg(_adler(F.col("n_sites") * 4).alias("chrom_hash"))
 
 
 def index_hash(sites: DataFrame, chroms: DataFrame) -> DataFrame:
-    """(genome, index_hash): the chromosomes' checksums combined in order, from 1.
+    """(genome, index_hash): the chromosomes' checksums combined in order, from 1."""
+    return index_hash_of_sums(site_sums(sites, chroms), chroms)
 
-    A genome's list of chromosomes is short, so it is folded in one row.
-    """
-    per = chrom_hash(sites, chroms).groupBy("genome").agg(F.sort_array(F.collect_list(F.struct("chrom_ord", (F.col("n_sites") * 4).alias("len"), "chrom_hash"))).alias("parts"))
+
+def index_hash_of_sums(sums: DataFrame, chroms: DataFrame) -> DataFrame:
+    """(genome, index_hash) of stored sums. A genome's list of chromosomes is short, so it is folded in one row."""
+    per = chrom_hash_of_sums(sums, chroms).groupBy("genome").agg(F.sort_array(F.collect_list(F.struct("chrom_ord", (F.col("n_sites") * 4).alias("len"), "chrom_hash"))).alias("parts"))
 
     def combine(acc, x):
         rem = x["len"] % MOD

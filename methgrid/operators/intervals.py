@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methgrid.operators.scan import last_before, small
+from methgrid.operators.scan import last_before, only_blocks, small
 
 #: Positions of a block in which bounds and sites meet.
 BLOCK = 1 << 14
@@ -33,14 +33,15 @@ def site_ranks(intervals: DataFrame, sites: DataFrame, chroms: DataFrame, marks:
     """``intervals`` with lo and hi: the interval holds the sites of ranks lo to hi - 1.
 
     Every bound looks for the last site before it in its block of the chromosome. Intervals of
-    chromosomes that the genome doesn't have are left out. marks: what ``site_marks`` has stored.
+    chromosomes that the genome doesn't have are left out. marks: what ``site_marks`` has stored; only
+    the blocks that hold bounds are read.
     """
-    marks = site_marks(sites, chroms) if marks is None else marks
     known = intervals.join(small(chroms.select("genome", "chrom", "chrom_size")), ["genome", "chrom"])
     ends = F.explode(F.array(F.struct(F.lit(False).alias("is_stop"), F.col("start").alias("at")), F.struct(F.lit(True).alias("is_stop"), F.col("stop").alias("at"))))
     events = known.withColumn("end", ends).withColumn("pos", F.greatest(F.lit(0), F.least("end.at", "chrom_size"))).withColumn("block", F.expr(f"pos div {BLOCK}"))
     columns = intervals.columns
     others = [c for c in columns if c not in ("genome", "chrom")]
+    marks = site_marks(sites, chroms) if marks is None else only_blocks(marks, events, ["genome", "chrom"])
     found = last_before(events.select("genome", "chrom", *others, F.col("end.is_stop").alias("is_stop"), "pos", "block"), marks, ["genome", "chrom"], "pos", ["before"])
     return found.groupBy(*columns).agg(F.max(F.when(~F.col("is_stop"), F.col("before"))).alias("lo"), F.max(F.when(F.col("is_stop"), F.col("before"))).alias("hi"))
 
@@ -78,3 +79,12 @@ def are_sorted(intervals: DataFrame) -> DataFrame:
 
 def as_text(sep: str = "\t") -> Column:
     return F.concat_ws(sep, "chrom", F.col("start").cast("string"), F.col("stop").cast("string"))
+
+
+def compared(a: str, b: str) -> Column:
+    """-1, 0 or 1 as interval struct ``a`` comes before, equals or comes after ``b``: by chromosome in the genome's order, start, stop.
+
+    Both have chrom_ord, start and stop.
+    """
+    x, y = (F.struct(f"{c}.chrom_ord", f"{c}.start", f"{c}.stop") for c in (a, b))
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)

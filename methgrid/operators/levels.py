@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from methgrid.operators import genome as g
 from methgrid.operators.intervals import site_ranks
-from methgrid.operators.scan import last_before, small
+from methgrid.operators.pyramid import Pyramid
+from methgrid.operators.scan import last_before, named, only_blocks, small
+from methgrid.sources.scratch import stored
 
 #: Site ranks of a block of prefix sums.
-BLOCK = 4096
+BLOCK = 1024
 #: Windows of more bins than this are answered by prefix sums.
 FRAME = 64
 
@@ -70,38 +72,68 @@ def prefix_sums(methylomes: DataFrame, chroms: DataFrame) -> DataFrame:
     return both.withColumns({n: F.sum(n).over(inside) for n in sums})
 
 
-def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, on: list[str] | None = None) -> DataFrame:
-    """(interval_id, sample, n_meth, n_unmeth[, n_covered]) of intervals with site ranks.
+def pair_levels(pairs: DataFrame, prefix: DataFrame, covered: bool = False) -> DataFrame:
+    """``pairs`` (genome, sample, lo, hi, ...) with the sums of the sample's sites of ranks lo to hi - 1.
 
-    Every bound looks for the last site before it among a sample's prefix sums; the sum at stop
-    less that at start is the interval's, so the cost doesn't depend on the width or the overlap
-    of intervals. samples: (genome, sample), one row each, with more columns if ``on``, what they
-    are joined on, says so. prefix: what ``prefix_sums`` has stored; without it, it is made of
-    ``methylomes``. keys: the columns of an interval, interval_id if not given.
+    Every bound looks for the last site before it among the sample's prefix sums; the sum at hi less that at lo is
+    the pair's, so the cost doesn't depend on the width or the overlap of intervals. Other columns tell pairs apart.
     """
     names = list(_sums(covered))
+    keys = [c for c in pairs.columns if c not in ("genome", "sample")]
+    bound = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("hi").alias("at"))))
+    ends = pairs.withColumn("_end", bound)
+    events = ends.select("genome", "sample", *keys, "_end.sign", "_end.at").withColumn("block", F.expr(f"at div {BLOCK}"))
+    found = last_before(events, prefix.select("genome", "sample", "block", "at", "rank", *names), ["genome", "sample"], "at", names)
+    return found.groupBy("genome", "sample", *keys).agg(*[F.coalesce(F.sum(F.col("sign") * F.col(n)), F.lit(0)).alias(n) for n in names])
+
+
+def bounds_of(ranked: DataFrame) -> DataFrame:
+    """(genome, block) of the blocks of prefix sums that hold bounds of ``ranked``."""
+    return ranked.select("genome", F.explode(F.array(F.expr(f"lo div {BLOCK}"), F.expr(f"hi div {BLOCK}"))).alias("block"))
+
+
+def touched_sums(prefix: DataFrame, ranked: DataFrame, samples: DataFrame) -> DataFrame:
+    """What a question reads of a stored table of prefix sums: its samples' folders, and in them the blocks with its bounds."""
+    return only_blocks(named(prefix, samples, ["genome", "sample"]), bounds_of(ranked), ["genome"])
+
+
+def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(interval_id, sample, n_meth, n_unmeth[, n_covered]) of intervals with site ranks.
+
+    samples: (genome, sample), one row each. prefix: what ``prefix_sums`` has stored, of which only the blocks
+    with bounds of the samples are read; ``ranked`` is then stored as a prepared query, as it is read
+    twice. Without prefix, it is made of ``methylomes``. keys: the columns of an interval, interval_id if not given.
+    """
     keys = keys or ["interval_id"]
     if prefix is None:
         ends = chroms if chroms is not None else methylomes.groupBy("genome").agg((F.max("site_idx") + 1).alias("n_sites")).unionByName(ranked.groupBy("genome").agg(F.max("hi").alias("n_sites"))).groupBy("genome").agg(F.max("n_sites").alias("n_sites"))
-        prefix = prefix_sums(methylomes, ends)
-    wanted = small(samples)
-    marks = prefix.join(small(samples.select("genome", "sample").distinct()), ["genome", "sample"], "left_semi").select("genome", "sample", "block", "at", "rank", *names)
-    bound = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("hi").alias("at"))))
-    extra = [c for c in (on or []) if c not in ("genome", *keys)]
-    ends = ranked.select("genome", *keys, *extra, bound.alias("end")).join(wanted, on or ["genome"])
-    events = ends.select("genome", "sample", *keys, "end.sign", "end.at").withColumn("block", F.expr(f"at div {BLOCK}"))
-    found = last_before(events, marks, ["genome", "sample"], "at", names)
-    return found.groupBy(*keys, "sample").agg(*[F.coalesce(F.sum(F.col("sign") * F.col(n)), F.lit(0)).alias(n) for n in names])
+        prefix = prefix_sums(methylomes, ends).join(small(samples.select("genome", "sample").distinct()), ["genome", "sample"], "left_semi")
+    else:
+        ranked = stored(ranked, "ranked")
+        prefix = touched_sums(prefix, ranked, samples)
+    pairs = ranked.select("genome", *keys, "lo", "hi").join(small(samples.select("genome", "sample")), "genome")
+    return pair_levels(pairs, prefix, covered).select(*keys, "sample", *_sums(covered))
 
 
 def _placed(methylomes: DataFrame, sites: DataFrame) -> DataFrame:
     return methylomes.join(sites.select("genome", "site_idx", "chrom", "pos"), ["genome", "site_idx"])
 
 
-def bin_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, size: int, covered: bool = False, keep_empty: bool = True) -> DataFrame:
-    """(genome, sample, chrom, start, stop, sums) of bins; empty bins too unless they are not wanted."""
-    sums = _sums(covered)
-    summed = _placed(methylomes, sites).groupBy("genome", "sample", "chrom", F.expr(f"pos div {size} * {size}").alias("start")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+def _rows(sites: DataFrame, methylomes: DataFrame, samples: DataFrame, unit: int, covered: bool, pyramid: Pyramid | None) -> tuple[DataFrame, dict]:
+    """(rows with chrom and pos of the samples, sums of their counts) for ranges that are multiples of ``unit``: of a stored level if one divides it, else of the sites."""
+    level = pyramid.unit(unit) if pyramid else None
+    if level is None:
+        return _placed(named(methylomes, samples, ["genome", "sample"]), sites), _sums(covered)
+    return pyramid.rows(level, samples), {n: F.col(n) for n in _sums(covered)}
+
+
+def bin_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, size: int, covered: bool = False, keep_empty: bool = True, pyramid: Pyramid | None = None) -> DataFrame:
+    """(genome, sample, chrom, start, stop, sums) of bins; empty bins too unless they are not wanted.
+
+    pyramid: stored sums of bins, of which the coarsest level that divides the size is read.
+    """
+    rows, sums = _rows(sites, methylomes, samples, size, covered, pyramid)
+    summed = rows.groupBy("genome", "sample", "chrom", F.expr(f"pos div {size} * {size}").alias("start")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     if not keep_empty:
         sizes = small(chroms.select("genome", "chrom", "chrom_size"))
         return summed.join(sizes, ["genome", "chrom"]).select("genome", "sample", "chrom", "start", F.least(F.col("start") + size, F.col("chrom_size")).alias("stop"), *sums)
@@ -124,24 +156,23 @@ def _window_frames(chroms: DataFrame, rows: DataFrame, keys: list[str], sums: di
     return sent, starts, reach
 
 
-def window_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, size: int, step: int | None = None, covered: bool = False, marks: DataFrame | None = None, prefix: DataFrame | None = None) -> DataFrame:
+def window_levels(chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, size: int, step: int | None = None, covered: bool = False, marks: DataFrame | None = None, prefix: DataFrame | None = None, pyramid: Pyramid | None = None) -> DataFrame:
     """(genome, sample, chrom, start, stop, sums) of sliding windows, empty ones too.
 
     Sites are summed to bins of gcd(size, step). Short windows sum a range frame over bins and
     window starts; long ones are intervals answered by prefix sums. Steps beyond the size leave
-    sites between windows out.
+    sites between windows out. pyramid: as for ``bin_levels``, for bins of gcd(size, step).
     """
     step = size // 2 if step is None else step
     if size < 1 or step < 1:
         raise ValueError("size and step must be 1 or more")
-    sums = _sums(covered)
     unit = math.gcd(size, step)
-    starts = g.windows(chroms, size, step)
     if size // unit > FRAME:
-        ranked = site_ranks(starts, sites, chroms, marks)
+        ranked = site_ranks(g.windows(chroms, size, step), sites, chroms, marks)
         got = interval_levels(ranked, methylomes, samples, covered, chroms, prefix, keys=["genome", "chrom", "start", "stop"])
-        return got.select("genome", "sample", "chrom", "start", "stop", *sums)
-    sent, opens, reach = _window_frames(chroms, _placed(methylomes, sites), ["genome", "sample"], sums, size, step)
+        return got.select("genome", "sample", "chrom", "start", "stop", *_sums(covered))
+    rows, sums = _rows(sites, methylomes, samples, unit, covered, pyramid)
+    sent, opens, reach = _window_frames(chroms, rows, ["genome", "sample"], sums, size, step)
     axis = opens.join(small(samples), "genome")
     return _framed(sent, axis, ["genome", "sample"], list(sums), reach)
 
@@ -167,26 +198,26 @@ def bin_cpgs(chroms: DataFrame, sites: DataFrame, size: int) -> DataFrame:
     return g.bins(chroms, size).join(counted, ["genome", "chrom", "start"], "left").fillna(0, ["n_cpgs"]).select("genome", "chrom", "start", "stop", "n_cpgs")
 
 
-def window_cpgs(chroms: DataFrame, sites: DataFrame, size: int, step: int | None = None) -> DataFrame:
-    """(genome, chrom, start, stop, n_cpgs) of sliding windows."""
+def window_cpgs(chroms: DataFrame, sites: DataFrame, size: int, step: int | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """(genome, chrom, start, stop, n_cpgs) of sliding windows; long ones by site ranks, for which ``marks`` may be stored."""
     step = size // 2 if step is None else step
     if size // math.gcd(size, step) > FRAME:
-        return site_ranks(g.windows(chroms, size, step), sites, chroms).select("genome", "chrom", "start", "stop", (F.col("hi") - F.col("lo")).alias("n_cpgs"))
+        return site_ranks(g.windows(chroms, size, step), sites, chroms, marks).select("genome", "chrom", "start", "stop", (F.col("hi") - F.col("lo")).alias("n_cpgs"))
     sent, opens, reach = _window_frames(chroms, sites, ["genome"], {"n_cpgs": F.lit(1).cast("long")}, size, step)
     return _framed(sent, opens, ["genome"], ["n_cpgs"], reach)
 
 
-def levels(kind: str, *, chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, intervals: DataFrame | None = None, ranked: DataFrame | None = None, size: int | None = None, step: int | None = None, covered: bool = False, marks: DataFrame | None = None, prefix: DataFrame | None = None) -> DataFrame:
+def levels(kind: str, *, chroms: DataFrame, sites: DataFrame, methylomes: DataFrame, samples: DataFrame, intervals: DataFrame | None = None, ranked: DataFrame | None = None, size: int | None = None, step: int | None = None, covered: bool = False, marks: DataFrame | None = None, prefix: DataFrame | None = None, pyramid: Pyramid | None = None) -> DataFrame:
     """One entry for the kinds of ranges: ``query`` (ranks), ``intervals``, ``bins`` and ``windows``.
 
-    marks and prefix: the stored tables of ``site_marks`` and ``prefix_sums``, if there are any.
+    marks, prefix, pyramid: the stored tables of ``site_marks``, ``prefix_sums`` and ``write_pyramid``, if there are any.
     """
     if kind == "query":
         return interval_levels(ranked, methylomes, samples, covered, chroms, prefix)
     if kind == "intervals":
         return interval_levels(site_ranks(intervals, sites, chroms, marks), methylomes, samples, covered, chroms, prefix)
     if kind == "bins":
-        return bin_levels(chroms, sites, methylomes, samples, size, covered)
+        return bin_levels(chroms, sites, methylomes, samples, size, covered, pyramid=pyramid)
     if kind == "windows":
-        return window_levels(chroms, sites, methylomes, samples, size, step, covered, marks, prefix)
+        return window_levels(chroms, sites, methylomes, samples, size, step, covered, marks, prefix, pyramid)
     raise ValueError(f"unknown kind of ranges: {kind}")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from methgrid.sources.scratch import stored
+
 
 def block_offsets(rows: DataFrame, group: list[str], block: str, sums: dict) -> DataFrame:
     """(group, block, <name>_before): what the blocks before hold; blocks without rows need none."""
@@ -35,6 +37,91 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name`` from 1 in ``order`` in each group, without a task that holds a whole group.
+
+    Rows are dealt out by ranges of (group, order), whose cuts Spark samples, so a hot group gets many ranges;
+    they are numbered inside ranges and shifted by the counts of the group's ranges before. The ranges are stored,
+    so that they stay the same when a task is run again.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n")).select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    return dealt.withColumn(name, place).join(small(shift), [*group, "_range"]).withColumn(name, F.col(name) + F.col("_shift")).drop("_range", "_shift")
+
+
+#: Blocks that a question may touch and still be read block by block, and ranges of blocks in one filter.
+TOUCHED, RANGES = 65_536, 128
+
+
+def block_ranges(blocks: list[tuple], most: int = RANGES) -> list[tuple]:
+    """(key, first, last) of runs of neighbouring blocks among (key, block); the smallest gaps are closed until ``most`` are left.
+
+    Blocks of different keys stay apart, so there may be more ranges than ``most`` if there are more keys.
+    """
+    runs: list[list] = []
+    for key, block in sorted(blocks):
+        if runs and runs[-1][0] == key and block <= runs[-1][2] + 1:
+            runs[-1][2] = block
+        else:
+            runs.append([key, block, block])
+    gaps = sorted(b[1] - a[2] for a, b in zip(runs, runs[1:]) if a[0] == b[0])
+    spare = len(runs) - most
+    widest = gaps[min(spare, len(gaps)) - 1] if spare > 0 and gaps else 0
+    joined: list[list] = []
+    for run in runs:
+        if joined and joined[-1][0] == run[0] and run[1] - joined[-1][2] <= widest:
+            joined[-1][2] = run[2]
+        else:
+            joined.append(run)
+    return [tuple(r) for r in joined]
+
+
+def only_blocks(stored: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``stored`` in the (keys, block) that occur in ``bounds``; a table sorted by them is read in these places only.
+
+    The blocks are counted first. Up to TOUCHED of them become ranges of literals, which the scan compares with the
+    statistics of pages and row groups, and a broadcast semi-join leaves exactly those blocks; the stored table isn't
+    shuffled. A question that touches more needs most of the table and gets it whole.
+    """
+    found = [(tuple(r[:-1]), r[-1]) for r in bounds.select(*keys, "block").distinct().limit(TOUCHED + 1).collect()]
+    if len(found) > TOUCHED:
+        return stored
+    if not found:
+        return stored.where(F.lit(False))
+    ranges = block_ranges(found)
+    if len(ranges) <= 2 * RANGES:
+        wanted = F.lit(False)
+        for key, first, last in ranges:
+            place = F.col("block").between(first, last)
+            for name, value in zip(keys, key, strict=True):
+                place = place & (F.col(name) == value)
+            wanted = wanted | place
+        stored = stored.where(wanted)
+    exact = stored.sparkSession.createDataFrame([(*key, block) for key, block in found], stored.select(*keys, "block").schema)
+    return stored.join(F.broadcast(exact), [*keys, "block"], "left_semi")  # at most TOUCHED rows
+
+
+def named(df: DataFrame, rows: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
+    """``df`` where its ``columns`` occur in ``rows``: by literals, which prune partitions, if these are ``most`` or fewer."""
+    keys = rows.select(*columns).distinct()
+    found = keys.limit(most + 1).collect()
+    if len(found) > most:
+        return df.join(keys, columns, "left_semi")
+    by_last: dict[tuple, list] = {}
+    for r in found:
+        by_last.setdefault(tuple(r[:-1]), []).append(r[-1])
+    wanted = F.lit(False)
+    for first, values in by_last.items():
+        place = F.col(columns[-1]).isin(values)
+        for name, value in zip(columns, first, strict=False):
+            place = place & (F.col(name) == value)
+        wanted = wanted | place
+    return df.where(wanted)
+
+
 def last_before(events: DataFrame, marks: DataFrame, group: list[str], place: str, values: list[str]) -> DataFrame:
     """``events`` with the ``values`` of the last of ``marks`` before each, one exchange for all.
 

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methgrid.operators import genome as g
 from methgrid.operators.intervals import site_marks
 from methgrid.operators.levels import prefix_sums
+from methgrid.operators.pyramid import Pyramid, read_pyramid, write_pyramid
+from methgrid.sources import output, scratch
 
 GENOME = "g1"
+#: Bin sizes of the stored levels.
+UNITS = [10, 50, 500, 5000]
 #: A request for all samples, by name.
 SAMPLES = ["A_F", "A_O", "N_F", "N_O", "R_F", "R_O"]
 
@@ -30,25 +33,31 @@ class Tables:
     intervals: DataFrame
     marks: DataFrame
     prefix: DataFrame
+    pyramid: Pyramid
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables made in this process, by application and folder.
-_MADE: dict[tuple[str, str], Tables] = {}
+#: Tables made in this process, by application and files; those of one folder are held at a time.
+_MADE: dict[tuple, Tables] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Files of a table with their sizes and times of change, as Spark's file system lists them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path)))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The derived tables; those that ingest would have stored are persisted. The tables of one folder are held at a time."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The derived tables, stored in the shared folder as ingest would; made again when the files they come from have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir, "lineitem"), _files(spark, sf_dir, "orders"))
     if key not in _MADE:
-        for old in _MADE.values():
-            for table in (old.sites, old.chroms, old.methylomes, old.marks, old.prefix):
-                table.unpersist()
+        made = _derive(spark, sf_dir)
         _MADE.clear()
-        _MADE[key] = _derive(spark, sf_dir)
+        _MADE[key] = made
     return _MADE[key]
 
 
@@ -62,21 +71,24 @@ def _derive(spark: SparkSession, sf_dir: str) -> Tables:
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("long")).otherwise(0).alias("m"),
         F.when(F.col("l_linenumber") % 2 != 0, F.col("l_quantity").cast("long")).otherwise(0).alias("u"),
     )
-    counts = placed.groupBy("genome", "chrom", "pos", "sample").agg(F.sum("m").alias("n_meth"), F.sum("u").alias("n_unmeth"))
+    folder = scratch.new_folder(spark, "derived")
     positions = placed.select("genome", "chrom", "pos").distinct()
     sizes = positions.groupBy("genome", "chrom").agg((F.max("pos") + 2).alias("chrom_size"))
-    sites, chroms = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in g.build(positions, sizes))
+    output.write_index(*g.build(positions, sizes), folder)
+    sites, chroms = output.read_index(spark, folder)
+    counts = placed.groupBy("genome", "chrom", "pos", "sample").agg(F.sum("m").alias("n_meth"), F.sum("u").alias("n_unmeth"))
     aligned = counts.join(sites.select("genome", "chrom", "pos", "site_idx"), ["genome", "chrom", "pos"])
-    methylomes = aligned.select("genome", "sample", "site_idx", "n_meth", "n_unmeth").persist(StorageLevel.MEMORY_AND_DISK)
-    samples = methylomes.select("genome", "sample").distinct()
+    output.write_methylomes(aligned.select("genome", "sample", "site_idx", "n_meth", "n_unmeth"), placed.select("genome", "sample").distinct(), folder)
+    methylomes, samples = output.read_methylomes(spark, folder)
+    output.write_marks(site_marks(sites, chroms), f"{folder}/marks")
+    output.write_prefix(prefix_sums(methylomes, chroms), f"{folder}/prefix")
+    write_pyramid(methylomes, sites, f"{folder}/pyramid", UNITS)
     order = read(spark, sf_dir, "orders")
     raw = order.select(F.col("o_orderkey").alias("interval_id"), F.lit(GENOME).alias("genome"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chrom"), (F.col("o_orderkey") * 13).alias("a"), (100 + F.col("o_custkey") % 400).alias("width"))
     clipped = raw.join(F.broadcast(chroms.select("chrom", "chrom_size")), "chrom")  # five chromosomes
     start = F.col("a") % F.col("chrom_size")
     intervals = clipped.select("interval_id", "genome", "chrom", start.alias("start"), F.least(start + F.col("width"), F.col("chrom_size")).alias("stop"))
-    marks = site_marks(sites, chroms).persist(StorageLevel.MEMORY_AND_DISK)
-    prefix = prefix_sums(methylomes, chroms).persist(StorageLevel.MEMORY_AND_DISK)
-    return Tables(sites, chroms, methylomes, samples, intervals, marks, prefix)
+    return Tables(sites, chroms, methylomes, samples, intervals, output.read_marks(spark, f"{folder}/marks"), output.read_prefix(spark, f"{folder}/prefix"), read_pyramid(spark, f"{folder}/pyramid", UNITS))
 
 
 #: The same tables in SQL: sites, chroms, meth (with chrom and pos), samples, ivs.

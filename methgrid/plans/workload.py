@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methgrid.functions import columns as fn
@@ -13,6 +13,7 @@ from methgrid.plans.derived import SAMPLES, SQL, Tables, read, tables, window_sq
 from methgrid.sources import counts, output, scratch
 from methgrid.sources import tables as src
 from methgrid.sources import fasta
+from methgrid.sources.lines import previous
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,12 +65,12 @@ def interval_cpgs(t: Tables):
 
 @query(SQL + _range_sql("bins500", "i.chrom, i.start, i.stop"))
 def bin_levels(t: Tables):
-    return levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500).drop("genome")
+    return levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500, pyramid=t.pyramid).drop("genome")
 
 
 @query(SQL + _range_sql("bins500", "i.chrom, i.start, i.stop", COVERED))
 def bin_levels_covered(t: Tables):
-    return levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500, covered=True).drop("genome")
+    return levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500, covered=True, pyramid=t.pyramid).drop("genome")
 
 
 @query(SQL + "SELECT i.chrom, i.start, i.stop, CAST(count(s.pos) AS BIGINT) AS n_cpgs FROM bins500 i LEFT JOIN sites s ON s.chrom = i.chrom AND s.pos >= i.start AND s.pos < i.stop GROUP BY ALL")
@@ -79,7 +80,7 @@ def bin_cpgs(t: Tables):
 
 def _windows(name: str, size: int, step: int, covered: bool = False) -> None:
     def f(t: Tables):
-        return levels.window_levels(t.chroms, t.sites, t.methylomes, t.samples, size, step, covered, t.marks, t.prefix).drop("genome")
+        return levels.window_levels(t.chroms, t.sites, t.methylomes, t.samples, size, step, covered, t.marks, t.prefix, t.pyramid).drop("genome")
 
     f.__name__ = name
     query(SQL.rstrip() + ", " + window_sql(size, step) + _range_sql("wins", "i.chrom, i.start, i.stop", COVERED if covered else ""))(f)
@@ -179,13 +180,46 @@ def methylome_metadata(t: Tables):
 
 @query(SQL + f""", m AS (SELECT sample, n_meth + CASE WHEN sample = 'N_F' AND site_idx % 2 = 0 THEN 1 ELSE 0 END AS n_meth, n_unmeth FROM meth)
 SELECT 'methylome' AS kind, sample AS name, sample <> 'N_F' AS hash_ok, true AS index_found, sample <> 'A_F' AS index_ok, {SUM}{COVERED}, sample NOT IN ('A_F', 'N_F') AS ok FROM m GROUP BY sample
-UNION ALL SELECT 'genome', 'g1', true, true, true, NULL, NULL, NULL, true""")
+UNION ALL SELECT 'genome', 'g1', true, true, true, NULL, NULL, NULL, true UNION ALL SELECT 'genome', 'g2', false, true, true, NULL, NULL, NULL, false""")
 def consistency_report(t: Tables):
-    """Metadata of one sample names another index; the counts of one changed since its metadata were made."""
-    genomes = metadata.genome_metadata(t.sites, t.chroms)
-    meta = metadata.methylome_metadata(t.methylomes, genomes).withColumn("index_hash", F.when(F.col("sample") == "A_F", 0).otherwise(F.col("index_hash")))
+    """Metadata of one sample names another index; the counts of one, and the sites of a second genome, changed since their metadata were stored."""
+    both = [x.unionByName(x.withColumn("genome", F.lit("g2"))) for x in (t.sites, t.chroms)]
+    genomes = scratch.stored(metadata.genome_metadata(*both), "genomes")
+    meta = metadata.methylome_metadata(t.methylomes, genomes.where("genome = 'g1'")).withColumn("index_hash", F.when(F.col("sample") == "A_F", 0).otherwise(F.col("index_hash")))
     changed = t.methylomes.withColumn("n_meth", F.col("n_meth") + F.when((F.col("sample") == "N_F") & (F.col("site_idx") % 2 == 0), 1).otherwise(0))
-    return check.check_all(t.sites, t.chroms, genomes, changed, meta).drop("genome")
+    moved = both[0].withColumn("pos", F.col("pos") + F.when((F.col("genome") == "g2") & (F.col("site_idx") == 11), 1).otherwise(0))
+    return check.check_all(moved, both[1], genomes, changed, meta).drop("genome")
+
+
+_CHANGED = _BYTES.replace("FROM meth, n", "FROM (SELECT sample, site_idx, n_meth + CASE WHEN sample = 'N_F' AND site_idx % 512 < 200 THEN 3 ELSE 0 END AS n_meth, n_unmeth FROM meth), n")
+
+
+def _changed(t: Tables) -> DataFrame:
+    """Counts of one sample raised in every other block of 256 sites."""
+    return t.methylomes.withColumn("n_meth", F.col("n_meth") + F.when((F.col("sample") == "N_F") & (F.col("site_idx") % 512 < 200), 3).otherwise(0))
+
+
+@query(SQL + "SELECT DISTINCT sample, site_idx // 256 AS block FROM meth WHERE sample = 'N_F' AND site_idx % 512 < 200")
+def blocks_changed(t: Tables):
+    before = scratch.stored(check.methylome_sums(t.methylomes, 256), "sums")
+    return check.changed_blocks(before, check.methylome_sums(_changed(t), 256), ["genome", "sample"]).select("sample", "block")
+
+
+@query(SQL + _CHANGED + "SELECT sample, CAST((sum(d * ((len - i) % 65521)) % 65521) * 65536 + sum(d) % 65521 AS BIGINT) AS methylome_hash, CAST((SELECT n FROM n) AS BIGINT) AS n_cpgs FROM b GROUP BY sample")
+def metadata_updated(t: Tables):
+    """New metadata after a change, from stored sums of blocks and the changed blocks alone."""
+    before, changed = scratch.stored(check.methylome_sums(t.methylomes, 256), "sums"), _changed(t)
+    touched = changed.where("sample = 'N_F' and site_idx % 512 < 200").select("genome", "sample", F.expr("site_idx div 256").alias("block")).distinct()
+    sums = check.updated_sums(before, changed, touched, 256)
+    return metadata.updated_metadata(sums, metadata.genome_metadata(t.sites, t.chroms)).select("sample", "methylome_hash", "n_cpgs")
+
+
+@query(SQL.rstrip().replace("WITH placed", "WITH RECURSIVE placed", 1) + """, b AS (SELECT s.chrom, n_sites * 4 AS len, unnest([pos & 255, (pos >> 8) & 255, (pos >> 16) & 255, (pos >> 24) & 255]) AS d, (site_idx - chrom_offset) * 4 + unnest([0, 1, 2, 3]) AS i FROM sites s JOIN chroms c ON s.chrom = c.chrom),
+h AS (SELECT chrom_ord, any_value(len) % 65521 AS rem, CAST(sum(d) % 65521 AS BIGINT) AS a, CAST(sum(d * ((len - i) % 65521)) % 65521 AS BIGINT) AS b FROM b JOIN chroms USING (chrom) GROUP BY chrom_ord),
+fold AS (SELECT 0 AS k, CAST(1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b UNION ALL SELECT k + 1, (fold.a + h.a + 65520) % 65521, (rem * fold.a + fold.b + h.b + 65521 - rem) % 65521 FROM fold JOIN h ON h.chrom_ord = k)
+SELECT b * 65536 + a AS index_hash, (SELECT CAST(count(*) AS BIGINT) FROM sites) AS n_cpgs FROM fold ORDER BY k DESC LIMIT 1""")
+def genome_hash(t: Tables):
+    return metadata.genome_metadata(t.sites, t.chroms).select("index_hash", "n_cpgs")
 
 
 @query(SQL + ", e AS (" + _range_sql("bins500", "i.chrom, i.start, i.stop") + ") SELECT chrom, start, chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) || chr(9) || string_agg(CAST(n_meth AS VARCHAR) || chr(9) || CAST(n_unmeth AS VARCHAR), chr(9) ORDER BY sample) AS line FROM e GROUP BY chrom, start, stop")
@@ -315,7 +349,7 @@ def request_shapes(spark: SparkSession, sf_dir: str):
 SELECT request_id, col_ord, x.sample, i.chrom, i.start, i.stop, {SUM} FROM b i JOIN rc x USING (request_id) LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
 def request_bins(spark: SparkSession, sf_dir: str):
     t = tables(spark, sf_dir)
-    return requests.answer_bins(_answerable(spark, sf_dir, "supplier", "s_suppkey"), t.chroms, t.sites, t.methylomes)
+    return requests.answer_bins(_answerable(spark, sf_dir, "supplier", "s_suppkey"), t.chroms, t.sites, t.methylomes, t.marks, t.prefix, t.pyramid)
 
 
 @query(SQL + _req("supplier", "s_suppkey") + f""", w AS (SELECT request_id, size, chrom, k0 * 100 AS start, least(k0 * 100 + size, chrom_size) AS stop FROM r, (SELECT chrom, chrom_size, unnest(range(CAST(ceil(chrom_size / 100.0) AS BIGINT))) AS k0 FROM chroms) WHERE k = 2)
@@ -325,13 +359,34 @@ def request_windows(spark: SparkSession, sf_dir: str):
     return requests.answer_windows(_answerable(spark, sf_dir, "supplier", "s_suppkey"), t.chroms, t.sites, t.methylomes, t.marks, t.prefix)
 
 
-@query(SQL + _req("supplier", "s_suppkey") + f""" SELECT request_id, col_ord, x.sample, i.interval_id, {SUM}{COVERED} FROM ivs i JOIN rc x ON x.request_id = i.interval_id % 97 AND x.k = 0 LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
+@query(SQL + _req("supplier", "s_suppkey") + f""" SELECT request_id, col_ord, x.sample, i.interval_id, {SUM}{COVERED} FROM ivs i JOIN rc x ON x.request_id = 1 + i.interval_id % (SELECT max(s_suppkey) FROM supplier) AND x.k = 0 LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
 def request_intervals(spark: SparkSession, sf_dir: str):
     t = tables(spark, sf_dir)
-    own = t.intervals.drop("genome").withColumn("request_id", F.col("interval_id") % 97)
+    last = read(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
+    own = t.intervals.drop("genome").withColumn("request_id", 1 + F.col("interval_id") % last)
     return requests.answer_intervals(_answerable(spark, sf_dir, "supplier", "s_suppkey"), own, t.chroms, t.sites, t.methylomes, t.marks, t.prefix, covered=True)
 
 
+@query(SQL + f""", own AS (SELECT c_custkey AS request_id, i.* FROM customer, (SELECT * FROM ivs ORDER BY interval_id LIMIT 3) i WHERE c_custkey % 4 <> 3)
+SELECT request_id, CAST(x.col_ord AS INTEGER) AS col_ord, x.sample, interval_id, {SUM}{COVERED} FROM own o CROSS JOIN (VALUES ('A_F', 0), ('R_O', 1)) x(sample, col_ord)
+LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = o.chrom AND t.pos >= o.start AND t.pos < o.stop GROUP BY ALL""")
+def request_repeated(spark: SparkSession, sf_dir: str):
+    """Three of four customers ask for the same three intervals of the same two samples."""
+    t = tables(spark, sf_dir)
+    asked = read(spark, sf_dir, "customer").where("c_custkey % 4 != 3").select(F.col("c_custkey").alias("request_id"), F.lit("intervals").alias("kind"), F.lit(3).cast("long").alias("aux"), F.lit(None).cast("long").alias("step"), F.lit("g1").alias("genome"), F.array(F.lit("A_F"), F.lit("R_O")).alias("samples"))
+    same = t.intervals.orderBy("interval_id").limit(3).drop("genome")
+    return requests.answer_intervals(asked, asked.select("request_id").crossJoin(F.broadcast(same)), t.chroms, t.sites, t.methylomes, t.marks, t.prefix, covered=True)
+
+
+@query(SQL + f""", b AS (SELECT chrom, k0 * 333 AS start, least(k0 * 333 + 333, chrom_size) AS stop FROM (SELECT chrom, chrom_size, unnest(range(CAST(ceil(chrom_size / 333.0) AS BIGINT))) AS k0 FROM chroms))
+SELECT c_custkey AS request_id, CAST(0 AS INTEGER) AS col_ord, x.sample, i.chrom, i.start, i.stop, {SUM} FROM (SELECT min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey) CROSS JOIN b i CROSS JOIN (VALUES ('N_F')) x(sample) LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop GROUP BY ALL""")
+def request_odd_bins(spark: SparkSession, sf_dir: str):
+    """A customer of each nation asks for bins of 333, which no stored level divides."""
+    t = tables(spark, sf_dir)
+    asked = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("request_id")).select("request_id", F.lit("bins").alias("kind"), F.lit(333).cast("long").alias("aux"), F.lit(None).cast("long").alias("step"), F.lit("g1").alias("genome"), F.array(F.lit("N_F")).alias("samples"))
+    return requests.answer_bins(asked, t.chroms, t.sites, t.methylomes, t.marks, t.prefix, t.pyramid)
+
+
 @query("SELECT c_custkey AS interval_id, CAST(j AS INTEGER) AS col_ord, c_custkey + 2 * j AS n_meth, c_custkey + 2 * j + 1 AS n_unmeth FROM customer, range(3) r(j)")
 def matrix_text_parsed(spark: SparkSession, sf_dir: str):
     keys = read(spark, sf_dir, "customer").select("c_custkey")
@@ -343,8 +398,9 @@ def matrix_text_parsed(spark: SparkSession, sf_dir: str):
 @query(SQL + "SELECT sample, chrom, pos, CAST(n_meth AS INTEGER) AS n_meth, CAST(n_unmeth AS INTEGER) AS n_unmeth FROM meth")
 def xcounts_text_decoded(t: Tables):
     placed = t.methylomes.join(t.sites.select("site_idx", "chrom", "chrom_ord", "pos"), "site_idx")
-    step = F.col("pos") - F.coalesce(F.lag("pos").over(Window.partitionBy("sample", "chrom").orderBy("pos")), F.lit(0))
-    records = placed.select("sample", "chrom_ord", F.col("pos"), F.concat_ws(" ", step.cast("string"), F.col("n_meth").cast("string"), F.col("n_unmeth").cast("string")).alias("value"))
+    cut = placed.select(F.concat_ws(" ", "sample", "chrom").alias("file"), F.expr("pos div 4096").alias("block"), F.col("pos").alias("id"), "sample", "chrom_ord", "pos", "n_meth", "n_unmeth")
+    step = F.col("pos") - F.coalesce("_last", F.lit(0))
+    records = previous(cut, F.col("pos"), "_last").select("sample", "chrom_ord", F.col("pos"), F.concat_ws(" ", step.cast("string"), F.col("n_meth").cast("string"), F.col("n_unmeth").cast("string")).alias("value"))
     titles = t.samples.crossJoin(t.chroms.select("chrom_ord", "chrom")).select("sample", "chrom_ord", F.lit(-1).cast("long").alias("pos"), F.col("chrom").alias("value"))
     text = titles.unionByName(records).select(F.col("sample").alias("file"), (F.col("chrom_ord") * 1000000 + F.expr("greatest(pos, 0) div 4096")).cast("long").alias("block"), (F.col("pos") + 1).alias("id"), "value")
     return counts.parse_xcounts(text).where("error is null").select(F.col("file").alias("sample"), "chrom", "pos", "n_meth", "n_unmeth")
@@ -435,12 +491,53 @@ def interval_scores_table(t: Tables):
     return output.to_wide(_coarse(t), ["chrom", "start", "stop"], _ASKED, kind="scores", min_reads=900, names=["x", "y", "z"]).drop("chrom", "start", "stop")
 
 
-@query(SQL.rstrip() + _COARSE + f" SELECT x.col_ord, x.sample, i.interval_id, {SUM} FROM co i CROSS JOIN rq x LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop WHERE x.col_ord = 2 AND i.interval_id = (SELECT min(interval_id) FROM co) GROUP BY ALL")
+_ELEMENT = SQL.rstrip() + _COARSE + f" SELECT x.col_ord, x.sample, i.interval_id, {SUM}{COVERED} FROM co i CROSS JOIN rq x LEFT JOIN meth t ON t.sample = x.sample AND t.chrom = i.chrom AND t.pos >= i.start AND t.pos < i.stop WHERE x.col_ord = 2 AND i.interval_id = (SELECT min(interval_id) FROM co) GROUP BY ALL"
+
+
+def _stored_result(t: Tables) -> tuple[DataFrame, int]:
+    """A stored result of coarse intervals, and its first interval."""
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "result")
+    asked = spark.createDataFrame([(s, i) for i, s in enumerate(_ASKED)], "sample string, col_ord int")
+    output.write_result(_coarse(t, covered=True).select("interval_id", "sample", "n_meth", "n_unmeth", "n_covered").join(F.broadcast(asked), "sample"), path)
+    return spark.read.parquet(path), t.intervals.agg(F.min("interval_id")).first()[0]
+
+
+@query(_ELEMENT)
 def result_element(t: Tables):
-    first = t.intervals.agg(F.min("interval_id")).first()[0]
-    got = _coarse(t).select("interval_id", "sample", "n_meth", "n_unmeth")
-    asked = t.samples.sparkSession.createDataFrame([(s, i) for i, s in enumerate(_ASKED)], "sample string, col_ord int")
-    return requests.at(got.join(F.broadcast(asked), "sample"), first, 2)
+    result, first = _stored_result(t)
+    return t.sites.sparkSession.createDataFrame([requests.at(result, first, 2)], result.schema)
+
+
+@query(f"SELECT n_meth, n_unmeth, n_covered, n_meth / greatest(1, n_meth + n_unmeth) AS wmean FROM ({_ELEMENT})")
+def result_element_values(t: Tables):
+    result, first = _stored_result(t)
+    values = [f(result, first, 2) for f in (requests.n_meth, requests.n_unmeth, requests.n_covered, requests.element_wmean)]
+    return t.sites.sparkSession.createDataFrame([tuple(values)], "n_meth long, n_unmeth long, n_covered long, wmean double")
+
+
+@query(_wide_sql(_NAME + " AS name, " + ", ".join(f'{_picked("CASE WHEN n_meth + n_unmeth >= 5 THEN n_meth / greatest(1, n_meth + n_unmeth) END", i)} AS {n}' for i, n in enumerate("xyz"))))
+def matrix_wmeans(t: Tables):
+    wide = output.to_wide(_coarse(t, covered=True), ["chrom", "start", "stop"], _ASKED, covered=True, names=["x", "y", "z"]).drop("chrom", "start", "stop")
+    return fn.matrix_wmeans(wide, ["interval_id", "name"], has_covered=True, min_reads=5)
+
+
+@query(SQL + "SELECT a.interval_id, CASE WHEN (ca.chrom_ord, a.start, a.stop) < (cb.chrom_ord, b.start, b.stop) THEN -1 WHEN (ca.chrom_ord, a.start, a.stop) > (cb.chrom_ord, b.start, b.stop) THEN 1 ELSE 0 END AS compared FROM ivs a JOIN ivs b ON b.interval_id = a.interval_id + 1 JOIN chroms ca ON ca.chrom = a.chrom JOIN chroms cb ON cb.chrom = b.chrom")
+def intervals_compared(t: Tables):
+    """Each interval against the one with the next id."""
+    placed = t.intervals.join(F.broadcast(t.chroms.select("chrom", "chrom_ord")), "chrom").select("interval_id", F.struct("chrom_ord", "start", "stop").alias("x"))  # five chromosomes
+    pairs = placed.join(placed.select((F.col("interval_id") - 1).alias("interval_id"), F.col("x").alias("y")), "interval_id")
+    return pairs.select("interval_id", intervals.compared("x", "y").alias("compared"))
+
+
+@query(SQL + ", e AS (" + _range_sql("bins500", "i.chrom, i.start, i.stop") + ") SELECT 'chrom' || chr(9) || 'start' || chr(9) || 'stop' || chr(9) || '" + "' || chr(9) || '".join(f"{s}_M' || chr(9) || '{s}_U" for s in SAMPLES) + "' AS line UNION ALL SELECT chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) || chr(9) || string_agg(CAST(n_meth AS VARCHAR) || chr(9) || CAST(n_unmeth AS VARCHAR), chr(9) ORDER BY sample) FROM e GROUP BY chrom, start, stop")
+def text_with_header(t: Tables):
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "text")
+    got = levels.bin_levels(t.chroms, t.sites, t.methylomes, t.samples, 500, pyramid=t.pyramid)
+    head = "chrom\tstart\tstop\t" + output.header(SAMPLES)
+    output.write_lines(output.to_lines(got, ["chrom", "start", "stop"], SAMPLES), ["chrom", "start"], path, head)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query(SQL + "SELECT interval_id, chrom || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) AS line FROM ivs")
@@ -549,6 +646,30 @@ def index_written(t: Tables):
     return spark.read.parquet(f"{path}/sites").where("genome = 'g1'").select("chrom", "chrom_ord", "pos", "site_idx")
 
 
+@query(SQL + """, ranked AS (SELECT sample, site_idx, CAST(sum(n_meth) OVER w AS BIGINT) AS n_meth, CAST(sum(n_unmeth) OVER w AS BIGINT) AS n_unmeth, CAST(sum(CASE WHEN n_meth + n_unmeth > 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_covered FROM meth WINDOW w AS (PARTITION BY sample ORDER BY site_idx))
+SELECT * FROM ranked""")
+def prefix_written(t: Tables):
+    """The stored prefix sums of sites, without the seeds of blocks."""
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "prefix")
+    output.write_prefix(levels.prefix_sums(t.methylomes, t.chroms), path)
+    return output.read_prefix(spark, path).where("rank = 1").select("sample", F.col("at").alias("site_idx"), "n_meth", "n_unmeth", "n_covered")
+
+
+@query(SQL + "SELECT chrom, pos, site_idx + 1 AS before FROM sites")
+def marks_written(t: Tables):
+    """The stored marks of sites, without the seeds of blocks."""
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "marks")
+    output.write_marks(intervals.site_marks(t.sites, t.chroms), path)
+    return output.read_marks(spark, path).where("rank = 1").select("chrom", "pos", "before")
+
+
+@query(SQL + f"SELECT sample, 500 AS unit, chrom, pos // 500 AS bin, {SUM}{COVERED} FROM meth GROUP BY ALL UNION ALL SELECT sample, 10, chrom, pos // 10, {SUM}{COVERED} FROM meth GROUP BY ALL")
+def pyramid_levels(t: Tables):
+    return t.pyramid.levels.where("unit in (10, 500)").select("sample", "unit", "chrom", "bin", "n_meth", "n_unmeth", "n_covered")
+
+
 @query(SQL + "SELECT sample, site_idx, n_meth, n_unmeth FROM meth WHERE sample IN ('A_F', 'R_O')")
 def methylomes_written(t: Tables):
     spark = t.sites.sparkSession

@@ -9,11 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from methgrid.operators.scan import small
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    text = spark.read.text(paths)
-    value = F.regexp_replace("value", "\r$", "")
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), value.alias("value"))
+
+#: Files that Spark decompresses as it reads, whose size isn't that of their lines.
+COMPRESSED = r"(?i)\.(gz|bz2|zst|deflate|lz4|snappy)$"
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], drop_unterminated: bool = False) -> DataFrame:
+    """Lines of text files, without a carriage return at their ends.
+
+    drop_unterminated: leave a file's last line out if no line feed ends it, as readers do that take lines by
+    their ends. A file is one byte short of its lines, each counted with a line feed, if the last one has none;
+    its size comes from the listing. Of a compressed file that isn't known, and its last line stays.
+    """
+    value = F.regexp_replace("value", "\r$", "").alias("value")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    if not drop_unterminated:
+        return spark.read.text(paths).select(*place, value)
+    lines = spark.read.option("lineSep", "\n").text(paths).select(*place, "value", F.col("_metadata.file_size").alias("size"))
+    files = lines.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.max(F.struct("block", "id")).alias("last"))
+    open_ended = files.where((F.col("bytes") > F.col("size")) & ~F.col("file").rlike(COMPRESSED)).select("file", "last.block", "last.id")
+    return lines.join(small(open_ended), ["file", "block", "id"], "left_anti").select("file", "block", "id", value)
 
 
 def last_seen(lines: DataFrame, what: Column, name: str) -> DataFrame:

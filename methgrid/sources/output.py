@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methgrid.functions.columns import element, n_reads, row_name, wmean, wmean_or
@@ -23,6 +23,46 @@ def write_methylomes(methylomes: DataFrame, meta: DataFrame, path: str) -> None:
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(sites, chroms) that ``write_index`` wrote."""
+    sites = spark.read.schema("chrom string, chrom_ord int, pos long, site_idx long, genome string").parquet(f"{path}/sites")
+    return sites, spark.read.schema("chrom string, chrom_ord int, chrom_size long, chrom_offset long, n_sites long, genome string").parquet(f"{path}/chroms")
+
+
+def read_methylomes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(methylomes, meta) that ``write_methylomes`` wrote; counts are as wide as they were written."""
+    methylomes = spark.read.parquet(f"{path}/methylomes")
+    return methylomes.select(F.col("genome").cast("string").alias("genome"), F.col("sample").cast("string").alias("sample"), "site_idx", "n_meth", "n_unmeth"), spark.read.parquet(f"{path}/meta")
+
+
+#: Rows of a Parquet page of tables that are read block by block: pages carry the statistics that filters prune by.
+PAGE_ROWS = 1024
+
+
+def _by_block(df: DataFrame, order: list[str], folders: list[str], path: str) -> None:
+    df.sortWithinPartitions(*order).write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").partitionBy(*folders).parquet(path)
+
+
+def write_marks(marks: DataFrame, path: str) -> None:
+    """The marks of ``site_marks``: one folder for a genome, sorted by chromosome, block and place."""
+    _by_block(marks.repartitionByRange("genome", "chrom", "block"), ["genome", "chrom", "block", "pos", "rank"], ["genome"], path)
+
+
+def write_prefix(prefix: DataFrame, path: str) -> None:
+    """The sums of ``prefix_sums``: one folder for a genome and sample, files of whole blocks, sorted by block and place."""
+    _by_block(prefix.repartition("genome", "sample", F.expr("block div 4096")), ["genome", "sample", "block", "at", "rank"], ["genome", "sample"], path)
+
+
+def read_marks(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_marks`` wrote."""
+    return spark.read.schema("block long, pos long, rank int, before long, chrom string, genome string").parquet(path)
+
+
+def read_prefix(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_prefix`` wrote."""
+    return spark.read.schema("block long, at long, rank int, n_meth long, n_unmeth long, n_covered long, genome string, sample string").parquet(path)
+
+
 def _keys(levels: DataFrame, ranges: list[str], cpgs: bool) -> list[str]:
     """The columns of a range: its id, if it has one, tells equal ranges apart."""
     return [*(["interval_id"] if "interval_id" in levels.columns else []), *ranges, *(["n_cpgs"] if cpgs else [])]
@@ -88,10 +128,18 @@ def to_lines(levels: DataFrame, ranges: list[str], samples: list[str], kind: str
 
 
 def write_lines(lines: DataFrame, order: list[str], path: str, head: str | None = None) -> None:
-    """Lines as text files whose names are in the order of the ranges; the header, if any, in a file before them."""
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+    """Lines as text files whose names, and the lines in them, are in the order of the ranges; the header, if any, is the first line of the first file."""
+    rows = lines.select(*order, "line").withColumn("_body", F.lit(1))
     if head is not None:
-        lines.sparkSession.createDataFrame([(head,)], "line string").coalesce(1).write.mode("overwrite").text(f"{path}.header")
+        first = lines.sparkSession.createDataFrame([(head,)], "line string")
+        rows = rows.unionByName(first.withColumn("_body", F.lit(0)), allowMissingColumns=True)
+    rows.repartitionByRange("_body", *order).sortWithinPartitions("_body", *order).select("line").write.mode("overwrite").text(path)
+
+
+def write_result(levels: DataFrame, path: str) -> None:
+    """A long result (interval_id, col_ord, ...), sorted by both in small pages, so that single elements and ranges of intervals are read by themselves."""
+    order = ["interval_id", "col_ord"]
+    levels.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(path)
 
 
 def groups_json(groups: DataFrame) -> DataFrame:

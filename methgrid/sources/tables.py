@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from methgrid.operators.scan import small
+from methgrid.operators.scan import last_before, small
 
 
 def parse_bed(lines: DataFrame, chroms: DataFrame) -> DataFrame:
@@ -44,50 +44,120 @@ def from_frame(frame: DataFrame, genome: str) -> DataFrame:
     return frame.select(F.monotonically_increasing_id().alias("interval_id"), F.lit(genome).alias("genome"), F.col(a).cast("string").alias("chrom"), F.col(b).cast("long").alias("start"), F.col(c).cast("long").alias("stop"))
 
 
-def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+#: Bytes of a binary file that one task reads, and tasks at most.
+CHUNK, TASKS = 16 << 20, 20_000
+#: Site ranks of a block in which contigs are looked up.
+CONTIG_BLOCK = 1 << 16
+
+
+def _open(path: str):
+    """A file for reading at any place, in a local or any other store that pyarrow knows."""
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
+
+
+def byte_ranges(spark: SparkSession, folder: str, names: str, width: int, chunk: int = CHUNK) -> DataFrame:
+    """(path, length, at, content) of the files of ``folder`` whose names match a glob, in ranges of whole records of ``width`` bytes.
+
+    Ranges are made of the listing, dealt out to tasks and read there, so one file is read by many tasks. In a
+    store that pyarrow can't open a file is read whole by Spark.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
+    first = files.select("path").limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], "path string, length long, at long, content binary")
+    try:
+        _open(first[0].path).close()
+    except Exception:
+        return files.select("path", "length", F.lit(0).cast("long").alias("at"), "content")
+    step = max(1, chunk // width) * width
+    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L), {step}L)")).alias("at"))
+    dealt = ranges.repartition(max(1, min(ranges.count(), TASKS)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, length, at in frame.itertuples(index=False):
+                with _open(path) as f:
+                    f.seek(at)
+                    content = f.read(min(step, length - at))
+                yield pd.DataFrame({"path": [path], "length": [length], "at": [at], "content": [content]})
+
+    return dealt.mapInPandas(run, "path string, length long, at long, content binary")
+
+
+def placed_in_contigs(rows: DataFrame, chroms: DataFrame) -> DataFrame:
+    """``rows`` (genome, site_idx, ...) with chrom and chrom_ord of the contig that holds the rank.
+
+    Ranks meet the contigs' offsets in blocks, in order; each block is opened by the contig that reaches into
+    it. So the cost is that of one exchange of both, whatever the number of contigs.
+    """
+    held = chroms.where("n_sites > 0").select("genome", F.expr(f"chrom_offset div {CONTIG_BLOCK}").alias("block"), F.col("chrom_offset").alias("site_idx"), F.struct("chrom", "chrom_ord").alias("contig"))
+    axis = chroms.groupBy("genome").agg(F.sum("n_sites").alias("n")).where("n > 0").select("genome", F.explode(F.expr(f"sequence(0L, (n - 1) div {CONTIG_BLOCK})")).alias("block"))
+    lasts = held.groupBy("genome", "block").agg(F.max_by("contig", "site_idx").alias("contig"))
+    earlier = Window.partitionBy("genome").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = axis.join(lasts, ["genome", "block"], "left").select("genome", "block", (F.col("block") * CONTIG_BLOCK).alias("site_idx"), F.lit(-2).alias("rank"), F.last("contig", ignorenulls=True).over(earlier).alias("contig"))
+    marks = seeds.unionByName(held.withColumn("rank", F.lit(-1)))
+    events = rows.withColumn("block", F.expr(f"site_idx div {CONTIG_BLOCK}"))
+    found = last_before(events, marks, ["genome"], "site_idx", ["contig"])
+    return found.select(*rows.columns, "contig.chrom", "contig.chrom_ord")
+
+
+def read_index(spark: SparkSession, folder: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(sites, chroms) of index pairs ``name.cpg_idx`` (32-bit positions, chromosomes in order) and ``name.cpg_idx.json``.
 
-    A binary file is one task; a file whose length disagrees with its metadata raises.
+    A file is read in ranges of ``chunk`` bytes; one whose length disagrees with its metadata raises.
     """
     meta = spark.read.option("multiLine", True).schema("genome_name string, n_cpgs long, chrom_order array<string>, chrom_size array<long>, chrom_offset array<long>").json(f"{folder}/*.cpg_idx.json")
     per = meta.select("genome_name", "n_cpgs", F.posexplode("chrom_order").alias("chrom_ord", "chrom"), "chrom_size", "chrom_offset")
     size, offset = F.get("chrom_size", F.col("chrom_ord")), F.get("chrom_offset", F.col("chrom_ord"))
-    ends = F.lead("chrom_offset").over(Window.partitionBy("genome").orderBy("chrom_ord"))
-    chroms = per.select(F.col("genome_name").alias("genome"), "chrom", "chrom_ord", size.alias("chrom_size"), offset.alias("chrom_offset"), "n_cpgs").withColumn("n_sites", F.coalesce(ends, F.col("n_cpgs")) - F.col("chrom_offset")).drop("n_cpgs")
+    end = F.coalesce(F.get("chrom_offset", F.col("chrom_ord") + 1), "n_cpgs")
+    chroms = per.select(F.col("genome_name").alias("genome"), "chrom", "chrom_ord", size.alias("chrom_size"), offset.alias("chrom_offset"), (end - offset).alias("n_sites"))
+    genome = F.regexp_extract("path", r"([^/]+)\.cpg_idx$", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cpg_idx").load(folder).select(genome.alias("genome"), "length")
+    odd = files.join(meta.select(F.col("genome_name").alias("genome"), "n_cpgs"), "genome", "full").where("not (length <=> n_cpgs * 4)").limit(1).collect()
+    if odd:
+        raise ValueError(f"index data and metadata disagree: {odd[0]}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame.path, frame.content, strict=True):
+            for name, at, content in frame.itertuples(index=False):
                 pos = np.frombuffer(content, "<u4")
-                yield pd.DataFrame({"genome": path.rsplit("/", 1)[-1].removesuffix(".cpg_idx"), "site_idx": np.arange(len(pos)), "pos": pos.astype(np.int64)})
+                yield pd.DataFrame({"genome": name, "site_idx": at // 4 + np.arange(len(pos)), "pos": pos.astype(np.int64)})
+
+    raw = byte_ranges(spark, folder, "*.cpg_idx", 4, chunk).select(genome.alias("genome"), "at", "content").mapInPandas(run, "genome string, site_idx long, pos long")
+    return placed_in_contigs(raw, chroms).select("genome", "chrom", "chrom_ord", "pos", "site_idx"), chroms
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.cpg_idx").load(folder).select("path", "content").mapInPandas(run, "genome string, site_idx long, pos long")
-    held = raw.groupBy("genome").count().join(meta.select(F.col("genome_name").alias("genome"), "n_cpgs"), "genome", "full").where("not (count <=> n_cpgs)").limit(1).collect()
-    if held:
-        raise ValueError(f"index data and metadata disagree: {held[0]}")
-    inside = (F.col("site_idx") >= F.col("chrom_offset")) & (F.col("site_idx") < F.col("chrom_offset") + F.col("n_sites"))
-    sites = raw.alias("r").join(F.broadcast(chroms).alias("c"), (F.col("r.genome") == F.col("c.genome")) & inside)
-    return sites.select("r.genome", "chrom", "chrom_ord", "pos", "site_idx"), chroms
 
+def read_methylomes(spark: SparkSession, folder: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(methylomes, meta) of pairs ``name.m16`` (16-bit counts) and ``name.m16.json``; compressed ones are refused.
 
-def read_methylomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(methylomes, meta) of pairs ``name.m16`` (16-bit counts) and ``name.m16.json``; compressed ones are refused."""
+    A file is read in ranges of ``chunk`` bytes; one whose length disagrees with its metadata raises.
+    """
     schema = "version string, methylome_hash long, index_hash long, genome_name string, n_cpgs long, is_compressed boolean"
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.m16\.json$", 1)
     meta = spark.read.option("multiLine", True).schema(schema).json(f"{folder}/*.m16.json").select(name.alias("sample"), F.col("genome_name").alias("genome"), "version", "methylome_hash", "index_hash", "n_cpgs", "is_compressed")
     odd = meta.where("is_compressed").limit(1).collect()
     if odd:
         raise ValueError(f"compressed methylome: {odd[0]['sample']}")
+    sample = F.regexp_extract("path", r"([^/]+)\.m16$", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.m16").load(folder).select(sample.alias("sample"), "length")
+    odd = files.join(meta.select("sample", "n_cpgs"), "sample", "full").where("not (length <=> n_cpgs * 4)").limit(1).collect()
+    if odd:
+        raise ValueError(f"methylome data and metadata disagree: {odd[0]}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame.path, frame.content, strict=True):
+            for name, at, content in frame.itertuples(index=False):
                 pairs = np.frombuffer(content, "<u2").reshape(-1, 2).astype(np.int32)
                 covered = np.flatnonzero(pairs.any(1))
-                yield pd.DataFrame({"sample": path.rsplit("/", 1)[-1].removesuffix(".m16"), "site_idx": covered, "n_meth": pairs[covered, 0], "n_unmeth": pairs[covered, 1]})
+                yield pd.DataFrame({"sample": name, "site_idx": at // 4 + covered, "n_meth": pairs[covered, 0], "n_unmeth": pairs[covered, 1]})
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.m16").load(folder).select("path", "content").mapInPandas(run, "sample string, site_idx long, n_meth int, n_unmeth int")
-    return raw.join(F.broadcast(meta.select("sample", "genome")), "sample").select("genome", "sample", "site_idx", "n_meth", "n_unmeth"), meta
+    raw = byte_ranges(spark, folder, "*.m16", 4, chunk).select(sample.alias("sample"), "at", "content").mapInPandas(run, "sample string, site_idx long, n_meth int, n_unmeth int")
+    return raw.join(small(meta.select("sample", "genome")), "sample").select("genome", "sample", "site_idx", "n_meth", "n_unmeth"), meta
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:

@@ -174,7 +174,7 @@ def test_output(spark, tmp_path):
     again = output.to_wide(twice, ranges, ["a", "b", "a"], names=["x", "y", "z"])
     assert sorted((r.interval_id, r.x_M, r.y_M, r.z_U) for r in again.collect()) == [(0, 1, 0, 3), (1, 1, 0, 3)]
     output.write_lines(output.to_lines(lv, ranges, ["a"]), ["chrom", "start"], str(tmp_path / "out"), "h")
-    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["chr1\t0\t5\t1\t3"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["h", "chr1\t0\t5\t1\t3"]
 
 
 def test_matrix(spark):
