@@ -40,6 +40,8 @@ PAIRED = 12
 LEVELS = 3
 #: Members of larger groups that have one shingle in their prefixes are joined in blocks of so many.
 BLOCK = 1000
+#: Words of 64 bits of the maps that tell sets with too little in common apart.
+MAP_WORDS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,7 +235,9 @@ def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: floa
 
     Every pair that does is among them: sets that have o atoms in common share one of the first
     n - o + 1 of each in one order of all atoms. The longer set has o >= least * n, the shorter
-    one o >= 2 * least / (1 + least) * n; of a pair o is known. Rare atoms come first. Of an atom's members those of its largest component aren't joined with
+    one o >= 2 * least / (1 + least) * n; of a pair o is known. Rare atoms come first. Each set also has a
+    map of MAP_WORDS x 64 bits in which each of its atoms flips one: two maps differ in no more bits than the sets
+    do in atoms, so most pairs with too little in common go before they leave the join, and no other ones. Of an atom's members those of its largest component aren't joined with
     each other, and the others are joined in blocks of BLOCK against BLOCK.
     """
     labelled = large.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
@@ -244,24 +248,30 @@ def rest_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, least: floa
     own = sets.join(members, "nid").select("nid", "label", F.array_distinct("atoms").alias("atoms"))
     each = own.select("nid", "label", F.size("atoms").alias("n"), F.explode("atoms").alias("atom"))
     often = each.groupBy("atom").agg(F.count(F.lit(1)).alias("often"))
-    first = each.join(often, "atom").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "atom"))).alias("sorted"))
+    spot = F.xxhash64("atom")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(spot, 58).cast("int"))
+    flipped = [F.bit_xor(F.when(F.pmod(spot, F.lit(MAP_WORDS)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(MAP_WORDS)]
+    maps = [f"m{i}" for i in range(MAP_WORDS)]
+    first = each.join(often, "atom").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "atom"))).alias("sorted"), *flipped)
     length = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-6) + 1).cast("int")
-    placed = first.select("nid", "label", "n", F.posexplode(F.slice("sorted", F.lit(1), length(least))).alias("place", "one"))
+    placed = first.select("nid", "label", "n", *maps, F.posexplode(F.slice("sorted", F.lit(1), length(least))).alias("place", "one"))
     indexed = F.col("place") < length(2 * least / (1 + least))
-    prefix = written(placed.where("one.often > 1").select("nid", "label", "n", F.col("one.atom").alias("atom"), "place", indexed.alias("indexed")), "prefixes")
+    prefix = written(placed.where("one.often > 1").select("nid", "label", "n", *maps, F.col("one.atom").alias("atom"), "place", indexed.alias("indexed")), "prefixes")
     of_label = prefix.groupBy("atom", "label").agg(F.count(F.lit(1)).alias("m"))
     main = of_label.groupBy("atom").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = prefix.join(main.select("atom", "main", blocks.alias("blocks")), "atom")
     block, every = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    long = rows.select("atom", F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), F.col("place").alias("x_place"), "main", block.alias("x_block"), every.alias("y_block"))
-    short = rows.where("indexed").select("atom", F.col("nid").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("place").alias("y_place"), F.col("main").alias("y_main"), block.alias("y_block"), every.alias("x_block"))
+    long = rows.select("atom", F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), F.col("place").alias("x_place"), *[F.col(m).alias(f"x_{m}") for m in maps], "main", block.alias("x_block"), every.alias("y_block"))
+    short = rows.where("indexed").select("atom", F.col("nid").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("place").alias("y_place"), *[F.col(m).alias(f"y_{m}") for m in maps], F.col("main").alias("y_main"), block.alias("y_block"), every.alias("x_block"))
     may = (F.col("y_n") >= F.col("x_n") * least - 1e-6) & ((F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y") < F.col("x"))))
     # How many atoms the pair must have in common, and so how far both prefixes go.
     need = F.ceil((F.col("x_n") + F.col("y_n")) * (least / (1 + least)) - 1e-6)
     counts = (F.col("x_place") <= F.col("x_n") - need) & (F.col("y_place") <= F.col("y_n") - need)
+    apart = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in maps), F.lit(0))
+    near = apart <= F.col("x_n") + F.col("y_n") - 2 * need
     found = [
-        x.join(y, ["atom", "x_block", "y_block"]).where(may & counts & (F.col("x_label") != F.col("y_label"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        x.join(y, ["atom", "x_block", "y_block"]).where(may & counts & near & (F.col("x_label") != F.col("y_label"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         for x, y in ((long.where("x_label != main"), short), (long.where("x_label = main"), short.where("y_label != y_main")))
     ]
     return found[0].unionByName(found[1]).distinct()
