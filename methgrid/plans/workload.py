@@ -670,6 +670,24 @@ def pyramid_levels(t: Tables):
     return t.pyramid.levels.where("unit in (10, 500)").select("sample", "unit", "chrom", "bin", "n_meth", "n_unmeth", "n_covered")
 
 
+@query(SQL + "SELECT chrom, chrom_ord, pos, site_idx FROM sites JOIN chroms USING (chrom)")
+def binary_index_read(t: Tables):
+    """The index written as a pair of a binary file and JSON, and read again in ranges of 4096 bytes."""
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "binary")
+    output.write_binary_index(t.sites, t.chroms, metadata.genome_metadata(t.sites, t.chroms), path)
+    return src.read_index(spark, path, 4096)[0].select("chrom", "chrom_ord", "pos", "site_idx")
+
+
+@query(SQL + "SELECT sample, site_idx, CAST(n_meth AS INTEGER) AS n_meth, CAST(n_unmeth AS INTEGER) AS n_unmeth FROM meth WHERE n_meth + n_unmeth > 0")
+def binary_methylomes_read(t: Tables):
+    """Methylomes written as pairs of binary files and JSON, and read again in ranges of 4096 bytes."""
+    spark = t.sites.sparkSession
+    path = scratch.new_folder(spark, "binary")
+    output.write_binary_methylomes(t.methylomes, metadata.methylome_metadata(t.methylomes, metadata.genome_metadata(t.sites, t.chroms)), path)
+    return src.read_methylomes(spark, path, 4096)[0].select("sample", "site_idx", "n_meth", "n_unmeth")
+
+
 @query(SQL + "SELECT sample, site_idx, n_meth, n_unmeth FROM meth WHERE sample IN ('A_F', 'R_O')")
 def methylomes_written(t: Tables):
     spark = t.sites.sparkSession

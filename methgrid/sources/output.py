@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methgrid.functions.columns import element, n_reads, row_name, wmean, wmean_or
+from methgrid.functions.columns import element, fit_u16, n_reads, row_name, wmean, wmean_or
+from methgrid.operators.scan import small
 
 #: Suffixes of a sample's columns.
 SUFFIX = {"counts": ["M", "U"], "classic": ["M", "R"], "scores": [""]}
@@ -142,6 +148,80 @@ def write_result(levels: DataFrame, path: str) -> None:
     levels.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(path)
 
 
+def _place(path: str) -> tuple:
+    """(file system of pyarrow, path in it) of a path with or without a scheme."""
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _write_binary(rows: DataFrame, heads: DataFrame, name: str, folder: str, suffix: str, width: int, kind: str) -> None:
+    """One file ``<name><suffix>`` of little-endian records and one of JSON for each row of ``heads`` (name, n_cpgs, head).
+
+    rows: (name, site_idx, v0, ...), ``width`` values of a record. A file is written by one task from rows in order, batch
+    by batch, under another name first, so a task that is run again replaces the file as a whole. Sites that rows
+    leave out are records of zeros.
+    """
+    values = [f"v{i}" for i in range(width)]
+    starts = heads.select(name, F.lit(-1).cast("long").alias("site_idx"), "n_cpgs", "head", *[F.lit(0).cast("long").alias(v) for v in values])
+    both = starts.unionByName(rows.select(name, "site_idx", *values), allowMissingColumns=True)
+    dealt = both.repartition(name).sortWithinPartitions(name, "site_idx")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _place(folder)
+        store.create_dir(root, recursive=True)
+        at = {}
+
+        def closed() -> pd.DataFrame:
+            if at["done"] < at["n"]:
+                at["file"].write(np.zeros((at["n"] - at["done"], width), kind).tobytes())
+            at["file"].close()
+            with store.open_output_stream(f"{root}/{at['name']}{suffix}.json") as f:
+                f.write(at["head"].encode())
+            store.move(at["part"], f"{root}/{at['name']}{suffix}")
+            return pd.DataFrame({"name": [at["name"]], "n": [at["n"]]})
+
+        for frame in frames:
+            for key, own in frame.groupby(name, sort=False):
+                if own.site_idx.iloc[0] == -1:
+                    if at:
+                        yield closed()
+                    part = f"{root}/_{uuid.uuid4().hex}"
+                    at = {"name": key, "n": int(own.n_cpgs.iloc[0]), "head": own["head"].iloc[0], "done": 0, "part": part, "file": store.open_output_stream(part)}
+                    own = own.iloc[1:]
+                if len(own):
+                    places = own.site_idx.to_numpy() - at["done"]
+                    records = np.zeros((int(places[-1]) + 1, width), kind)
+                    records[places] = own[values].to_numpy()
+                    at["file"].write(records.tobytes())
+                    at["done"] += len(records)
+        if at:
+            yield closed()
+
+    dealt.mapInPandas(run, "name string, n long").write.format("noop").mode("overwrite").save()
+
+
+def write_binary_index(sites: DataFrame, chroms: DataFrame, genomes: DataFrame, folder: str) -> None:
+    """Index pairs that ``tables.read_index`` reads: 32-bit positions in order, and JSON. genomes: (genome, version, index_hash, n_cpgs)."""
+    listed = F.array_sort(F.collect_list(F.struct("chrom_ord", "chrom", "chrom_size", "chrom_offset")))
+    per = chroms.groupBy("genome").agg(listed.alias("c")).join(genomes, "genome")
+    head = F.to_json(F.struct("version", "index_hash", F.col("genome").alias("genome_name"), "n_cpgs", F.col("c.chrom").alias("chrom_order"), F.col("c.chrom_size").alias("chrom_size"), F.col("c.chrom_offset").alias("chrom_offset")))
+    _write_binary(sites.select("genome", "site_idx", F.col("pos").alias("v0")), per.select("genome", "n_cpgs", head.alias("head")), "genome", folder, ".cpg_idx", 1, "<u4")
+
+
+def write_binary_methylomes(methylomes: DataFrame, meta: DataFrame, folder: str) -> None:
+    """Methylome pairs that ``tables.read_methylomes`` reads: 16-bit counts of all sites, larger ones rescaled, and JSON.
+
+    meta: (sample, genome, version, methylome_hash, index_hash, n_cpgs), of counts that fit.
+    """
+    m, u = F.col("n_meth"), F.col("n_unmeth")
+    rows = methylomes.join(small(meta.select("genome", "sample")), ["genome", "sample"], "left_semi").select("sample", "site_idx", fit_u16(m, u).cast("long").alias("v0"), fit_u16(u, m).cast("long").alias("v1"))
+    head = F.to_json(F.struct("version", "methylome_hash", "index_hash", F.col("genome").alias("genome_name"), "n_cpgs", F.lit(False).alias("is_compressed")))
+    _write_binary(rows, meta.select("sample", "n_cpgs", head.alias("head")), "sample", folder, ".m16", 2, "<u2")
+
+
 def groups_json(groups: DataFrame) -> DataFrame:
     """(group, json): a map of labels to accessions for each group."""
     return groups.groupBy("group").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "accession"))))).alias("json"))

@@ -311,3 +311,23 @@ def test_delta_coded_files_in_a_stream(spark, tmp_path):
     want = {(s, c * n + i, (i + shift) % 9, i % 4 + 1) for s, shift in (("S1", 0), ("S3", 5)) for c in (0, 1) for i in range(n)} | {("S2", 1, 2, 2)}
     assert len(got) == len(want) and {(r["sample"], r.site_idx, r.n_meth, r.n_unmeth) for r in got} == want
     assert sorted((r["sample"], r.error) for r in spark.read.parquet(str(tmp_path / "out_rejects")).collect()) == [("S2", "not a site"), ("S4", "unknown format")]
+
+
+def test_binary_files_written(spark, tmp_path):
+    sites, chroms = _small_genome(spark)
+    meth = spark.createDataFrame([("g", "s", 1, 70_000, 7), ("g", "s", 4, 0, 3)], "genome string, sample string, site_idx long, n_meth int, n_unmeth int")
+    genomes = spark.createDataFrame([("g", "1", 63438916, 6)], "genome string, version string, index_hash long, n_cpgs long")
+    meta = spark.createDataFrame([("s", "g", "1", 5, 63438916, 6), ("t", "g", "1", 0, 63438916, 6)], "sample string, genome string, version string, methylome_hash long, index_hash long, n_cpgs long")
+    for _ in range(2):  # writing again replaces the files
+        output.write_binary_index(sites, chroms, genomes, str(tmp_path))
+        output.write_binary_methylomes(meth, meta, f"file://{tmp_path}")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["g.cpg_idx", "g.cpg_idx.json", "s.m16", "s.m16.json", "t.m16", "t.m16.json"]
+    assert np.frombuffer((tmp_path / "g.cpg_idx").read_bytes(), "<u4").tolist() == [10, 20, 3, 17, 5, 15]
+    assert np.frombuffer((tmp_path / "s.m16").read_bytes(), "<u2").tolist() == [0, 0, 65535, 7, 0, 0, 0, 0, 0, 3, 0, 0]
+    assert (tmp_path / "t.m16").read_bytes() == bytes(24)
+    assert json.loads((tmp_path / "g.cpg_idx.json").read_text())["chrom_offset"] == [0, 2, 4]
+    back, chroms_back = src.read_index(spark, str(tmp_path))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, sites.select(*back.columns).collect()))
+    assert sorted((r.chrom, r.n_sites) for r in chroms_back.collect()) == [("chr1", 2), ("chr10", 2), ("chr2", 2)]
+    got, _ = src.read_methylomes(spark, str(tmp_path))
+    assert sorted((r["sample"], r.site_idx, r.n_meth, r.n_unmeth) for r in got.collect()) == [("s", 1, 65535, 7), ("s", 4, 0, 3)]
