@@ -41,8 +41,8 @@ def site_ranks(intervals: DataFrame, sites: DataFrame, chroms: DataFrame, marks:
     events = known.withColumn("end", ends).withColumn("pos", F.greatest(F.lit(0), F.least("end.at", "chrom_size"))).withColumn("block", F.expr(f"pos div {BLOCK}"))
     columns = intervals.columns
     others = [c for c in columns if c not in ("genome", "chrom")]
-    marks = site_marks(sites, chroms) if marks is None else only_blocks(marks, events, ["genome", "chrom"])
-    found = last_before(events.select("genome", "chrom", *others, F.col("end.is_stop").alias("is_stop"), "pos", "block"), marks, ["genome", "chrom"], "pos", ["before"])
+    marks, hot = (site_marks(sites, chroms), []) if marks is None else only_blocks(marks, events, ["genome", "chrom"])
+    found = last_before(events.select("genome", "chrom", *others, F.col("end.is_stop").alias("is_stop"), "pos", "block"), marks, ["genome", "chrom"], "pos", ["before"], hot)
     return found.groupBy(*columns).agg(F.max(F.when(~F.col("is_stop"), F.col("before"))).alias("lo"), F.max(F.when(F.col("is_stop"), F.col("before"))).alias("hi"))
 
 

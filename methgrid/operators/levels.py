@@ -72,18 +72,19 @@ def prefix_sums(methylomes: DataFrame, chroms: DataFrame) -> DataFrame:
     return both.withColumns({n: F.sum(n).over(inside) for n in sums})
 
 
-def pair_levels(pairs: DataFrame, prefix: DataFrame, covered: bool = False) -> DataFrame:
+def pair_levels(pairs: DataFrame, prefix: DataFrame, covered: bool = False, hot: list[tuple] = ()) -> DataFrame:
     """``pairs`` (genome, sample, lo, hi, ...) with the sums of the sample's sites of ranks lo to hi - 1.
 
     Every bound looks for the last site before it among the sample's prefix sums; the sum at hi less that at lo is
     the pair's, so the cost doesn't depend on the width or the overlap of intervals. Other columns tell pairs apart.
+    hot: blocks that ``touched_sums`` found to hold very many bounds.
     """
     names = list(_sums(covered))
     keys = [c for c in pairs.columns if c not in ("genome", "sample")]
     bound = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("hi").alias("at"))))
     ends = pairs.withColumn("_end", bound)
     events = ends.select("genome", "sample", *keys, "_end.sign", "_end.at").withColumn("block", F.expr(f"at div {BLOCK}"))
-    found = last_before(events, prefix.select("genome", "sample", "block", "at", "rank", *names), ["genome", "sample"], "at", names)
+    found = last_before(events, prefix.select("genome", "sample", "block", "at", "rank", *names), ["genome", "sample"], "at", names, hot, ["genome"])
     return found.groupBy("genome", "sample", *keys).agg(*[F.coalesce(F.sum(F.col("sign") * F.col(n)), F.lit(0)).alias(n) for n in names])
 
 
@@ -92,8 +93,8 @@ def bounds_of(ranked: DataFrame) -> DataFrame:
     return ranked.select("genome", F.explode(F.array(F.expr(f"lo div {BLOCK}"), F.expr(f"hi div {BLOCK}"))).alias("block"))
 
 
-def touched_sums(prefix: DataFrame, ranked: DataFrame, samples: DataFrame) -> DataFrame:
-    """What a question reads of a stored table of prefix sums: its samples' folders, and in them the blocks with its bounds."""
+def touched_sums(prefix: DataFrame, ranked: DataFrame, samples: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """What a question reads of a stored table of prefix sums: its samples' folders, and in them the blocks with its bounds; and blocks with very many."""
     return only_blocks(named(prefix, samples, ["genome", "sample"]), bounds_of(ranked), ["genome"])
 
 
@@ -107,12 +108,13 @@ def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: Da
     keys = keys or ["interval_id"]
     if prefix is None:
         ends = chroms if chroms is not None else methylomes.groupBy("genome").agg((F.max("site_idx") + 1).alias("n_sites")).unionByName(ranked.groupBy("genome").agg(F.max("hi").alias("n_sites"))).groupBy("genome").agg(F.max("n_sites").alias("n_sites"))
-        prefix = prefix_sums(methylomes, ends).join(small(samples.select("genome", "sample").distinct()), ["genome", "sample"], "left_semi")
+        prefix, hot = prefix_sums(methylomes, ends), []
+        prefix = prefix.join(small(samples.select("genome", "sample").distinct()), ["genome", "sample"], "left_semi")
     else:
         ranked = stored(ranked, "ranked")
-        prefix = touched_sums(prefix, ranked, samples)
+        prefix, hot = touched_sums(prefix, ranked, samples)
     pairs = ranked.select("genome", *keys, "lo", "hi").join(small(samples.select("genome", "sample")), "genome")
-    return pair_levels(pairs, prefix, covered).select(*keys, "sample", *_sums(covered))
+    return pair_levels(pairs, prefix, covered, hot).select(*keys, "sample", *_sums(covered))
 
 
 def _placed(methylomes: DataFrame, sites: DataFrame) -> DataFrame:

@@ -79,19 +79,28 @@ def block_ranges(blocks: list[tuple], most: int = RANGES) -> list[tuple]:
     return [tuple(r) for r in joined]
 
 
-def only_blocks(stored: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``stored`` in the (keys, block) that occur in ``bounds``; a table sorted by them is read in these places only.
+#: Events of one block that one task takes.
+HOT = 100_000
 
-    The blocks are counted first. Up to TOUCHED of them become ranges of literals, which the scan compares with the
-    statistics of pages and row groups, and a broadcast semi-join leaves exactly those blocks; the stored table isn't
-    shuffled. A question that touches more needs most of the table and gets it whole.
+
+def only_blocks(stored: DataFrame, bounds: DataFrame, keys: list[str]) -> tuple[DataFrame, list[tuple]]:
+    """Rows of ``stored`` in the (keys, block) that occur in ``bounds``, and (keys, block, parts) of the blocks with more than HOT bounds.
+
+    A table sorted by keys and block is read in these places only. The blocks are counted first. Up to TOUCHED of
+    them become ranges of literals, which the scan compares with the statistics of pages and row groups, and a
+    broadcast semi-join leaves exactly those blocks; the stored table isn't shuffled. A question that touches
+    more needs most of the table and gets it whole.
     """
-    found = [(tuple(r[:-1]), r[-1]) for r in bounds.select(*keys, "block").distinct().limit(TOUCHED + 1).collect()]
+    counts = bounds.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.limit(TOUCHED + 1).collect()
     if len(found) > TOUCHED:
-        return stored
+        found = counts.where(F.col("n") > HOT).collect()  # fewer than bounds / HOT
+        return stored, [(*r[:-1], -(-r.n // HOT)) for r in found]
+    hot = [(*r[:-1], -(-r.n // HOT)) for r in found if r.n > HOT]
     if not found:
-        return stored.where(F.lit(False))
-    ranges = block_ranges(found)
+        return stored.where(F.lit(False)), hot
+    blocks = [(tuple(r[:-2]), r.block) for r in found]
+    ranges = block_ranges(blocks)
     if len(ranges) <= 2 * RANGES:
         wanted = F.lit(False)
         for key, first, last in ranges:
@@ -100,8 +109,8 @@ def only_blocks(stored: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFr
                 place = place & (F.col(name) == value)
             wanted = wanted | place
         stored = stored.where(wanted)
-    exact = stored.sparkSession.createDataFrame([(*key, block) for key, block in found], stored.select(*keys, "block").schema)
-    return stored.join(F.broadcast(exact), [*keys, "block"], "left_semi")  # at most TOUCHED rows
+    exact = stored.sparkSession.createDataFrame([(*key, block) for key, block in blocks], stored.select(*keys, "block").schema)
+    return stored.join(F.broadcast(exact), [*keys, "block"], "left_semi"), hot  # at most TOUCHED rows
 
 
 def named(df: DataFrame, rows: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
@@ -122,16 +131,25 @@ def named(df: DataFrame, rows: DataFrame, columns: list[str], most: int = 1000)
     return df.where(wanted)
 
 
-def last_before(events: DataFrame, marks: DataFrame, group: list[str], place: str, values: list[str]) -> DataFrame:
+def last_before(events: DataFrame, marks: DataFrame, group: list[str], place: str, values: list[str], hot: list[tuple] = (), on: list[str] | None = None) -> DataFrame:
     """``events`` with the ``values`` of the last of ``marks`` before each, one exchange for all.
 
     Both have the group's columns, ``block`` and ``place``. Marks have ``rank``: -1 for the seed that
     opens every block with what the blocks before it hold, 1 for others, which come after events
-    at the same place.
+    at the same place. hot: (values of ``on``, block, parts) of blocks with so many events that they are dealt to
+    several tasks, each of which gets the block's marks.
     """
     names = [c for c in events.columns if c not in (*group, "block", place)]
-    both = events.select(*group, "block", place, F.lit(0).alias("rank"), F.struct(*names).alias("own"), *[F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values])
-    both = both.unionByName(marks.select(*group, "block", place, "rank", F.lit(None).cast(both.schema["own"].dataType).alias("own"), *values))
-    order = Window.partitionBy(*group, "block").orderBy(place, "rank").rowsBetween(Window.unboundedPreceding, 0)
+    keys = [*group, "block"]
+    if hot:
+        kinds = events.select(*(on or group), "block").schema
+        parts = F.broadcast(events.sparkSession.createDataFrame(list(hot), kinds.add("_parts", "integer")))  # no more than events / HOT
+        count = F.coalesce("_parts", F.lit(1))
+        events = events.join(parts, [*(on or group), "block"], "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), count).cast("int")).drop("_parts")
+        marks = marks.join(parts, [*(on or group), "block"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), count - 1))).drop("_parts")
+        keys.append("_part")
+    both = events.select(*keys, place, F.lit(0).alias("rank"), F.struct(*names).alias("own"), *[F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values])
+    both = both.unionByName(marks.select(*keys, place, "rank", F.lit(None).cast(both.schema["own"].dataType).alias("own"), *values))
+    order = Window.partitionBy(*keys).orderBy(place, "rank").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumns({v: F.last(v, ignorenulls=True).over(order) for v in values})
     return seen.where("rank = 0").select(*group, place, "own.*", *values)

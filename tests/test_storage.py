@@ -80,10 +80,29 @@ def test_stored_marks_aren_t_shuffled_whole(spark, big):
     sites, chroms, _, folder = big
     marks = output.read_marks(spark, f"{folder}/marks")
     bounds = spark.createDataFrame([("g", "chr1", 3), ("g", "chr1", 200), ("g", "chr2", 7)], "genome string, chrom string, block long")
-    got = scan.only_blocks(marks, bounds, ["genome", "chrom"])
+    got, hot = scan.only_blocks(marks, bounds, ["genome", "chrom"])
+    assert hot == []
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.chrom, r.block) for r in got.select("chrom", "block").distinct().collect()} == {("chr1", 3), ("chr1", 200), ("chr2", 7)}
-    assert scan.only_blocks(marks, bounds.limit(0), ["genome", "chrom"]).count() == 0
+    assert scan.only_blocks(marks, bounds.limit(0), ["genome", "chrom"])[0].count() == 0
+
+
+def test_many_bounds_in_one_block(spark, big, monkeypatch):
+    sites, chroms, meth, folder = big
+    marks, prefix = output.read_marks(spark, f"{folder}/marks"), output.read_prefix(spark, f"{folder}/prefix")
+    asked = spark.range(3000).select(F.col("id").alias("interval_id"), F.lit("g").alias("genome"), F.lit("chr1").alias("chrom"), (F.col("id") % 50 + 700_000).alias("start"), (F.col("id") % 70 * 3 + 700_100).alias("stop"))
+    one = spark.createDataFrame([("g", "a"), ("g", "b")], "genome string, sample string")
+
+    def answer():
+        got = levels.levels("intervals", chroms=chroms, sites=sites, methylomes=meth, samples=one, intervals=asked, marks=marks, prefix=prefix, covered=True)
+        return sorted(map(tuple, got.collect()))
+
+    even = answer()
+    monkeypatch.setattr(scan, "HOT", 500)
+    _, hot = scan.only_blocks(prefix, levels.bounds_of(intervals.site_ranks(asked, sites, chroms, marks)), ["genome"])
+    assert hot and all(parts > 1 for *_, parts in hot)
+    assert answer() == even and len(even) == 6000
+    assert even[0][2:] == brute("chr1", 700_000, 700_100, "a") and {r[2:] for r in even if r[0] == 7 and r[1] == "b"} == {brute("chr1", 700_007, 700_121, "b")}
 
 
 def test_block_ranges():
