@@ -8,7 +8,7 @@ from .licenses import op6_conditional_compression
 from .minhash import op10_bag_minhash
 from .mixing import op1_entropy_mix
 from .packing import op11_minimum_slack
-from .resample import op12_translate_split
+from .resample import OP12_SQL, op12_translate_split
 from .secrets import op8_linked_secrets
 from .sharding import op4_virtual_slots
 from .spotsigs import op9_spot_signatures
@@ -34,4 +34,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_score_at_a_time": OP3_SQL,
+    "op12_translate_split": OP12_SQL,
 }

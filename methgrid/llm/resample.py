@@ -129,3 +129,34 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
 def op12_translate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their weights towards the benchmark's texts, and the ranks of the twentieth that is drawn."""
     return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: The same in SQL: CRC-32 by a table of 256 entries over the bytes of each distinct feature.
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, text, false AS target FROM documents UNION ALL SELECT row_number() OVER (), NULL, text, true FROM benchmark
+), split AS (
+  SELECT r, doc_id, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT r, target, unnest(list_concat(w, list_filter(list_transform(list_zip(w, w[2:]), lambda z: z[1] || ' ' || z[2]), lambda x: x IS NOT NULL), list_filter(list_transform(list_zip(w, w[2:], w[3:]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3]), lambda x: x IS NOT NULL))) AS g FROM split
+), spelled AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM runs)
+), hashed AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM spelled, crc
+), counted AS (
+  SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM runs JOIN hashed USING (g) GROUP BY bucket
+), gained AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM counted) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM counted) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counted
+), weighed AS (
+  SELECT r, count(*) AS n_features, sum(gain) AS weight FROM runs JOIN hashed USING (g) JOIN gained USING (bucket) WHERE NOT target GROUP BY r
+), scored AS (
+  SELECT s.doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM split s LEFT JOIN weighed USING (r) WHERE NOT target
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (SELECT 5 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN place END AS rank, n_words FROM placed
+"""

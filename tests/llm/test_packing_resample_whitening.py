@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -173,6 +174,14 @@ def test_resample_of_all_documents(spark):
     assert as_counts(resample.op12_translate_split(spark, folder).collect()) == as_counts(brute_resample(docs, target))
 
 
+def test_resample_in_sql(spark, folder):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder[0]}/{name}.parquet/*.parquet'")
+    got = resample.op12_translate_split(spark, folder[0])
+    assert as_counts(con.sql(resample.OP12_SQL).select(", ".join(got.columns)).fetchall()) == as_counts(got.collect())
+
+
 def test_runs_by_slices(monkeypatch):
     rng = random.Random(1)
     text = prose(rng, 500).encode() + b"   . " + b"Z" * 400
