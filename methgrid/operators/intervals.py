@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from methgrid.operators.scan import last_before, only_blocks, small
+from methgrid.sources.scratch import stored
 
 #: Positions of a block in which bounds and sites meet.
 BLOCK = 1 << 14
@@ -46,6 +47,14 @@ def site_ranks(intervals: DataFrame, sites: DataFrame, chroms: DataFrame, marks:
     return found.groupBy(*columns).agg(F.max(F.when(~F.col("is_stop"), F.col("before"))).alias("lo"), F.max(F.when(F.col("is_stop"), F.col("before"))).alias("hi"))
 
 
+def prepare(intervals: DataFrame, sites: DataFrame, chroms: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """``site_ranks`` of intervals as a stored table: a prepared query, to be asked of any methylomes of the genome.
+
+    ``levels.interval_levels(prepared=True)`` reads it as it is, and neither intervals nor marks again.
+    """
+    return stored(site_ranks(intervals, sites, chroms, marks), "query")
+
+
 def n_cpgs(ranked: DataFrame) -> DataFrame:
     """(interval_id, n_cpgs) of intervals with ranks."""
     return ranked.select("interval_id", (F.col("hi") - F.col("lo")).alias("n_cpgs"))

@@ -98,12 +98,12 @@ def touched_sums(prefix: DataFrame, ranked: DataFrame, samples: DataFrame) -> tu
     return only_blocks(named(prefix, samples, ["genome", "sample"]), bounds_of(ranked), ["genome"])
 
 
-def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, prepared: bool = False) -> DataFrame:
     """(interval_id, sample, n_meth, n_unmeth[, n_covered]) of intervals with site ranks.
 
     samples: (genome, sample), one row each. prefix: what ``prefix_sums`` has stored, of which only the blocks
-    with bounds of the samples are read; ``ranked`` is then stored as a prepared query, as it is read
-    twice. Without prefix, it is made of ``methylomes``. keys: the columns of an interval, interval_id if not given.
+    with bounds of the samples are read; ``ranked`` is then stored, as it is read twice, unless it is a
+    table that ``intervals.prepare`` has stored (``prepared``). Without prefix, it is made of ``methylomes``. keys: the columns of an interval, interval_id if not given.
     """
     keys = keys or ["interval_id"]
     if prefix is None:
@@ -111,7 +111,7 @@ def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: Da
         prefix, hot = prefix_sums(methylomes, ends), []
         prefix = prefix.join(small(samples.select("genome", "sample").distinct()), ["genome", "sample"], "left_semi")
     else:
-        ranked = stored(ranked, "ranked")
+        ranked = ranked if prepared else stored(ranked, "ranked")
         prefix, hot = touched_sums(prefix, ranked, samples)
     pairs = ranked.select("genome", *keys, "lo", "hi").join(small(samples.select("genome", "sample")), "genome")
     return pair_levels(pairs, prefix, covered, hot).select(*keys, "sample", *_sums(covered))

@@ -76,6 +76,18 @@ def test_forty_intervals_read_few_rows(spark, big):
     assert read < 0.01 * stored
 
 
+def test_prepared_query_reads_its_ranks_alone(spark, big):
+    sites, chroms, meth, folder = big
+    asked = spark.createDataFrame([(j, "g", "chr2", 3_000_000 + 50 * j, 3_000_900 + 60 * j) for j in range(40)], "interval_id long, genome string, chrom string, start long, stop long")
+    ranked = intervals.prepare(asked, sites, chroms, output.read_marks(spark, f"{folder}/marks"))
+    for name in "ab":
+        one = spark.createDataFrame([("g", name)], "genome string, sample string")
+        got, read = rows_read(spark, lambda one=one: levels.interval_levels(ranked, meth, one, True, chroms, output.read_prefix(spark, f"{folder}/prefix"), prepared=True).collect())
+        assert {r.interval_id: (r.n_meth, r.n_unmeth, r.n_covered) for r in got} == {j: brute("chr2", 3_000_000 + 50 * j, 3_000_900 + 60 * j, name) for j in range(40)}
+        # The ranks twice, and a few blocks.
+        assert read <= 2 * 40 + 3 * 1025
+
+
 def test_stored_marks_aren_t_shuffled_whole(spark, big):
     sites, chroms, _, folder = big
     marks = output.read_marks(spark, f"{folder}/marks")
@@ -350,3 +362,13 @@ def test_binary_files_written(spark, tmp_path):
     assert sorted((r.chrom, r.n_sites) for r in chroms_back.collect()) == [("chr1", 2), ("chr10", 2), ("chr2", 2)]
     got, _ = src.read_methylomes(spark, str(tmp_path))
     assert sorted((r["sample"], r.site_idx, r.n_meth, r.n_unmeth) for r in got.collect()) == [("s", 1, 65535, 7), ("s", 4, 0, 3)]
+
+
+def test_half_a_million_contigs(spark):
+    n, i = 500_000, F.col("id")
+    offset = F.expr("id div 3 * 3 + greatest(id % 3 - 1, 0)")
+    chroms = spark.range(n).select(F.lit("g").alias("genome"), F.concat(F.lit("c"), i.cast("string")).alias("chrom"), i.cast("int").alias("chrom_ord"), offset.alias("chrom_offset"), (i % 3).alias("n_sites"))
+    rows = spark.range(n - 2).select(F.lit("g").alias("genome"), i.alias("site_idx"), i.alias("pos"))
+    got = src.placed_in_contigs(rows, chroms)
+    want = F.expr("site_idx div 3 * 3 + if(site_idx % 3 = 0, 1, 2)").cast("int")
+    assert got.agg(F.count(F.lit(1)), F.sum((F.col("chrom_ord") != want).cast("int"))).first()[:] == (n - 2, 0)
