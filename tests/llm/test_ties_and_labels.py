@@ -1,13 +1,16 @@
 """Mixing of repeated rows, and language identification with any number of labels."""
 
 import collections
+import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from methgrid.llm import language, mixing
+from methgrid.llm import language, mixing, windows
+from methgrid.llm.common import written
 
 from .test_operators import words
 
@@ -68,3 +71,26 @@ def test_every_window_is_learned_from(spark):
     docs = spark.createDataFrame([(a, "x" * 1000 + " deutsch " * 200, "de", "s", 1), (b, "english " * 50, "en", "s", 1)], DOCS)
     chosen = {r.lang: r.text for r in language.sampled(docs).collect()}
     assert chosen == {"de": "x" * 1000 + " deutsch " * 200, "en": "english " * 50}
+
+
+def test_links_of_frequent_keys_are_the_same_in_one_task_and_in_many(spark):
+    rng = random.Random(12)
+    rows = []
+    for key in (8 * 5 + 1, 8 * 77 + 3, -8 * 9 + 2):
+        sides = [rng.getrandbits(16) for _ in range(3)]
+        for doc in range(60):
+            near = 0
+            for _ in range(4):
+                near = near << 16 | rng.choice(sides)
+            c = rng.randrange(60, 90)
+            rows.append((key, doc * 3 + rng.randrange(2), c, c - rng.randrange(60), c + rng.randrange(60), near - (1 << 64) if near >> 63 else near))
+    rows = [next(g) for _, g in itertools.groupby(sorted(rows), key=lambda r: r[:2] + r[5:])]
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    want = set()
+    for own in by.values():
+        columns = {n: np.array(v, np.int64) for n, v in zip(("key", "doc_id", "c", "l", "r", "near"), zip(*sorted(own), strict=True), strict=True)}
+        want |= set(zip(*[x.tolist() for x in windows._led(columns)], strict=True))
+    frame = written(spark.createDataFrame(rows, "key long, doc_id long, c int, l int, r int, near long"), "t")
+    assert {tuple(r) for r in windows.across(frame).collect()} == want and len(want) > 100
