@@ -6,7 +6,7 @@ counts: quantities of even and odd lines; intervals: from orders.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +24,72 @@ UNITS = [10, 50, 500, 5000]
 SAMPLES = ["A_F", "A_O", "N_F", "N_O", "R_F", "R_O"]
 
 
-@dataclass
 class Tables:
-    sites: DataFrame
-    chroms: DataFrame
-    methylomes: DataFrame
-    samples: DataFrame
-    intervals: DataFrame
-    marks: DataFrame
-    prefix: DataFrame
-    pyramid: Pyramid
+    """The derived tables of a folder. Each is stored when it is first asked for, with those that it is made of."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.folder = spark, sf_dir, scratch.new_folder(spark, "derived")
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        return read(self.spark, self.sf_dir, "lineitem").select(
+            F.lit(GENOME).alias("genome"),
+            F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chrom"),
+            (F.col("l_partkey") * 7).alias("pos"),
+            F.concat_ws("_", "l_returnflag", "l_linestatus").alias("sample"),
+            F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("long")).otherwise(0).alias("m"),
+            F.when(F.col("l_linenumber") % 2 != 0, F.col("l_quantity").cast("long")).otherwise(0).alias("u"),
+        )
+
+    @cached_property
+    def _index(self) -> tuple[DataFrame, DataFrame]:
+        positions = scratch.stored(self._placed.select("genome", "chrom", "pos").distinct(), "positions")
+        sizes = positions.groupBy("genome", "chrom").agg((F.max("pos") + 2).alias("chrom_size"))
+        output.write_index(*g.build(positions, sizes), self.folder)
+        return output.read_index(self.spark, self.folder)
+
+    @property
+    def sites(self) -> DataFrame:
+        return self._index[0]
+
+    @property
+    def chroms(self) -> DataFrame:
+        return self._index[1]
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        return scratch.stored(self._placed.select("genome", "sample").distinct(), "samples")
+
+    @cached_property
+    def methylomes(self) -> DataFrame:
+        # Dealt by place once, for the sums and for the join with the sites.
+        counts = self._placed.repartition("genome", "chrom", "pos").groupBy("genome", "chrom", "pos", "sample").agg(F.sum("m").alias("n_meth"), F.sum("u").alias("n_unmeth"))
+        aligned = counts.join(self.sites.select("genome", "chrom", "pos", "site_idx"), ["genome", "chrom", "pos"])
+        output.write_methylomes(aligned.select("genome", "sample", "site_idx", "n_meth", "n_unmeth"), self.samples, self.folder)
+        return output.read_methylomes(self.spark, self.folder)[0]
+
+    @cached_property
+    def intervals(self) -> DataFrame:
+        order = read(self.spark, self.sf_dir, "orders")
+        raw = order.select(F.col("o_orderkey").alias("interval_id"), F.lit(GENOME).alias("genome"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chrom"), (F.col("o_orderkey") * 13).alias("a"), (100 + F.col("o_custkey") % 400).alias("width"))
+        clipped = raw.join(F.broadcast(self.chroms.select("chrom", "chrom_size")), "chrom")  # five chromosomes
+        start = F.col("a") % F.col("chrom_size")
+        return clipped.select("interval_id", "genome", "chrom", start.alias("start"), F.least(start + F.col("width"), F.col("chrom_size")).alias("stop"))
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        output.write_marks(site_marks(self.sites, self.chroms), f"{self.folder}/marks")
+        return output.read_marks(self.spark, f"{self.folder}/marks")
+
+    @cached_property
+    def prefix(self) -> DataFrame:
+        output.write_prefix(prefix_sums(self.methylomes, self.chroms), f"{self.folder}/prefix")
+        return output.read_prefix(self.spark, f"{self.folder}/prefix")
+
+    @cached_property
+    def pyramid(self) -> Pyramid:
+        write_pyramid(self.methylomes, self.sites, f"{self.folder}/pyramid", UNITS)
+        return read_pyramid(self.spark, f"{self.folder}/pyramid", UNITS)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,42 +111,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The derived tables, stored in the shared folder as ingest would; made again when the files they come from have changed."""
     key = (spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir, "lineitem"), _files(spark, sf_dir, "orders"))
     if key not in _MADE:
-        made = _derive(spark, sf_dir)
         _MADE.clear()
-        _MADE[key] = made
+        _MADE[key] = Tables(spark, sf_dir)
     return _MADE[key]
 
 
-def _derive(spark: SparkSession, sf_dir: str) -> Tables:
-    line = read(spark, sf_dir, "lineitem")
-    placed = line.select(
-        F.lit(GENOME).alias("genome"),
-        F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chrom"),
-        (F.col("l_partkey") * 7).alias("pos"),
-        F.concat_ws("_", "l_returnflag", "l_linestatus").alias("sample"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("long")).otherwise(0).alias("m"),
-        F.when(F.col("l_linenumber") % 2 != 0, F.col("l_quantity").cast("long")).otherwise(0).alias("u"),
-    )
-    folder = scratch.new_folder(spark, "derived")
-    positions = placed.select("genome", "chrom", "pos").distinct()
-    sizes = positions.groupBy("genome", "chrom").agg((F.max("pos") + 2).alias("chrom_size"))
-    output.write_index(*g.build(positions, sizes), folder)
-    sites, chroms = output.read_index(spark, folder)
-    counts = placed.groupBy("genome", "chrom", "pos", "sample").agg(F.sum("m").alias("n_meth"), F.sum("u").alias("n_unmeth"))
-    aligned = counts.join(sites.select("genome", "chrom", "pos", "site_idx"), ["genome", "chrom", "pos"])
-    output.write_methylomes(aligned.select("genome", "sample", "site_idx", "n_meth", "n_unmeth"), placed.select("genome", "sample").distinct(), folder)
-    methylomes, samples = output.read_methylomes(spark, folder)
-    output.write_marks(site_marks(sites, chroms), f"{folder}/marks")
-    output.write_prefix(prefix_sums(methylomes, chroms), f"{folder}/prefix")
-    write_pyramid(methylomes, sites, f"{folder}/pyramid", UNITS)
-    order = read(spark, sf_dir, "orders")
-    raw = order.select(F.col("o_orderkey").alias("interval_id"), F.lit(GENOME).alias("genome"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chrom"), (F.col("o_orderkey") * 13).alias("a"), (100 + F.col("o_custkey") % 400).alias("width"))
-    clipped = raw.join(F.broadcast(chroms.select("chrom", "chrom_size")), "chrom")  # five chromosomes
-    start = F.col("a") % F.col("chrom_size")
-    intervals = clipped.select("interval_id", "genome", "chrom", start.alias("start"), F.least(start + F.col("width"), F.col("chrom_size")).alias("stop"))
-    return Tables(sites, chroms, methylomes, samples, intervals, output.read_marks(spark, f"{folder}/marks"), output.read_prefix(spark, f"{folder}/prefix"), read_pyramid(spark, f"{folder}/pyramid", UNITS))
-
-
 #: The same tables in SQL: sites, chroms, meth (with chrom and pos), samples, ivs.
 SQL = """
 WITH placed AS (

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from methgrid.plans import workload
+from methgrid.plans import derived, workload
 
 from .conftest import TESTDATA
 
@@ -42,3 +42,11 @@ def test_groups_of_more_than_99999(spark, tmp_path, name):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
     got = workload.QUERIES[name](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(con.sql(workload.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("name, made", [("methylomes_consistent", {"sites", "chroms"}), ("request_shapes", {"sites", "chroms"}), ("binary_index_read", {"sites", "chroms"}), ("global_levels", {"sites", "chroms", "methylomes", "meta"})])
+def test_only_what_a_query_needs_is_derived(spark, name, made):
+    derived._MADE.clear()
+    workload.QUERIES[name](spark, SF).collect()
+    folder = derived.tables(spark, SF).folder
+    assert set(os.listdir(folder.removeprefix("file:"))) == made
