@@ -62,6 +62,19 @@ def genome_from_path(path: Column) -> Column:
     return F.when(found != "", found)
 
 
+def g6_fraction(wide: Column) -> Column:
+    """Six significant digits of a double from 1e-4 to 1 in whole numbers; null beyond, and near ties, which need all of its decimals."""
+    out = F.lit(None).cast("string")
+    for places in (9, 8, 7, 6):
+        scaled = wide * float(10**places)
+        digits = F.floor(scaled + 0.5)
+        text = F.when(digits == 10**places, F.lit("1")).otherwise(F.concat(F.lit("0."), F.rtrim(F.lpad(digits.cast("string"), places, "0"), F.lit("0"))))
+        # A product is off by far less than 1e-6, so other halves are told surely.
+        sure = F.when(F.abs(scaled - F.floor(scaled) - 0.5) > 1e-6, text)
+        out = F.when(wide >= 10.0 ** (5 - places), sure).otherwise(out)
+    return F.when(wide <= 1, out)
+
+
 def fmt_g6(x: Column) -> Column:
     """Six significant digits as C's %g prints a 32-bit float: no trailing zeros, an exponent below 1e-4.
 
@@ -75,7 +88,8 @@ def fmt_g6(x: Column) -> Column:
         plain = F.when(digits == e, F.bround(exact, 5 - e).cast("double")).otherwise(plain)
     shown = F.format_string("%.6g", F.coalesce(plain, wide))
     text = F.regexp_replace(shown, r"(\.[0-9]*?)0+(?=$|e)", "$1")
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.when(wide == 0, F.lit("0")).otherwise(F.regexp_replace(text, r"\.(?=$|e)", "")))
+    text = F.when(wide == 0, F.lit("0")).otherwise(F.coalesce(g6_fraction(wide), F.regexp_replace(text, r"\.(?=$|e)", "")))
+    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def element(kind: str, m="n_meth", u="n_unmeth", covered: str | None = None, min_reads: int = 0) -> Column:

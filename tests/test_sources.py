@@ -4,6 +4,7 @@ import json
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,12 @@ def test_answers_without_requests_of_a_kind(spark):
     none = spark.createDataFrame([], "request_id long, interval_id long, chrom string, start long, stop long")
     assert requests.answer_windows(asked, chroms, sites, meth).count() == 0
     assert requests.answer_intervals(asked, none, chroms, sites, meth).count() == 0
+
+
+def test_six_digits_of_fractions(spark):
+    """As C prints a 32-bit float; nearly all fractions are printed without their decimal expansion."""
+    pairs = spark.range(400).crossJoin(spark.range(400).withColumnRenamed("id", "b")).where("b >= id and b > 0").select((F.col("id") / F.col("b")).alias("x"))
+    got = pairs.unionByName(spark.createDataFrame([(x,) for x in (1e-4, 0.00012345678, 0.0009999999, 0.00999999999, 0.0999999999, 0.99999999, 0.999999, 0.1, 0.01, 0.001, 0.5, 1.0, 0.25000050, 0.1234565, 0.015625, 0.00390625)], "x double"))
+    rows = got.select("x", fn.fmt_g6(F.col("x")).alias("s"), fn.g6_fraction(F.col("x").cast("float").cast("double")).alias("fast")).collect()
+    assert all(r.s == "%.6g" % float(np.float32(r.x)) for r in rows)
+    assert sum(r.fast is None for r in rows) < 0.02 * len(rows)
