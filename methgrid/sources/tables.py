@@ -46,6 +46,10 @@ def from_frame(frame: DataFrame, genome: str) -> DataFrame:
 
 #: Bytes of a binary file that one task reads, and tasks at most.
 CHUNK, TASKS = 16 << 20, 20_000
+#: Tasks that are wanted at least, if there are as many ranges.
+SPREAD = 64
+#: Bytes of ranges that are passed on together.
+BATCH = 1 << 20
 #: Site ranks of a block in which contigs are looked up.
 CONTIG_BLOCK = 1 << 16
 
@@ -75,16 +79,27 @@ def byte_ranges(spark: SparkSession, folder: str, names: str, width: int, chunk:
     except Exception:
         return files.select("path", "length", F.lit(0).cast("long").alias("at"), "content")
     step = max(1, chunk // width) * width
-    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L), {step}L)")).alias("at"))
+    # A task takes neighbouring ranges, CHUNK bytes together, so tasks grow with the bytes and not with the ranges.
+    span = step * max(1, CHUNK // step)
+    total = files.agg(F.sum("length")).first()[0]
+    while span > step and (total or 0) < span * SPREAD:
+        span = max(step, span // 2 // step * step)
+    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L), {span}L)")).alias("at"))
     dealt = ranges.repartition(max(1, min(ranges.count(), TASKS)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, length, at in frame.itertuples(index=False):
+                end = min(at + span, length)
                 with _open(path) as f:
                     f.seek(at)
-                    content = f.read(min(step, length - at))
-                yield pd.DataFrame({"path": [path], "length": [length], "at": [at], "content": [content]})
+                    while True:
+                        places = list(range(at, min(end, at + max(step, BATCH // step * step)), step)) or [at]
+                        contents = [f.read(min(step, end - p)) for p in places]
+                        yield pd.DataFrame({"path": path, "length": length, "at": places, "content": contents})
+                        at = places[-1] + step
+                        if at >= end:
+                            break
 
     return dealt.mapInPandas(run, "path string, length long, at long, content binary")
 
