@@ -372,3 +372,13 @@ def test_half_a_million_contigs(spark):
     got = src.placed_in_contigs(rows, chroms)
     want = F.expr("site_idx div 3 * 3 + if(site_idx % 3 = 0, 1, 2)").cast("int")
     assert got.agg(F.count(F.lit(1)), F.sum((F.col("chrom_ord") != want).cast("int"))).first()[:] == (n - 2, 0)
+
+
+def test_small_ranges_don_t_make_a_task_each(spark, tmp_path):
+    """A file of 25,000 ranges is read by few tasks, and each range comes once."""
+    (tmp_path / "a.m16").write_bytes(np.arange(100_000, dtype="<u4").tobytes())
+    got = src.byte_ranges(spark, str(tmp_path), "*.m16", 4, 16)
+    assert got.rdd.getNumPartitions() <= 2 * src.SPREAD
+    rows = got.orderBy("at").collect()
+    assert [r["at"] for r in rows] == list(range(0, 400_000, 16))
+    assert b"".join(bytes(r.content) for r in rows) == (tmp_path / "a.m16").read_bytes()
