@@ -150,3 +150,25 @@ def test_sorted_and_valid(spark):
     assert not intervals.are_sorted(frame([("chr1", 1, 5), ("chr2", 1, 4), ("chr1", 7, 8)])).first().sorted
     assert not intervals.are_valid(frame([("chr1", 5, 1)])).first().valid
     assert intervals.are_sorted(frame([("chr1", 5, 1)]).limit(0)).first().sorted
+
+
+def test_ranges_are_shuffled_for_their_bounds_not_for_samples(spark, small):
+    """Equal bounds are looked up once for a sample: many equal intervals make no more lookups than one."""
+    _, _, sites, chroms, meth, samples, _ = small
+    one = spark.createDataFrame([("g", "chr1", 0, 100)], "genome string, chrom string, start long, stop long")
+    many = one.crossJoin(spark.range(500).withColumnRenamed("id", "interval_id"))
+    seen = []
+    real = levels.last_before
+
+    def counted(events, *rest):
+        seen.append(events.count())
+        return real(events, *rest)
+
+    levels.last_before = counted
+    try:
+        got = levels.interval_levels(intervals.site_ranks(many, sites, chroms), meth, samples, True, chroms)
+        assert got.count() == 500 * samples.count()
+    finally:
+        levels.last_before = real
+    assert got.drop("interval_id").distinct().count() == samples.count()
+    assert seen == [2 * samples.count()]
