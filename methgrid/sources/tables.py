@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from methgrid.operators.scan import last_before, small
+from methgrid.sources.scratch import stored
 
 
 def parse_bed(lines: DataFrame, chroms: DataFrame) -> DataFrame:
@@ -31,7 +32,11 @@ def parse_bed(lines: DataFrame, chroms: DataFrame) -> DataFrame:
 
 
 def number(lines: DataFrame) -> DataFrame:
-    """Lines with ``interval_id`` from 0 in file order: counted inside blocks, shifted by the blocks before."""
+    """Lines with ``interval_id`` from 0 in file order: counted inside blocks, shifted by the blocks before.
+
+    Lines are stored, as they are read for the counts and for the numbers, and are made once then.
+    """
+    lines = stored(lines, "lines")
     inside = Window.partitionBy("file", "block").orderBy("id")
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     counts = lines.groupBy("file", "block").count().select("file", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
