@@ -61,6 +61,15 @@ def test_lines_are_made_once(spark):
     assert made.value == 5000
 
 
+def test_columns_of_different_ranges_are_refused(spark):
+    one = spark.range(5).select(F.col("id").alias("interval_id"), F.lit("a").alias("sample"))
+    assert merge.add_column(one, one).count() == 10
+    for more in (one.where("interval_id < 4"), one.unionByName(one.select(F.lit(9).cast("long").alias("interval_id"), "sample"))):
+        for pair in ((one, more), (more, one)):
+            with pytest.raises(ValueError):
+                merge.add_column(*pair)
+
+
 def test_partitions_follow_the_rows(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
