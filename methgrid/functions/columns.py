@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 U16 = 65535
 
 
+def _column(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
 def n_reads(m="n_meth", u="n_unmeth") -> Column:
-    return F.col(m) + F.col(u)
+    return _column(m) + _column(u)
 
 
 def wmean(m="n_meth", u="n_unmeth") -> Column:
     """Weighted mean level; 0.0 without reads."""
-    return F.col(m) / F.greatest(F.lit(1), n_reads(m, u))
+    return _column(m) / F.greatest(F.lit(1), n_reads(m, u))
 
 
 def wmean_or(min_reads: int, missing: float | None = None, m="n_meth", u="n_unmeth") -> Column:
@@ -92,11 +96,11 @@ def fmt_g6(x: Column) -> Column:
     return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
-def element(kind: str, m="n_meth", u="n_unmeth", covered: str | None = None, min_reads: int = 0) -> Column:
+def element(kind: str, m="n_meth", u="n_unmeth", covered: Column | str | None = None, min_reads: int = 0) -> Column:
     """One level as text: counts ``m u [c]``, classic ``score reads [c]``, or a score with NA for too few reads."""
-    extra = [F.col(covered).cast("string")] if covered and kind != "scores" else []
+    extra = [_column(covered).cast("string")] if covered is not None and kind != "scores" else []
     if kind == "counts":
-        return F.concat_ws("\t", F.col(m).cast("string"), F.col(u).cast("string"), *extra)
+        return F.concat_ws("\t", _column(m).cast("string"), _column(u).cast("string"), *extra)
     if kind == "classic":
         return F.concat_ws("\t", fmt_g6(wmean(m, u)), n_reads(m, u).cast("string"), *extra)
     return F.when(n_reads(m, u) >= min_reads, fmt_g6(wmean(m, u))).otherwise(F.lit("NA"))

@@ -19,8 +19,8 @@ from methgrid.sources.scratch import stored
 
 #: Site ranks of a block of prefix sums.
 BLOCK = 1024
-#: Samples whose sums at a bound are kept in one row, about.
-TOGETHER = 32
+#: Samples whose sums at a bound are looked up together and kept in one row.
+TOGETHER = 8
 #: Windows of more bins than this are answered by prefix sums.
 FRAME = 64
 
@@ -90,24 +90,29 @@ def pair_levels(pairs: DataFrame, prefix: DataFrame, covered: bool = False, hot:
     return found.groupBy("genome", "sample", *keys).agg(*[F.coalesce(F.sum(F.col("sign") * F.col(n)), F.lit(0)).alias(n) for n in names])
 
 
-def ranged_levels(ranked: DataFrame, samples: DataFrame, prefix: DataFrame, covered: bool = False, hot: list[tuple] = ()) -> DataFrame:
-    """``ranked`` (genome, lo, hi, ...) with the sums of every sample of its genome for the sites of ranks lo to hi - 1.
+def ranged_cells(ranked: DataFrame, samples: DataFrame, prefix: DataFrame, covered: bool = False, hot: list[tuple] = ()) -> DataFrame:
+    """``ranked`` (genome, lo, hi, ...) with ``cells``, a map from samples of its genome to their sums for the sites of ranks lo to hi - 1.
 
-    Each distinct bound is looked up once for a sample, whatever the number of ranges that have it, and the samples' sums
-    at a bound are kept side by side, ``TOGETHER`` of them in a row. So ranges are shuffled twice, for their two bounds, and
-    not for each sample.
+    A row has a lot of up to ``TOGETHER`` samples, so an interval has a row for each lot. Each distinct bound is looked up
+    once for a lot, whatever the number of ranges that have it and of the lot's samples. So ranges are shuffled twice,
+    for their two bounds, and neither bounds nor ranges for each sample.
     """
     names = list(_sums(covered))
-    dealt = samples.select("genome", "sample", F.pmod(F.hash("sample"), F.lit(max(1, -(-samples.count() // TOGETHER)))).alias("_lot"))
+    nth = F.row_number().over(Window.partitionBy("genome").orderBy("sample")) - 1
+    # One row for a sample, read three times.
+    dealt = stored(samples.select("genome", "sample", nth.alias("_nth")).select("genome", "sample", F.expr(f"cast(_nth div {TOGETHER} as int)").alias("_lot"), F.expr(f"_nth % {TOGETHER}").alias("_nth")), "samples")
+    lots = small(dealt.groupBy("genome", "_lot").agg(F.array_sort(F.collect_list(F.struct("_nth", "sample")))["sample"].alias("_samples")))
+    width = min(TOGETHER, max(1, dealt.count()))
     ends = ranked.select("genome", F.explode(F.array("lo", "hi")).alias("at")).distinct()
-    events = ends.join(small(dealt), "genome").select("genome", "sample", "_lot", "at", F.expr(f"at div {BLOCK}").alias("block"))
-    found = last_before(events, prefix.select("genome", "sample", "block", "at", "rank", *names), ["genome", "sample"], "at", names, hot, ["genome"])
+    events = ends.join(lots.drop("_samples"), "genome").select("genome", "_lot", "at", F.expr(f"at div {BLOCK}").alias("block"))
+    places = [f"_s{i}" for i in range(width)]
+    own = prefix.join(small(dealt), ["genome", "sample"]).select("genome", "_lot", "block", "at", "rank", *[F.when(F.col("_nth") == i, F.struct(*names)).alias(p) for i, p in enumerate(places)])
     # Read for both bounds, so it is stored.
-    sums = stored(found.groupBy("genome", "at", "_lot").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct(*names)))).alias("sums")), "bounds")
-    low = ranked.join(sums.select("genome", F.col("at").alias("lo"), "_lot", F.col("sums").alias("_low")), ["genome", "lo"])
-    both = low.join(sums.select("genome", F.col("at").alias("hi"), "_lot", F.col("sums").alias("_high")), ["genome", "hi", "_lot"])
-    each = both.select(*ranked.columns, "_low", F.explode("_high").alias("sample", "_sum"))
-    return each.select(*ranked.columns, "sample", *[(F.coalesce(F.col(f"_sum.{n}"), F.lit(0)) - F.coalesce(F.col("_low")[F.col("sample")][n], F.lit(0))).alias(n) for n in names])
+    sums = stored(last_before(events, own, ["genome", "_lot"], "at", places, hot, ["genome"]), "bounds")
+    low = ranked.join(sums.select("genome", F.col("at").alias("lo"), "_lot", *[F.col(p).alias(f"{p}_low") for p in places]), ["genome", "lo"])
+    both = low.join(sums.withColumnRenamed("at", "hi"), ["genome", "hi", "_lot"]).join(lots, ["genome", "_lot"])
+    cells = F.array(*[F.struct(*[(F.coalesce(F.col(f"{p}.{n}"), F.lit(0)) - F.coalesce(F.col(f"{p}_low.{n}"), F.lit(0))).alias(n) for n in names]) for p in places])
+    return both.select(*ranked.columns, F.map_from_arrays("_samples", F.slice(cells, 1, F.size("_samples"))).alias("cells"))
 
 
 def bounds_of(ranked: DataFrame) -> DataFrame:
@@ -120,14 +125,7 @@ def touched_sums(prefix: DataFrame, ranked: DataFrame, samples: DataFrame) -> tu
     return only_blocks(named(prefix, samples, ["genome", "sample"]), bounds_of(ranked), ["genome"])
 
 
-def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, prepared: bool = False) -> DataFrame:
-    """(interval_id, sample, n_meth, n_unmeth[, n_covered]) of intervals with site ranks.
-
-    samples: (genome, sample), one row each. prefix: what ``prefix_sums`` has stored, of which only the blocks
-    with bounds of the samples are read; ``ranked`` is then stored, as it is read twice, unless it is a
-    table that ``intervals.prepare`` has stored (``prepared``). Without prefix, it is made of ``methylomes``. keys: the columns of an interval, interval_id if not given.
-    """
-    keys = keys or ["interval_id"]
+def _cells(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool, chroms: DataFrame | None, prefix: DataFrame | None, keys: list[str], prepared: bool) -> DataFrame:
     if prefix is None:
         ends = chroms if chroms is not None else methylomes.groupBy("genome").agg((F.max("site_idx") + 1).alias("n_sites")).unionByName(ranked.groupBy("genome").agg(F.max("hi").alias("n_sites"))).groupBy("genome").agg(F.max("n_sites").alias("n_sites"))
         prefix, hot = prefix_sums(methylomes, ends), []
@@ -136,7 +134,33 @@ def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: Da
         ranked = ranked if prepared else stored(ranked, "ranked")
         prefix, hot = touched_sums(prefix, ranked, samples)
     own = ranked.select(*dict.fromkeys(["genome", *keys, "lo", "hi"]))
-    return ranged_levels(own, samples.select("genome", "sample").distinct(), prefix, covered, hot).select(*keys, "sample", *_sums(covered))
+    return ranged_cells(own, samples.select("genome", "sample").distinct(), prefix, covered, hot).select(*keys, "cells")
+
+
+def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, prepared: bool = False) -> DataFrame:
+    """(interval_id, sample, n_meth, n_unmeth[, n_covered]) of intervals with site ranks.
+
+    samples: (genome, sample), one row each. prefix: what ``prefix_sums`` has stored, of which only the blocks
+    with bounds of the samples are read; ``ranked`` is then stored, as it is read twice, unless it is a
+    table that ``intervals.prepare`` has stored (``prepared``). Without prefix, it is made of ``methylomes``. keys: the columns of an interval, interval_id if not given.
+    """
+    keys = keys or ["interval_id"]
+    found = _cells(ranked, methylomes, samples, covered, chroms, prefix, keys, prepared)
+    return found.select(*keys, F.explode("cells").alias("sample", "_sum")).select(*keys, "sample", "_sum.*")
+
+
+def interval_cells(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, prepared: bool = False) -> DataFrame:
+    """What ``interval_levels`` gives, with one row for an interval: (interval_id, cells), a map from samples to their sums.
+
+    Tables and lines are made of it without bringing an interval's rows together again; only of more samples than
+    ``TOGETHER`` are the lots brought together.
+    """
+    keys = keys or ["interval_id"]
+    found = _cells(ranked, methylomes, samples, covered, chroms, prefix, keys, prepared)
+    if samples.select("genome", "sample").distinct().count() <= TOGETHER:
+        return found
+    entries = F.flatten(F.collect_list(F.map_entries("cells")))
+    return found.groupBy(*keys).agg(F.map_from_entries(entries).alias("cells"))
 
 
 def _placed(methylomes: DataFrame, sites: DataFrame) -> DataFrame:

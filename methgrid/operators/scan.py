@@ -148,8 +148,8 @@ def last_before(events: DataFrame, marks: DataFrame, group: list[str], place: st
         events = events.join(parts, [*(on or group), "block"], "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), count).cast("int")).drop("_parts")
         marks = marks.join(parts, [*(on or group), "block"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), count - 1))).drop("_parts")
         keys.append("_part")
-    both = events.select(*keys, place, F.lit(0).alias("rank"), F.struct(*names).alias("own"), *[F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values])
-    both = both.unionByName(marks.select(*keys, place, "rank", F.lit(None).cast(both.schema["own"].dataType).alias("own"), *values))
+    both = events.select(*keys, place, F.lit(0).alias("rank"), *([F.struct(*names).alias("own")] if names else []), *[F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values])
+    both = both.unionByName(marks.select(*keys, place, "rank", *values), allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy(place, "rank").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumns({v: F.last(v, ignorenulls=True).over(order) for v in values})
-    return seen.where("rank = 0").select(*group, place, "own.*", *values)
+    return seen.where("rank = 0").select(*group, place, *(["own.*"] if names else []), *values)

@@ -455,8 +455,10 @@ def _coarse(t: Tables, covered: bool = False, cpgs: bool = False) -> DataFrame:
     rough = t.intervals.join(sizes, "chrom").select("interval_id", "genome", "chrom", start.alias("start"), F.least(start + 500, F.col("chrom_size")).alias("stop"))
     ranked = intervals.site_ranks(rough, t.sites, t.chroms, t.marks)
     asked = t.samples.where(F.col("sample").isin(_ASKED))
-    got = levels.interval_levels(ranked, t.methylomes, asked, covered, t.chroms, t.prefix, keys=["interval_id", "chrom", "start", "stop"])
-    return got.join(intervals.n_cpgs(ranked), "interval_id") if cpgs else got
+    keys = ["interval_id", "chrom", "start", "stop"]
+    if cpgs:
+        ranked, keys = ranked.withColumn("n_cpgs", F.col("hi") - F.col("lo")), [*keys, "n_cpgs"]
+    return levels.interval_cells(ranked, t.methylomes, asked, covered, t.chroms, t.prefix, keys=keys)
 
 
 def _wide_sql(columns: str) -> str:
@@ -506,7 +508,8 @@ def _stored_result(t: Tables) -> tuple[DataFrame, int]:
     spark = t.sites.sparkSession
     path = scratch.new_folder(spark, "result")
     asked = spark.createDataFrame([(s, i) for i, s in enumerate(_ASKED)], "sample string, col_ord int")
-    output.write_result(_coarse(t, covered=True).select("interval_id", "sample", "n_meth", "n_unmeth", "n_covered").join(F.broadcast(asked), "sample"), path)
+    rows = _coarse(t, covered=True).select("interval_id", F.explode("cells").alias("sample", "_sum")).select("interval_id", "sample", "_sum.*")
+    output.write_result(rows.join(F.broadcast(asked), "sample"), path)
     return spark.read.parquet(path), t.intervals.agg(F.min("interval_id")).first()[0]
 
 

@@ -87,6 +87,15 @@ def _ordered(levels: DataFrame, samples: list[str]) -> DataFrame:
     return levels.join(F.broadcast(asked), "sample")  # as long as the user's list
 
 
+def _flat(levels: DataFrame, keys: list[str], samples: list[str], covered: bool) -> DataFrame:
+    """One row for a range with the numbers of each requested sample, in columns <place>_m, <place>_u and <place>_c."""
+    values = {"m": "n_meth", "u": "n_unmeth"} | ({"c": "n_covered"} if covered else {})
+    if "cells" in levels.columns:
+        return levels.select(*keys, *[F.col("cells")[s][n].alias(f"{i}_{v}") for i, s in enumerate(samples) for v, n in values.items()])
+    # A range's rows differ in their place, so its cells are picked in one aggregation of numbers.
+    return _ordered(levels, samples).groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == i, F.col(n))).alias(f"{i}_{v}") for i in range(len(samples)) for v, n in values.items()])
+
+
 def to_wide(levels: DataFrame, ranges: list[str], samples: list[str], kind: str = "counts", covered: bool = False, cpgs: bool = False, min_reads: int = 0, sep: str = ".", names: list[str] | None = None) -> DataFrame:
     """One row for a range with a row name and, for each requested sample in order, its columns.
 
@@ -94,13 +103,12 @@ def to_wide(levels: DataFrame, ranges: list[str], samples: list[str], kind: str
     interval_id. kind: counts (sample_M, sample_U), classic (sample_M is the score, sample_R the
     reads) or scores (sample, null below min_reads), ``covered`` adds sample_C but to scores,
     ``cpgs`` the column N_CPG at the end. names replace the samples in column names. Samples are
-    given, so no job is needed to find them.
+    given, so no job is needed to find them. levels: long rows, or one row for a range with ``cells``
+    (``levels.interval_cells``), which needs no exchange.
     """
     covered = covered and kind != "scores"
-    values = {"m": "n_meth", "u": "n_unmeth"} | ({"c": "n_covered"} if covered else {})
     keys = _keys(levels, ranges, cpgs)
-    # A range's rows differ in their place, so its cells are picked in one aggregation of numbers.
-    wide = _ordered(levels, samples).groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == i, F.col(n))).alias(f"{i}_{v}") for i in range(len(samples)) for v, n in values.items()])
+    wide = _flat(levels, keys, samples, covered)
     out = [row_name(ranges, sep).alias("name")]
     for i, shown in enumerate(names or samples):
         m, u = f"`{i}_m`", f"`{i}_u`"
@@ -125,12 +133,17 @@ def to_lines(levels: DataFrame, ranges: list[str], samples: list[str], kind: str
     """(range columns, line): text rows, BED-like (range fields first), named (row name first) or bare.
 
     Each sample's element is made in its long row; elements of a range are then joined in the order
-    of the request. Equal ranges are told apart by interval_id.
+    of the request. Equal ranges are told apart by interval_id. levels: as for ``to_wide``; the
+    ``cells`` of a range are written where they are.
     """
-    text = element(kind, covered="n_covered" if covered else None, min_reads=min_reads)
     keys = _keys(levels, ranges, cpgs)
-    rows = _ordered(levels, samples).select(*keys, "_at", text.alias("text"))
-    joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "text")))["text"].alias("elements"))
+    if "cells" in levels.columns:
+        own = F.array(*[F.col("cells")[s] for s in samples])
+        joined = levels.select(*keys, F.transform(own, lambda x: element(kind, x["n_meth"], x["n_unmeth"], x["n_covered"] if covered else None, min_reads)).alias("elements"))
+    else:
+        text = element(kind, covered="n_covered" if covered else None, min_reads=min_reads)
+        rows = _ordered(levels, samples).select(*keys, "_at", text.alias("text"))
+        joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "text")))["text"].alias("elements"))
     start = {"bed": [F.col(c).cast("string") for c in ranges], "named": [row_name(ranges, sep)], "bare": []}[prefix]
     line = F.concat_ws("\t", *start, "elements", *([F.col("n_cpgs").cast("string")] if cpgs else []))
     return joined.select(*[c for c in keys if c != "n_cpgs"], line.alias("line"))

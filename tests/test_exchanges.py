@@ -33,6 +33,43 @@ def many(spark):
     return names, meth, rows, ranked, brute
 
 
+def test_cells_of_several_lots(spark, many):
+    names, meth, rows, ranked, brute = many
+    samples = spark.createDataFrame([("g", s) for s in [*names, "unknown"]], "genome string, sample string")
+    keys = ["interval_id", "chrom", "start", "stop"]
+    long = levels.interval_levels(ranked, meth, samples, covered=True, keys=keys)
+    want = {(j, s): brute(s, a, b) for j, _, _, a, b in rows for s in names} | {(j, "unknown"): (0, 0, 0) for j, *_ in rows}
+    got = long.collect()
+    assert len(got) == len(want) and {(r.interval_id, r["sample"]): (r.n_meth, r.n_unmeth, r.n_covered) for r in got} == want
+    cells = levels.interval_cells(ranked, meth, samples, covered=True, keys=keys)
+    assert {(r.interval_id, s): tuple(x) for r in cells.collect() for s, x in r.cells.items()} == want
+    asked = ["s19", "s00", "s19", "s08"]
+    for make in (lambda x: output.to_wide(x, ["chrom", "start", "stop"], asked, covered=True, names=list("wxyz")), lambda x: output.to_wide(x, ["chrom", "start", "stop"], asked, "classic", names=list("wxyz")), lambda x: output.to_lines(x, ["chrom", "start", "stop"], asked, covered=True), lambda x: output.to_lines(x, ["chrom", "start", "stop"], asked, "scores", min_reads=30)):
+        assert sorted(map(tuple, make(cells).collect())) == sorted(map(tuple, make(long).collect()))
+
+
+def test_tables_of_cells_need_no_exchange(spark):
+    cells = scratch.stored(spark.range(10).select(F.col("id").alias("interval_id"), F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 5).alias("stop"), F.create_map(F.lit("a"), F.struct(F.col("id").alias("n_meth"), F.lit(3).cast("long").alias("n_unmeth"))).alias("cells")), "cells")
+    for made in (output.to_wide(cells, ["chrom", "start", "stop"], ["a"]), output.to_lines(cells, ["chrom", "start", "stop"], ["a"], "scores")):
+        assert made.count() == 10 and "Exchange" not in plan(made)
+
+
+def test_bounds_are_not_exchanged_for_each_sample(spark, many, monkeypatch):
+    names, meth, rows, ranked, brute = many
+    samples = spark.createDataFrame([("g", s) for s in names], "genome string, sample string")
+    seen = []
+    real = levels.last_before
+
+    def watched(events, *rest):
+        seen.append(events.count())
+        return real(events, *rest)
+
+    monkeypatch.setattr(levels, "last_before", watched)
+    levels.interval_cells(ranked, meth, samples).collect()
+    distinct = ranked.select(F.explode(F.array("lo", "hi"))).distinct().count()
+    assert seen == [3 * distinct]
+
+
 def test_requests_are_judged_by_their_lists(spark):
     rows = [(i, "bins", 100, 50, h, names) for i, (h, names) in enumerate([(1, ["a"]), (1, ["a", "no"]), (1, ["a-b"]), (2, ["a"]), (None, ["a"]), (1, None), (1, []), (1, ["b", "a", "b"])] * 500)]
     asked = spark.createDataFrame(rows, "request_id long, kind string, aux long, step long, index_hash long, samples array<string>")
