@@ -116,3 +116,15 @@ def test_partitions_follow_the_rows(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "41"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_answers_are_given_to_lists_of_requests(spark, monkeypatch):
+    answers = spark.range(30).select(F.lit("g").alias("genome"), (F.col("id") % 3).alias("aux"), F.lit("s").alias("sample"), F.col("id").alias("n_meth"))
+    asked = spark.range(500).select(F.col("id").alias("request_id"), F.lit("g").alias("genome"), (F.col("id") % 4).alias("aux"), F.lit("s").alias("sample"), F.explode(F.array(F.lit(0), F.lit(1))).alias("col_ord"))
+    want = sorted((i, c, n) for n in range(30) for i in range(500) for c in (0, 1) if i % 4 == n % 3)
+    for rows, length in ((500_000, 10_000), (500_000, 7), (10, 7)):
+        monkeypatch.setattr(requests, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(requests, "LIST", length)
+        got = requests._given(answers, asked, ["genome", "aux", "sample"])
+        assert sorted(map(tuple, got.select("request_id", "col_ord", "n_meth").collect())) == want
+        assert ("Generate inline" in plan(got)) == (rows > 10)
