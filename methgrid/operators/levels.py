@@ -115,6 +115,26 @@ def ranged_cells(ranked: DataFrame, samples: DataFrame, prefix: DataFrame, cover
     return both.select(*ranked.columns, F.map_from_arrays("_samples", F.slice(cells, 1, F.size("_samples"))).alias("cells"))
 
 
+def ranged_levels(ranked: DataFrame, samples: DataFrame, prefix: DataFrame, covered: bool = False, hot: list[tuple] = ()) -> DataFrame:
+    """``ranked`` (genome, lo, hi, ...) with the sums of every sample of its genome for the sites of ranks lo to hi - 1.
+
+    Each distinct bound is looked up once for a sample, whatever the number of ranges that have it, and the samples' sums
+    at a bound are kept side by side, ``TOGETHER`` of them in a row. So ranges are shuffled twice, for their two bounds, and
+    not for each sample.
+    """
+    names = list(_sums(covered))
+    dealt = samples.select("genome", "sample", F.pmod(F.hash("sample"), F.lit(max(1, -(-samples.count() // TOGETHER)))).alias("_lot"))
+    ends = ranked.select("genome", F.explode(F.array("lo", "hi")).alias("at")).distinct()
+    events = ends.join(small(dealt), "genome").select("genome", "sample", "_lot", "at", F.expr(f"at div {BLOCK}").alias("block"))
+    found = last_before(events, prefix.select("genome", "sample", "block", "at", "rank", *names), ["genome", "sample"], "at", names, hot, ["genome"])
+    # Read for both bounds, so it is stored.
+    sums = stored(found.groupBy("genome", "at", "_lot").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct(*names)))).alias("sums")), "bounds")
+    low = ranked.join(sums.select("genome", F.col("at").alias("lo"), "_lot", F.col("sums").alias("_low")), ["genome", "lo"])
+    both = low.join(sums.select("genome", F.col("at").alias("hi"), "_lot", F.col("sums").alias("_high")), ["genome", "hi", "_lot"])
+    each = both.select(*ranked.columns, "_low", F.explode("_high").alias("sample", "_sum"))
+    return each.select(*ranked.columns, "sample", *[(F.coalesce(F.col(f"_sum.{n}"), F.lit(0)) - F.coalesce(F.col("_low")[F.col("sample")][n], F.lit(0))).alias(n) for n in names])
+
+
 def bounds_of(ranked: DataFrame) -> DataFrame:
     """(genome, block) of the blocks of prefix sums that hold bounds of ``ranked``."""
     return ranked.select("genome", F.explode(F.array(F.expr(f"lo div {BLOCK}"), F.expr(f"hi div {BLOCK}"))).alias("block"))
@@ -125,7 +145,7 @@ def touched_sums(prefix: DataFrame, ranked: DataFrame, samples: DataFrame) -> tu
     return only_blocks(named(prefix, samples, ["genome", "sample"]), bounds_of(ranked), ["genome"])
 
 
-def _cells(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool, chroms: DataFrame | None, prefix: DataFrame | None, keys: list[str], prepared: bool) -> DataFrame:
+def _met(make, ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool, chroms: DataFrame | None, prefix: DataFrame | None, keys: list[str], prepared: bool) -> DataFrame:
     if prefix is None:
         ends = chroms if chroms is not None else methylomes.groupBy("genome").agg((F.max("site_idx") + 1).alias("n_sites")).unionByName(ranked.groupBy("genome").agg(F.max("hi").alias("n_sites"))).groupBy("genome").agg(F.max("n_sites").alias("n_sites"))
         prefix, hot = prefix_sums(methylomes, ends), []
@@ -134,7 +154,7 @@ def _cells(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame,
         ranked = ranked if prepared else stored(ranked, "ranked")
         prefix, hot = touched_sums(prefix, ranked, samples)
     own = ranked.select(*dict.fromkeys(["genome", *keys, "lo", "hi"]))
-    return ranged_cells(own, samples.select("genome", "sample").distinct(), prefix, covered, hot).select(*keys, "cells")
+    return make(own, samples.select("genome", "sample").distinct(), prefix, covered, hot)
 
 
 def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, prepared: bool = False) -> DataFrame:
@@ -145,8 +165,7 @@ def interval_levels(ranked: DataFrame, methylomes: DataFrame | None, samples: Da
     table that ``intervals.prepare`` has stored (``prepared``). Without prefix, it is made of ``methylomes``. keys: the columns of an interval, interval_id if not given.
     """
     keys = keys or ["interval_id"]
-    found = _cells(ranked, methylomes, samples, covered, chroms, prefix, keys, prepared)
-    return found.select(*keys, F.explode("cells").alias("sample", "_sum")).select(*keys, "sample", "_sum.*")
+    return _met(ranged_levels, ranked, methylomes, samples, covered, chroms, prefix, keys, prepared).select(*keys, "sample", *_sums(covered))
 
 
 def interval_cells(ranked: DataFrame, methylomes: DataFrame | None, samples: DataFrame, covered: bool = False, chroms: DataFrame | None = None, prefix: DataFrame | None = None, keys: list[str] | None = None, prepared: bool = False) -> DataFrame:
@@ -156,7 +175,7 @@ def interval_cells(ranked: DataFrame, methylomes: DataFrame | None, samples: Dat
     ``TOGETHER`` are the lots brought together.
     """
     keys = keys or ["interval_id"]
-    found = _cells(ranked, methylomes, samples, covered, chroms, prefix, keys, prepared)
+    found = _met(ranged_cells, ranked, methylomes, samples, covered, chroms, prefix, keys, prepared).select(*keys, "cells")
     if samples.select("genome", "sample").distinct().count() <= TOGETHER:
         return found
     entries = F.flatten(F.collect_list(F.map_entries("cells")))

@@ -617,7 +617,8 @@ def prepared_query(t: Tables):
     """Intervals resolved once and asked of two lots of samples."""
     ranked = intervals.prepare(t.intervals, t.sites, t.chroms, t.marks)
     lots = [t.samples.where(F.col("sample").startswith("A")), t.samples.where(~F.col("sample").startswith("A"))]
-    one, two = (levels.interval_levels(ranked, t.methylomes, lot, True, t.chroms, t.prefix, prepared=True) for lot in lots)
+    one, two = (levels.interval_cells(ranked, t.methylomes, lot, True, t.chroms, t.prefix, prepared=True) for lot in lots)
+    one, two = (x.select("interval_id", F.explode("cells").alias("sample", "_sum")).select("interval_id", "sample", "_sum.*") for x in (one, two))
     return merge.add_column(one, two, checked=True)
 
 
