@@ -128,3 +128,18 @@ def test_answers_are_given_to_lists_of_requests(spark, monkeypatch):
         got = requests._given(answers, asked, ["genome", "aux", "sample"])
         assert sorted(map(tuple, got.select("request_id", "col_ord", "n_meth").collect())) == want
         assert ("Generate inline" in plan(got)) == (rows > 10)
+
+
+def test_partitions_are_not_brought_together_again(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        spark.conf.unset(names[1])
+        scratch.roomy(spark, 10_000_000, 250_000)
+        # 96 MB that can't be compressed, for four cores.
+        rows = spark.range(6_000_000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", "id").alias("b")).repartition("a")
+        sizes = [r["count"] * 16 for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 96_000_000 and max(sizes) <= 12 << 20
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
