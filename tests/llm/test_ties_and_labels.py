@@ -94,3 +94,39 @@ def test_links_of_frequent_keys_are_the_same_in_one_task_and_in_many(spark):
         want |= set(zip(*[x.tolist() for x in windows._led(columns)], strict=True))
     frame = written(spark.createDataFrame(rows, "key long, doc_id long, c int, l int, r int, near long"), "t")
     assert {tuple(r) for r in windows.across(frame).collect()} == want and len(want) > 100
+
+
+def test_passages_of_frequent_keys_have_an_exact_way(spark, monkeypatch):
+    """Pairs of texts with two words changed beside a stretch of 44 words that all texts share."""
+    rng = random.Random(5)
+    docs, want = [], set()
+    for g in range(20):
+        left, right = ([f"{side}{g}x{i}" for i in range(28)] for side in "lr")
+        changed = left[:26] + ["new"] + left[27:], right[:1] + ["new"] + right[2:]
+        for n, (a, b) in enumerate(((left, right), changed)):
+            docs.append((2 * g + n, " ".join([*(f"o{rng.random()}" for _ in range(20)), *a, *(f"core{i}" for i in range(44)), *b])))
+        want.add((2 * g + 1, 2 * g))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(windows.every_pair, "__defaults__", (7,))
+    assert {(r.doc_id, r.other_id) for r in windows.near_duplicate_passages(frame, exact=True).collect()} == want
+
+
+def test_all_pairs_of_windows(spark, monkeypatch):
+    """Leads lose links of frequent keys; the exact way has all, whatever the tasks and blocks."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(90), rng.choice([8, 8, 16, 25, *range(32, 64)]), c := rng.randrange(100), max(0, c - rng.randrange(60)), c + rng.randrange(60), rng.randrange(1 << 60)) for _ in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, key long, c int, l int, r int, near long").select("key", "doc_id", "c", "l", "r", "near")
+    want = []
+    for a in rows:
+        for b in rows:
+            lo, hi = max(a[3], b[3] + a[2] - b[2]), min(a[4], b[4] + a[2] - b[2])
+            if a[1] == b[1] and a[0] > b[0] and hi - lo >= windows.GRID - 1:
+                want.append((a[0], b[0], a[1] & 7, lo, hi, a[2] - b[2]))
+    monkeypatch.setattr(windows, "STEP_ROWS", 100)
+
+    def links(exact, rest):
+        out = windows.linked(frame, exact)
+        return sorted(map(tuple, out.where("o_id is not null").select("doc_id", "o_id", "k", "lo", "hi", "diagonal").unionByName(rest(out.where("o_id is null").select("doc_id", "key", "c", "l", "r", "near"))).collect()))
+
+    assert links(True, lambda x: windows.every_pair(x, 20)) == sorted(want)
+    assert 0 < len(links(False, windows.across)) < len(want) / 2
